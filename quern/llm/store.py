@@ -7,6 +7,7 @@ then costs only its running tasks.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,13 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back; Hadoop removes it when the driver ends."""
+    """Write ``df`` as Parquet to the shared folder and read it back; Hadoop removes it when the driver ends.
+
+    Shuffle files of earlier steps that nothing refers to any more are then let
+    go: Spark's cleaner follows the JVM's garbage collection.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quern/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    gc.collect()
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
