@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash.
 
-Lines (``\\n``-split, lower-cased, white space collapsed) of ``MIN_CHARS``
+Lines (``\\n``-split, trimmed, lower-cased) of ``MIN_CHARS``
 characters or more are compared by their sets of 6-character shingles.  Equal
 lines share a 64-bit hash and count as one.  A line's signature comes from
 one-permutation hashing with optimal densification: one hash per shingle, the
@@ -186,10 +186,9 @@ def _verified(similarity: float):
 
 
 def eligible_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line, h, norm) of the lines with at least ``min_chars`` characters when normalised; ``line`` counts from 0."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.length("raw") >= min_chars)
-    norm = F.trim(F.regexp_replace(F.lower("raw"), r"[\x20\x09-\x0D]+", " "))
-    lines = lines.select("doc_id", "line", norm.alias("norm")).where(F.length("norm") >= max(min_chars, SHINGLE))
+    """(doc_id, line, h, norm) of the lines with at least ``min_chars`` characters when trimmed; ``line`` counts from 0."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.length(F.trim("raw")) >= max(min_chars, SHINGLE))
+    lines = lines.select("doc_id", "line", F.lower(F.trim("raw")).alias("norm"))
     return lines.select("doc_id", "line", F.xxhash64("norm").alias("h"), "norm")
 
 
