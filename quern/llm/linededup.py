@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.store import stored
+from quern.llm.store import packed, stored
 
 MIN_CHARS = 30
 SHINGLE = 6
@@ -217,13 +217,14 @@ def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_
 
     Null texts and texts without long lines pass as they are.  Rows that repeat a
     doc_id count as one document and lose the same lines.  Rows with a null
-    doc_id lose none.  Columns and row count stay; a text may end up empty.
+    doc_id lose none.  Columns and row count stay (a column ``lines_removed`` is
+    replaced); a text may end up empty.
     """
     gone = repeated_lines(docs, similarity, min_chars).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_lines"))
-    both = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
+    both = packed(docs, "doc_id", "text").join(gone, F.col("doc_id") == F.col("_id"), "left")
     text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_lines"), i)), "\n"))
-    names = docs.columns
-    return both.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], F.coalesce(F.size("_lines"), F.lit(0)).alias("lines_removed"))
+    removed = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines"))
+    return both.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != "lines_removed"], removed.alias("lines_removed"))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -231,4 +232,4 @@ def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))
     out = without_repeated_lines(docs)
-    return out.select("doc_id", "n_lines", F.when(F.col("lines_removed") > 0, F.col("lines_removed")).otherwise(0).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", F.col("lines_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

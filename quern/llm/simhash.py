@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from quern.llm.components import components, contract
-from quern.llm.store import stored
+from quern.llm.store import packed, stored, unpacked
 
 #: One vantage point per half.
 VANTAGE = (0x9E3779B9, 0x7F4A7C15)
@@ -185,10 +185,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with only the document of least doc_id of each group; of rows that repeat that doc_id, one stays."""
-    keep = near_duplicates(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """``docs`` with only the document of least doc_id of each group.
+
+    Of rows that repeat that doc_id, one stays.  Rows with a null doc_id can't be
+    named by a group and all stay.
+    """
+    groups = stored(near_duplicates(docs, radius), "groups")
+    keep = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_n"))
+    rows = packed(docs, "doc_id").join(keep, F.col("doc_id") == F.col("_keep"))
+    kept = rows.where("_n = 1").select("row")
+    if keep.where("_n > 1").limit(1).count():  # texts are shuffled only for ids that do repeat
+        kept = kept.unionByName(rows.where("_n > 1").dropDuplicates(["doc_id"]).select("row"))
+    return unpacked(kept.unionByName(packed(docs, "doc_id").where("doc_id IS NULL").select("row")), docs)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

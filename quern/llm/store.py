@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,3 +52,13 @@ def dropped(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         at = jvm.org.apache.hadoop.fs.Path(folder)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def packed(docs: DataFrame, *keep) -> DataFrame:
+    """``docs`` as one struct column ``row`` and the columns ``keep``: other columns can't clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keep)
+
+
+def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` back from ``row``."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
