@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.store import packed, unpacked
+
 #: Java and RE2 read this class alike.
 WORD = r"[^\\x20\\x09-\\x0D]+"
 WORDS = f"regexp_extract_all(%s, '{WORD}', 0)"
@@ -109,9 +111,11 @@ class Ranked:
 
 def measured(docs: DataFrame, names: tuple[str, ...] = tuple(MEASURES)) -> DataFrame:
     """``docs`` (any columns) as struct ``row`` with the named measures beside it; a null text counts as empty."""
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.expr("coalesce(text, '')").alias("t"))
-    base = base.withColumn("w", F.expr(WORDS % "t"))
-    return base.select("row", *[F.expr(MEASURES[n]).alias(n) for n in names])
+    # One expression over words bound by a lambda: a later filter on a measure may repeat it, but
+    # can't put the split of the text into its loops.
+    fields = ", ".join(f"{MEASURES[n]} AS {n}" for n in names)
+    base = packed(docs, F.expr("coalesce(text, '')").alias("t"))
+    return base.select("row", F.expr(let(WORDS % "t", "w", f"struct({fields})")).alias("m")).select("row", *[f"m.{n}" for n in names])
 
 
 def ranked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> list[Ranked]:
@@ -171,11 +175,11 @@ def keep_documents(docs: DataFrame, order: list[Ranked] | None = None) -> DataFr
             reject = reject.replace(n, f"m.{n}")
         needs = ", ".join(f"{MEASURES[n]} AS {n}" for n in x.rule.needs)
         branches.append(f"({let(f'struct({needs})', 'm', reject)})")
-    rejected = " OR ".join(branches) or "false"
-    names = docs.columns
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.expr("coalesce(text, '')").alias("t")).withColumn("w", F.expr(WORDS % "t"))
-    d = d.where(~F.expr(rejected))
-    return d.select(*[F.col("row").getField(c).alias(c) for c in names])
+    # The words are bound by a lambda: as a column, the optimizer would push the filter below it and
+    # so put the split of the text into every use, inside the loops over positions too.
+    rejected = let(WORDS % "t", "w", " OR ".join(branches) or "false")
+    d = packed(docs, F.expr("coalesce(text, '')").alias("t"))
+    return unpacked(d.where(~F.expr(rejected)), docs)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
