@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code point ranges of scripts; letters outside them are of script "other".
@@ -183,18 +183,22 @@ def parts(texts: list[str]):
         yield part
 
 
+def hash_cut(wanted: int, rows: int) -> int:
+    """The hash that about ``wanted`` of ``rows`` rows don't exceed, if 64-bit hashes are uniform; no rows need to be ranked."""
+    return -(1 << 63) + ((1 << 64) * min(wanted, rows)) // max(rows, 1) - 1
+
+
 def train(labelled: DataFrame, per_lang: int = PER_LANG, min_share: float = 0.01) -> Model:
-    """A model from rows (doc_id, text, lang): at most ``per_lang`` rows per language, those of least hash of doc_id.
+    """A model from rows (doc_id, text, lang): about ``per_lang`` rows per language (all, if there are fewer), those of least hash of doc_id.
 
     The driver gets one row per language and trigram slot: at most 2**17 a language.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_k", F.xxhash64("doc_id"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("_k"))
-    cut = rows.select("lang", "_k").withColumn("_r", place).where(F.col("_r") <= per_lang).groupBy("lang").agg(F.max("_k").alias("k")).collect()
-    langs = sorted(r["lang"] for r in cut)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((1 << TABLE_BITS, 0), np.float32), np.zeros((OTHER + 1, 0), bool))
-    bound = F.create_map(*[x for r in cut for x in (F.lit(r["lang"]), F.lit(r["k"]))])
+    bound = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(hash_cut(per_lang, counts[g])))])
     sample = rows.where(F.col("_k") <= F.element_at(bound, F.col("lang")))
     counts = count_rows(sample).toPandas()
     number = {x: i for i, x in enumerate(langs)}

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.langid import fold, parts
+from quern.llm.langid import fold, hash_cut, parts
 
 SLOTS_BITS = 18
 SLOTS = 1 << SLOTS_BITS
@@ -105,11 +105,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, c: float = 10.0, rounds: int = 40
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from ``labels`` (doc_id, quality) and the texts of ``docs``.
 
-    At most ``sample`` labelled rows are used, those of least hash of doc_id;
-    they are broadcast to the texts, and the driver gets their feature numbers.
+    About ``sample`` labelled rows are used (all, if there are fewer), those of
+    least hash of doc_id; they are broadcast to the texts, and the driver gets their feature numbers.
     Null labels, labels without a document and null texts are passed over.
     """
-    some = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    some = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    some = some.where(F.xxhash64("doc_id") <= F.lit(hash_cut(sample, some.count())))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
