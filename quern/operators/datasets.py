@@ -171,6 +171,12 @@ def history_chunks(commits: DataFrame) -> DataFrame:
     return c.unionByName(s)
 
 
+def pending(commits: DataFrame, cursors: DataFrame) -> DataFrame:
+    """(repo, pending): commits newer than each repository's cursor (repo, sha); all of them where the cursor is unknown."""
+    at = commits.join(cursors, ["repo", "sha"]).select("repo", F.col("committed_at").alias("_at"))
+    return commits.join(at, "repo", "left").where("_at IS NULL OR committed_at > _at").groupBy("repo").agg(F.count("*").alias("pending"))
+
+
 # ---------------------------------------------------------------- packing
 
 

@@ -25,7 +25,8 @@ def current(spark: SparkSession, root: str) -> str | None:
 
 def version(spark: SparkSession, root: str) -> str | None:
     at = current(spark, root)
-    return None if at is None else spark.read.parquet(f"{at}/sources").select("builder_version").limit(1).first()[0] if spark.read.parquet(f"{at}/sources").limit(1).count() else None
+    rows = spark.read.parquet(f"{at}/sources").select("builder_version").take(1) if at else []
+    return rows[0][0] if rows else None
 
 
 def write_generation(spark: SparkSession, root: str, chunks: DataFrame, sources: DataFrame, builder_version: str) -> str:
@@ -69,6 +70,11 @@ def json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.select("line_no", "r.*", "raw").withColumn("bad", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record", "raw")
 
 
+def append_json(rows: DataFrame, path: str) -> None:
+    """Append ledger rows (receipts, turns, cache events) as JSON lines; readers see whole files only."""
+    rows.coalesce(1).write.mode("append").json(path)
+
+
 def read_yaml(spark: SparkSession, root: str, exts: str = ".yaml,.yml", **options) -> DataFrame:
     """(source, pos, entry): the entries of YAML lists below ``root``; ``entry`` is JSON text whose scalars are strings."""
     import pandas as pd

@@ -303,3 +303,9 @@ def test_document_cites(spark):
     files = spark.createDataFrame([("x.md", "1", "2"), ("a/b.md", "1", "1")], "path string, indexed_sha string, live_sha string")
     got = {(r["cite"], r["line"], r["status"]) for r in graph.resolved(c, src, files).collect()}
     assert got == {("D1", 1, "stale"), ("D9", 2, "unresolved"), ("a/b.md", 2, "ok")}
+
+
+def test_pending_commits(spark):
+    c = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("r", "c", 3), ("q", "d", 1)], "repo string, sha string, committed_at int")
+    cur = spark.createDataFrame([("r", "a"), ("q", "gone")], "repo string, sha string")
+    assert {r["repo"]: r["pending"] for r in datasets.pending(c, cur).collect()} == {"r": 2, "q": 1}
