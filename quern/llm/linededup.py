@@ -30,6 +30,8 @@ SHINGLE = 6
 BANDS, ROWS = 14, 5
 BINS = BANDS * ROWS
 SIMILARITY = 0.8
+#: Distinct lines that share a key (8 bytes each) up to which they are broadcast to the scan for their texts.
+BROADCAST_LINES = 2_000_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -125,13 +127,23 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield groups(held_k, held_h)
 
 
-def jaccard_links(h: list[int], lines: list[str], similarity: float) -> list[tuple[int, int]]:
-    """A forest of the pairs of ``lines`` at ``similarity`` or more.
+def line_sets(lines: list[str]) -> list[np.ndarray]:
+    """Each line's distinct shingle hashes, sorted; the hashes of all lines are computed together."""
+    h = shingle_hashes(_codes("".join(lines)))
+    out, at = [], 0
+    for x in lines:
+        s = np.sort(h[at : at + max(0, len(x) - SHINGLE + 1)])
+        out.append(s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s)
+        at += len(x)
+    return out
+
+
+def jaccard_links(h: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A forest of the pairs of shingle sets at ``similarity`` or more.
 
     A line taken from the queue meets only lines that nothing has reached yet, so
     a large group of near copies costs about its size, not its square.
     """
-    sets = [np.unique(shingle_hashes(_codes(x))) for x in lines]
     size = np.array([len(s) for s in sets])
     left = list(np.argsort(size, kind="stable"))
     out = []
@@ -159,27 +171,26 @@ def jaccard_links(h: list[int], lines: list[str], similarity: float) -> list[tup
 def _verified(similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(grp, h, norm) sorted by grp to links (u, v)."""
-        grp, hs, lines = None, [], []
-        out: list[tuple[int, int]] = []
+        grp, hs, sets = None, [], []
 
         def batch_of(pairs):
             u, v = zip(*pairs, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            for g, h, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            out: list[tuple[int, int]] = []
+            _, first, where = np.unique(batch.column(1).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+            known = line_sets(batch.column(2).take(pa.array(first)).to_pylist())
+            for g, h, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), where.tolist(), strict=True):
                 if g != grp:
                     if len(hs) > 1:
-                        out += jaccard_links(hs, lines, similarity)
-                    grp, hs, lines = g, [], []
+                        out += jaccard_links(hs, sets, similarity)
+                    grp, hs, sets = g, [], []
                 hs.append(h)
-                lines.append(line)
+                sets.append(known[i])
             if out:
                 yield batch_of(out)
-                out = []
-        if len(hs) > 1:
-            out += jaccard_links(hs, lines, similarity)
-        if out:
+        if len(hs) > 1 and (out := jaccard_links(hs, sets, similarity)):
             yield batch_of(out)
 
     return verify
@@ -193,23 +204,27 @@ def eligible_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line) of the lines to remove: all of a component but its first by (doc_id, line)."""
+    """(doc_id, line) of the lines to remove: all of a component but its first by (doc_id, line); null doc_ids have none."""
     lines = eligible_lines(docs, min_chars)
     banded = lines.select("h", "norm").mapInArrow(_banded, "key long, h long")
     shared = banded.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_buckets, "grp long, h long")
     shared = stored(shared.distinct(), "buckets")
-    texts = lines.select("h", "norm").join(shared.select(F.col("h").alias("_h")).distinct(), F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h"])
+    wanted = shared.select(F.col("h").alias("_h")).distinct()
+    few = wanted.count() <= BROADCAST_LINES
+    texts = lines.select("h", "norm").join(F.broadcast(wanted) if few else wanted, F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h"])
     rows = shared.join(texts, "h").select("grp", "h", "norm").repartition("grp").sortWithinPartitions("grp", "h")
     links = rows.mapInArrow(_verified(similarity), "u long, v long")
     roots = stored(components(links), "lines")
 
-    places = stored(lines.select("doc_id", "line", "h"), "places")
-    first = places.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-    first = first.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    best = first.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    gone = first.join(best, "root").select(F.col("h").alias("_h"), "kept")
-    gone = places.join(gone, F.col("h") == F.col("_h"))
-    return gone.where(~F.struct("doc_id", "line").eqNullSafe(F.struct(F.col("kept.doc_id").alias("doc_id"), F.col("kept.line").alias("line")))).select("doc_id", "line")
+    places = stored(lines.select("doc_id", "line", "h").where("doc_id IS NOT NULL"), "places")
+    counts = places.groupBy("h").agg(F.min("doc_id").alias("d"), F.count("*").alias("n"))
+    counts = counts.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    best = counts.groupBy("root").agg(F.min("d").alias("d"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    many = stored(counts.join(best.select("root", F.col("d").alias("kept_doc")), "root").select(F.col("h").alias("_h"), "root", "kept_doc"), "many")
+    many = places.join(many, F.col("h") == F.col("_h"))
+    own = many.where("doc_id = kept_doc")
+    kept = own.groupBy("root").agg(F.min("line").alias("kept_line"))
+    return many.where("doc_id != kept_doc").select("doc_id", "line").unionByName(own.join(kept, "root").where("line > kept_line").select("doc_id", "line"))
 
 
 def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -221,8 +236,9 @@ def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_
     replaced); a text may end up empty.
     """
     gone = repeated_lines(docs, similarity, min_chars).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_lines"))
-    both = packed(docs, "doc_id", "text").join(gone, F.col("doc_id") == F.col("_id"), "left")
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_lines"), i)), "\n"))
+    # The removed lines are the build side of a hash join, so the texts need no sort.
+    both = packed(docs, "doc_id").join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
+    text = F.when(F.col("_lines").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains(F.col("_lines"), i)), "\n"))
     removed = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines"))
     return both.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != "lines_removed"], removed.alias("lines_removed"))
 

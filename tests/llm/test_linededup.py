@@ -84,7 +84,7 @@ def test_a_large_group_of_near_copies(spark):
 def test_links_need_no_common_centre():
     x = "".join(chr(97 + i % 26) + str(i) for i in range(200))
     lines = [x[: len(x) - k * 40] for k in range(4)]
-    near = ld.jaccard_links([0, 1, 2, 3], lines, 0.8)
+    near = ld.jaccard_links([0, 1, 2, 3], ld.line_sets(lines), 0.8)
     ids = {0, 1, 2, 3}
     assert len(near) <= 3 and {i for p in near for i in p} <= ids
 
