@@ -101,30 +101,42 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, h) sorted to (grp, h) of the keys that two or more lines share; equal member sets get equal ``grp``."""
+    """(key, h) sorted by key to (grp, h) of the keys that two or more lines share; equal member sets get equal ``grp``."""
     held_k = held_h = np.empty(0, np.int64)
 
-    def groups(k, h):
+    def runs(k):
         new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        size = np.diff(np.r_[new, len(k)])
+        return new, np.diff(np.r_[new, len(k)])
+
+    def groups(k, h):
+        new, size = runs(k)
+        at = np.repeat(size > 1, size)  # most keys belong to one line and end here
+        k, h = k[at], h[at]
+        order = np.lexsort((h, k))
+        k, h = k[order], h[order]
+        fresh = np.r_[True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])] if len(k) else np.empty(0, bool)
+        k, h = k[fresh], h[fresh]
+        if not len(k):
+            return None
+        new, size = runs(k)
         many = size > 1
-        at = np.repeat(many, size)
         with np.errstate(over="ignore"):
             sums = np.add.reduceat(_mix(h.view(np.uint64)), new)
         grp = np.repeat(_mix(sums[many] + size[many].astype(np.uint64)).view(np.int64), size[many])
-        return pa.RecordBatch.from_arrays([pa.array(grp), pa.array(h[at])], names=["grp", "h"])
+        return pa.RecordBatch.from_arrays([pa.array(grp), pa.array(h[np.repeat(many, size)])], names=["grp", "h"])
 
     for batch in batches:
         k = np.concatenate([held_k, batch.column(0).to_numpy(zero_copy_only=False)])
         h = np.concatenate([held_h, batch.column(1).to_numpy(zero_copy_only=False)])
-        fresh = np.r_[True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])] if len(k) else np.empty(0, bool)
-        k, h = k[fresh], h[fresh]
-        cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
-        held_k, held_h = k[cut:], h[cut:]
-        if cut:
-            yield groups(k[:cut], h[:cut])
-    if len(held_k):
-        yield groups(held_k, held_h)
+        if not len(k):
+            continue
+        cut = int(np.searchsorted(k, k[-1]))  # the last key may go on in the next batch
+        held_h = np.unique(h[cut:])
+        held_k = np.full(len(held_h), k[-1])
+        if cut and (out := groups(k[:cut], h[:cut])) is not None:
+            yield out
+    if len(held_k) and (out := groups(held_k, held_h)) is not None:
+        yield out
 
 
 def line_sets(lines: list[str]) -> list[np.ndarray]:
@@ -207,7 +219,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: i
     """(doc_id, line) of the lines to remove: all of a component but its first by (doc_id, line); null doc_ids have none."""
     lines = eligible_lines(docs, min_chars)
     banded = lines.select("h", "norm").mapInArrow(_banded, "key long, h long")
-    shared = banded.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_buckets, "grp long, h long")
+    shared = banded.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "grp long, h long")
     shared = stored(shared.distinct(), "buckets")
     wanted = shared.select(F.col("h").alias("_h")).distinct()
     few = wanted.count() <= BROADCAST_LINES
