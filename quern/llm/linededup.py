@@ -37,9 +37,12 @@ MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * MIX[1]
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= MIX[0]
+    x ^= x >> np.uint64(27)
+    x *= MIX[1]
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _codes(text: str) -> np.ndarray:
@@ -49,9 +52,11 @@ def _codes(text: str) -> np.ndarray:
 def shingle_hashes(codes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """64-bit hashes of all runs of ``size`` code points."""
     n = max(0, len(codes) - size + 1)
-    h = np.zeros(n, np.uint64)
-    for k in range(size):
-        h = h * np.uint64(0x100000001B3) + codes[k : k + n]
+    wide = codes.astype(np.uint64)
+    h = wide[:n].copy()
+    for k in range(1, size):
+        h *= np.uint64(0x100000001B3)
+        h += wide[k : k + n]
     return _mix(h)
 
 
@@ -64,7 +69,7 @@ def signatures(lines: list[str]) -> np.ndarray:
     inside = np.arange(len(h)) <= ends[row] - SHINGLE
     h, row = h[inside], row[inside]
     sig = np.full(len(lines) * BINS, EMPTY)
-    np.minimum.at(sig, row * BINS + ((h >> np.uint64(32)) % np.uint64(BINS)).astype(np.int64), h)
+    np.minimum.at(sig, row * BINS + (((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64), h)
     sig = sig.reshape(-1, BINS)
     empty = sig == EMPTY
     r, b = np.nonzero(empty)
