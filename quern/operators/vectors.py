@@ -6,6 +6,11 @@ taken in double.  Every ranking ends in a unique key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,10 @@ from quern.functions import dims
 #: Queries (rows) up to which a query table is broadcast to the scan; beyond, scopes are joined by shuffle.
 BROADCAST_QUERIES = 10_000
 OVER_FETCH = (3, 15, 30)
+#: Rows of a block of vectors or queries; a task holds the distances between two blocks.
+BLOCK = 1024
+#: Hits (16 bytes each) that a task holds before it hands them on.
+HELD = 2_000_000
 
 
 def _c(c) -> Column:
@@ -76,6 +85,90 @@ def nearest(hits: DataFrame, n: int) -> DataFrame:
     return top_k(hits, ["qid"], [F.col("distance"), F.col("id")], n, "rank") if n > 0 else hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, embedding) to rows of up to ``BLOCK`` vectors: ids, dimensions, and the values padded to the longest, by rising id."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            ids, rows = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
+            order = np.argsort(ids, kind="stable")
+            dims_ = np.array([len(rows[i] or ()) for i in order], np.int32)
+            flat = np.zeros((len(order), max(1, dims_.max())), np.float32)
+            for r, i in enumerate(order):
+                flat[r, : dims_[r]] = rows[i] or ()
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids[order].astype(np.int64), dims_, flat)], names=["ids", "dims", "flat"])
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Half up by the shortest decimal, as Spark's round."""
+    scaled = x * 10.0**digits
+    out = np.floor(scaled + 0.5) / 10.0**digits
+    for i in zip(*np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6), strict=True):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
+
+
+def _block_distances(q: np.ndarray, v: np.ndarray, q_dims: np.ndarray, v_dims: np.ndarray) -> np.ndarray:
+    """1 - :func:`cosine` of all pairs, summed in the order of the SQL fold."""
+    sums, nq, nv = np.zeros((len(q), len(v))), np.zeros(len(q)), np.zeros(len(v))
+    q, v = q.astype(np.float64).T.copy(), v.astype(np.float64).T.copy()
+    for x in q:
+        nq += x * x
+    for y in v:
+        nv += y * y
+    for x, y in zip(q, v, strict=False):
+        sums += x[:, None] * y
+    long = np.sqrt(nq)[:, None] * np.sqrt(nv)
+    some = (q_dims[:, None] == v_dims) & (nq > 0)[:, None] & (nv > 0)
+    return 1 - np.where(some, sums / np.where(some, long, 1), 0.0)
+
+
+def _block_nearest(n: int, digits: int | None):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # the nearest so far of each block of queries
+
+        def handed_on():
+            for q_ids, (dist, near) in held.items():
+                qids = np.frombuffer(q_ids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, near.shape[1])), pa.array(near.ravel()), pa.array(dist.ravel())], names=["qid", "id", "distance"])
+            held.clear()
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
+                dist = _block_distances(*[np.frombuffer(r[f"{s}flat"], np.float32).reshape(len(x), -1) for s, x in (("q_", qids), ("", ids))], *[np.frombuffer(r[f"{s}dims"], np.int32) for s in ("q_", "")])
+                dist = dist if digits is None else _rounded(dist, digits)
+                best = np.argsort(dist, axis=1, kind="stable")[:, :n]  # ids rise inside a block
+                dist, near = np.take_along_axis(dist, best, 1), ids[best]
+                if r["q_ids"] in held:
+                    dist, near = (np.concatenate(x, axis=1) for x in zip(held[r["q_ids"]], (dist, near), strict=True))
+                    best = np.lexsort((near, dist), axis=1)[:, :n]
+                    dist, near = np.take_along_axis(dist, best, 1), np.take_along_axis(near, best, 1)
+                held[r["q_ids"]] = dist, near
+                if sum(x.size for x, _ in held.values()) > HELD:
+                    yield from handed_on()
+        yield from handed_on()
+
+    return search
+
+
+def nearest_in_blocks(queries: DataFrame, vectors: DataFrame, n: int, digits: int | None = None) -> DataFrame:
+    """``nearest(scored(queries, vectors, digits), n)`` for queries of all scopes, whole-number ids and n > 0.
+
+    Blocks of queries meet blocks of vectors, and only the ``n`` nearest of each
+    query leave a task (more often beyond ``HELD`` of them), so the pairs themselves are never rows.
+    """
+    kind = "ids binary, dims binary, flat binary"
+    q = queries.select(F.col("qid").cast("long").alias("id"), "embedding").mapInArrow(_blocks, kind).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "dims", "flat")])
+    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    v = vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(_blocks, kind).repartition(parts)
+    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    near = v.crossJoin(F.broadcast(q) if few else q).mapInArrow(_block_nearest(n, digits), "qid long, id long, distance double")
+    near = top_k(near, ["qid"], [F.col("distance"), F.col("id")], n)
+    return near.join(vectors.select("id", "family", "scope", "source", "doc"), "id").select("qid", "id", "family", "scope", "source", "doc", "distance", "rank")
+
+
 def with_reserve(hits: DataFrame, n: int, reserve: int = 2, family: str = "failure_modes") -> DataFrame:
     """The nearest ``n`` of a query, ``reserve`` of which are kept for the nearest of one family, by distance again at the end."""
     own = F.row_number().over(Window.partitionBy("qid", "family").orderBy("distance", "id"))

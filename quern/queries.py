@@ -322,8 +322,9 @@ def topn_with_reserve(spark, d):
 
 @query()
 def bucket_balanced_topk(spark, d):
-    """Source and bucket caps interact in order, so there is no plain SQL for it."""
-    h = vectors.nearest(_hits(spark, d), 120).drop("rank").withColumn("doc_type", F.when(F.col("family") == "corpus", "pattern").otherwise("standard")).withColumn("cites", F.array(F.concat(F.lit("D"), "source"))).withColumn("source", F.concat_ws("/", "source", F.col("id") % 4))
+    """Source and bucket caps interact in order, so there is no plain SQL for it.  Every 20th vector is a query."""
+    q = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    h = vectors.nearest_in_blocks(q, _vectors(spark, d), 120, 6).drop("rank").withColumn("doc_type", F.when(F.col("family") == "corpus", "pattern").otherwise("standard")).withColumn("cites", F.array(F.concat(F.lit("D"), "source"))).withColumn("source", F.concat_ws("/", "source", F.col("id") % 4))
     return vectors.balanced(h, 9).select("qid", "id", "bucket", "rank")
 
 
