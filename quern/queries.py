@@ -375,10 +375,11 @@ _REACT = "SELECT event_id AS line_no, CASE WHEN user_id % 9 = 0 THEN 'none' ELSE
 _EFF = f"e AS (SELECT turn_id, arg_max(struct_pack(line_no, phase, label, reaction, subcommand), (phase = 'retro')::BIGINT * 1000000000 + line_no) AS r FROM ({_REACT}) WHERE turn_id NOT IN ('', 'none') GROUP BY turn_id), f AS (SELECT turn_id, r.* FROM e WHERE r.label IS DISTINCT FROM 'retracted')"
 
 
-def _reactions(spark, d):
-    n = F.col("event_id")
+def _reactions(spark, d, fold: int | None = 200):
+    n, user = F.col("event_id"), F.col("user_id")
+    turn = user if fold is None else user % fold
     return table(spark, d, "events").select(
-        n.alias("line_no"), F.when(F.col("user_id") % 9 == 0, "none").otherwise(F.concat(F.lit("t"), (F.col("user_id") % 200).cast("string"))).alias("turn_id"), F.when(n % 10 == 0, "retro").otherwise("live").alias("phase"),
+        n.alias("line_no"), F.when(F.col("user_id") % 9 == 0, "none").otherwise(F.concat(F.lit("t"), turn.cast("string"))).alias("turn_id"), F.when(n % 10 == 0, "retro").otherwise("live").alias("phase"),
         F.when(n % 7 == 0, "retracted").when(n % 7 == 1, "wrong").when(n % 7 == 2, "confirmed").otherwise("").alias("label"), F.when(n % 3 == 0, "accept").when(n % 3 == 1, "reject").otherwise("partial").alias("reaction"),
         F.when(n % 2 == 0, "challenge").otherwise("validate").alias("subcommand"), F.lit("").alias("verdict"), F.lit("n").alias("note"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"),
         F.when(n % 4 == 0, F.array(F.lit("D999"), F.lit("plain word"))).alias("unresolved_cites"),
@@ -388,7 +389,7 @@ def _reactions(spark, d):
 def _turns(spark, d):
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
-    return c.where(k % 200 == k).select(F.concat(F.lit("t"), k.cast("string")).alias("turn_id"), F.array("c_mktsegment").alias("scope"), F.col("c_name").alias("request"), F.when(k % 2 == 0, "INVALID").otherwise("REJECTED").alias("verdict"), F.when(k % 5 == 0, "abort").alias("proceed"), F.when(k % 3 == 0, F.col("c_name")).alias("claim"), F.when(k % 3 == 0, F.lit("diff")).alias("diff"), F.array().cast("array<string>").alias("cites"))
+    return c.select(F.concat(F.lit("t"), k.cast("string")).alias("turn_id"), F.array("c_mktsegment").alias("scope"), F.col("c_name").alias("request"), F.when(k % 2 == 0, "INVALID").otherwise("REJECTED").alias("verdict"), F.when(k % 5 == 0, "abort").alias("proceed"), F.when(k % 3 == 0, F.col("c_name")).alias("claim"), F.when(k % 3 == 0, F.lit("diff")).alias("diff"), F.array().cast("array<string>").alias("cites"))
 
 
 @query(f"WITH {_EFF} SELECT turn_id, line_no, phase, label, reaction FROM f")
@@ -414,7 +415,7 @@ def harvest_classify(spark, d):
 @query()
 def demotion_dispositions(spark, d):
     state = spark.createDataFrame([("challenge", True, "2023-06-01"), ("validate", False, "2023-06-01")], "surface string, blocking boolean, promoted_at string")
-    return ledger.dispositions(_reactions(spark, d), state, _turns(spark, d).select("turn_id", "verdict", "proceed"))
+    return ledger.dispositions(_reactions(spark, d, fold=None), state, _turns(spark, d).select("turn_id", "verdict", "proceed"))
 
 
 _LOG = "SELECT CASE event_id % 6 WHEN 0 THEN 'hit' WHEN 1 THEN 'hit' WHEN 2 THEN 'miss' WHEN 3 THEN 'store' WHEN 4 THEN 'drift' ELSE 'invalidate' END AS event, user_id % 100 AS creation, user_id % 50 AS reads, user_id FROM events"
