@@ -10,7 +10,9 @@ share a key are verified by exact Jaccard similarity, and the links go to a
 distributed union-find.  Of each component the first line by (doc_id, line
 number) stays.
 
-Shorter lines are left alone: they coincide by chance.
+Shorter lines are too short for shingles to tell near copies from chance: of
+them only exact repeats (of the trimmed, lower-cased line) go, by the same hash.
+Lines of white space alone stay.
 """
 
 from __future__ import annotations
@@ -213,13 +215,26 @@ def _verified(similarity: float):
     return verify
 
 
-def eligible_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line, h, norm) of the lines with at least ``min_chars`` characters when trimmed; ``line`` counts from 0."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.length(F.trim("raw")) >= max(min_chars, SHINGLE))
+def _long(min_chars: int):
+    return F.length(F.trim("raw")) >= max(min_chars, SHINGLE)
+
+
+def _lines(docs: DataFrame, some) -> DataFrame:
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(some)
     lines = lines.select("doc_id", "line", F.lower(F.trim("raw")).alias("norm"))
     return lines.select("doc_id", "line", F.xxhash64("norm").alias("h"), "norm")
 
 
+def eligible_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, line, h, norm) of the lines with at least ``min_chars`` characters when trimmed; ``line`` counts from 0."""
+    return _lines(docs, _long(min_chars))
+
+
+def counted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The lines of :func:`eligible_lines`, and the shorter ones that hold more than white space."""
+    return _lines(docs, _long(min_chars) | F.expr("raw RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'"))
+
+
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line) of the lines to remove: all of a component but its first by (doc_id, line); null doc_ids have none."""
     lines = eligible_lines(docs, min_chars)
@@ -233,7 +248,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: i
     links = rows.mapInArrow(_verified(similarity), "u long, v long")
     roots = stored(components(links), "lines")
 
-    places = stored(lines.select("doc_id", "line", "h").where("doc_id IS NOT NULL"), "places")
+    places = stored(counted_lines(docs, min_chars).select("doc_id", "line", "h").where("doc_id IS NOT NULL"), "places")
     counts = places.groupBy("h").agg(F.min("doc_id").alias("d"), F.count("*").alias("n"))
     counts = counts.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     best = counts.groupBy("root").agg(F.min("d").alias("d"), F.sum("n").alias("all")).where(F.col("all") > 1)
@@ -247,7 +262,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: i
 def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``, and a column ``lines_removed``.
 
-    Null texts and texts without long lines pass as they are.  Rows that repeat a
+    Null and blank texts pass as they are.  Rows that repeat a
     doc_id count as one document and lose the same lines.  Rows with a null
     doc_id lose none.  Columns and row count stay (a column ``lines_removed`` is
     replaced); a text may end up empty.

@@ -107,3 +107,9 @@ def test_plain_query_counts(spark):
     docs = spark.createDataFrame([(1, "x" * 40 + "\nshort"), (2, "x" * 40)], "doc_id long, text string")
     got = {r["doc_id"]: r["lines_removed"] for r in ld.without_repeated_lines(docs).select("doc_id", F.col("lines_removed")).collect()}
     assert got == {1: 0, 2: 1}
+
+
+def test_exact_repeats_of_short_lines_go(spark):
+    docs = spark.createDataFrame([(1, "Read more\n\n \t\n短い文です。\n}"), (2, " read more \n\n \t\n短い文です。\nread mode\n}\n}"), (None, "read more")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in ld.without_repeated_lines(docs).collect()}
+    assert got == {1: ("Read more\n\n \t\n短い文です。\n}", 0), 2: ("\n \t\nread mode", 4), None: ("read more", 0)}
