@@ -1,4 +1,4 @@
-"""From raw documents to a mix: quality rules, line dedup, SimHash near-dedup, decontamination, mixing.
+"""From raw documents to a mix: quality rules, line dedup, near-dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before
 kept.  All but the last return the columns of ``documents``; the last returns
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, linededup, mixing, rules, simhash
+from quern.llm import decontam, linededup, mixing, neardocs, rules
 from quern.llm.store import stored
 
 #: SQL has no MinHash, SimHash or union-find; tests compare run() with brute force instead.
@@ -33,7 +33,7 @@ def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of least doc_id stays."""
-    return simhash.one_per_group(docs)
+    return neardocs.one_per_group(docs)
 
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,7 +70,12 @@ def signatures(lines: list[str]) -> np.ndarray:
     row = np.repeat(np.arange(len(lines)), lens)[: len(h)]
     inside = np.arange(len(h)) <= ends[row] - SHINGLE
     h, row = h[inside], row[inside]
-    sig = np.full(len(lines) * BINS, EMPTY)
+    return binned(h, row, len(lines))
+
+
+def binned(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Signatures of ``n`` rows from the shingle hashes ``h`` of rows ``row``; every row needs one at least."""
+    sig = np.full(n * BINS, EMPTY)
     np.minimum.at(sig, row * BINS + (((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64), h)
     sig = sig.reshape(-1, BINS)
     empty = sig == EMPTY
@@ -87,9 +92,13 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """One row of ``BANDS`` 64-bit keys per line."""
-    sig = signatures(lines).reshape(len(lines), BANDS, ROWS)
+    return keys_of(signatures(lines))
+
+
+def keys_of(sig: np.ndarray) -> np.ndarray:
+    sig = sig.reshape(-1, BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * MIX[0]
-    key = np.repeat(key, len(lines), axis=0)
+    key = np.repeat(key, len(sig), axis=0)
     for k in range(ROWS):
         key = _mix(key ^ sig[:, :, k]) + np.uint64(k)
     return key
@@ -187,7 +196,7 @@ def jaccard_links(h: list[int], sets: list[np.ndarray], similarity: float) -> li
     return out
 
 
-def _verified(similarity: float):
+def _verified(similarity: float, sets_of=line_sets):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(grp, h, norm) sorted by grp to links (u, v)."""
         grp, hs, sets = None, [], []
@@ -199,7 +208,7 @@ def _verified(similarity: float):
         for batch in batches:
             out: list[tuple[int, int]] = []
             _, first, where = np.unique(batch.column(1).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
-            known = line_sets(batch.column(2).take(pa.array(first)).to_pylist())
+            known = sets_of(batch.column(2).take(pa.array(first)).to_pylist())
             for g, h, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), where.tolist(), strict=True):
                 if g != grp:
                     if len(hs) > 1:

@@ -185,12 +185,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with only the document of least doc_id of each group.
+    """``docs`` with only the document of least doc_id of each group of :func:`near_duplicates`."""
+    return first_of_groups(docs, near_duplicates(docs, radius))
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with only the document of least doc_id of each group (doc_id, component_id).
 
     Of rows that repeat that doc_id, one stays.  Rows with a null doc_id can't be
     named by a group and all stay.
     """
-    groups = stored(near_duplicates(docs, radius), "groups")
+    groups = stored(groups, "groups")
     keep = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_n"))
     rows = packed(docs, "doc_id").join(keep, F.col("doc_id") == F.col("_keep"))
     kept = rows.where("_n = 1").select("row")
