@@ -196,7 +196,9 @@ def jaccard_links(h: list[int], sets: list[np.ndarray], similarity: float) -> li
     return out
 
 
-def _verified(similarity: float, sets_of=line_sets):
+def _verified(similarity: float, sets_of=line_sets, rows: int | None = None):
+    """``rows``: how many rows of a batch are taken at once; all if none is given."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(grp, h, norm) sorted by grp to links (u, v)."""
         grp, hs, sets = None, [], []
@@ -205,7 +207,7 @@ def _verified(similarity: float, sets_of=line_sets):
             u, v = zip(*pairs, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-        for batch in batches:
+        for batch in (b.slice(at, rows or b.num_rows) for b in batches for at in range(0, b.num_rows, rows or b.num_rows or 1)):
             out: list[tuple[int, int]] = []
             _, first, where = np.unique(batch.column(1).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
             known = sets_of(batch.column(2).take(pa.array(first)).to_pylist())

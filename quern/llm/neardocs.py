@@ -23,6 +23,8 @@ from quern.llm.store import stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Texts that a Python worker takes at once; they are much longer than lines.
+ROWS = 250
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -39,8 +41,8 @@ def _sets(texts: list[str]) -> list[np.ndarray]:
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, text) to (key, h); texts without words have no key."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
             sets = _sets(part.column(1).to_pylist())
             some = np.array([len(s) > 0 for s in sets])
             sets = [s for s in sets if len(s)]
@@ -59,7 +61,7 @@ def similar_texts(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     few = wanted.count() <= linededup.BROADCAST_LINES
     found = texts.join(F.broadcast(wanted) if few else wanted, F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h"])
     rows = shared.join(found, "h").select("grp", "h", "text").repartition("grp").sortWithinPartitions("grp", "h")
-    return rows.mapInArrow(linededup._verified(similarity, _sets), "u long, v long")
+    return rows.mapInArrow(linededup._verified(similarity, _sets, ROWS), "u long, v long")
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = simhash.RADIUS) -> DataFrame:
