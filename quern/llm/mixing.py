@@ -5,13 +5,15 @@
    words; what is cut off is shared again by weight (water-filling).
 2. A source's words are dealt into shards of about ``shard_words`` words by a
    seeded hash of the document, so a hot source has many shards.
-3. Blocks of ``block_words`` words are apportioned by Sainte-Lague, first to
-   sources by target, then inside a source to its shards by size.  This gives an
-   integer quota of blocks per shard.
+3. Blocks of ``block_words`` words are apportioned by Sainte-Lague (highest
+   quotients), first to sources by target, then inside a source to its shards by
+   size.  This gives an integer quota of blocks per shard.
 4. A shard's documents stand in a seeded order and form one stream of words cut
-   into blocks.  A quota of q over n blocks takes every block q div n times, and
-   q mod n blocks once more, chosen evenly from a seeded start.  How much of a
-   document that takes has a closed form, so blocks are never listed as rows.
+   into blocks.  A quota of q blocks, at most ``max_repeats`` times the stream, is
+   that many words: the whole stream as often as it fits, then blocks chosen
+   evenly from a seeded start, of which the last is cut where the words are
+   reached.  How much of a document that takes has a closed form, so blocks are
+   never listed as rows.
 
 Everything is built-in SQL and DataFrame operations.  Only the table of sources
 (one row each) and that of shards pass through a window.
@@ -60,34 +62,58 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, max_re
     return s.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("weight") * level).alias("target"))
 
 
+def divisor(votes: DataFrame, key: list, group: list, vote: str, cap: str, wanted: str, name: str) -> DataFrame:
+    """Add ``name``: the d at which the rows' least(cap, vote / d) sum to ``wanted``; 0 where all caps together don't reach it.
+
+    In closed form: rows by rising cap / vote reach their caps in that order, so d
+    is the first (votes from here on) / (wanted - caps before) that leaves the row
+    below its cap.  Null where ``wanted`` isn't positive.
+    """
+    w = Window.partitionBy(*group).orderBy(F.try_divide(cap, vote).asc_nulls_last(), *[F.col(k).asc_nulls_last() for k in key])
+    before = F.coalesce(F.sum(cap).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.sum(F.col(vote).cast("double")).over(w.rowsBetween(0, Window.unboundedFollowing))
+    at = F.when(F.col(wanted) > before, left / (F.col(wanted) - before))
+    fits = F.when((F.col(vote) > 0) & (F.col(vote) <= F.col(cap) * F.col("_at")), F.struct(F.col("_before"), F.col("_at")))
+    v = votes.withColumn("_before", before).withColumn("_at", at).withColumn("_fits", fits)
+    first = F.min("_fits").over(Window.partitionBy(*group))["_at"]
+    return v.withColumn(name, F.when(F.col(wanted) > 0, F.coalesce(first, F.lit(0.0)))).drop("_before", "_at", "_fits")
+
+
 def sainte_lague(votes: DataFrame, key: list, group: list, vote: str, seats: str, cap: str) -> DataFrame:
     """Add ``quota``: the group's ``seats`` given to its rows by highest quotients vote / (2 s + 1), at most ``cap`` each.
 
-    Highest quotients agree with rounding vote / divisor; so each row starts from
-    floor(share - 1/2), which it surely gets, and only the few seats left are
-    given one by one: each row's next quotients (three are enough for
-    uncapped rows, as the shares sum to the seats) are ranked.  ``cap`` binds
-    only rows whose vote is capped too.  Ties go to the smallest key.
+    Ties go to the smallest key, then to the lower s.  A row without votes gets none.
+
+    A row's seats are round(vote / d) for some d, capped.  Rounding n rows shifts a
+    sum by at most n / 2; so with the d at which the unrounded, capped shares sum to
+    seats - n / 2, no row has more than it gets, and with that for seats + n / 2
+    none has less.  Only the quotients between the two, fewer than 4 a row
+    together, are ranked.
     """
-    w = Window.partitionBy(*group)
-    total = F.sum(vote).over(w)
-    share = F.when(total > 0, F.col(seats) * F.col(vote).cast("double") / total).otherwise(F.lit(0.0))
-    v = votes.withColumn("_s0", F.least(F.greatest(F.floor(share - 0.5), F.lit(0)).cast("long"), F.col(cap)))
-    v = v.withColumn("_left", F.col(seats) - F.sum("_s0").over(w))
-    v = v.withColumn("_next", F.explode(F.expr("array(0L, 1L, 2L)")))
-    quotient = F.when(F.col("_s0") + F.col("_next") < F.col(cap), F.col(vote).cast("double") / (2 * (F.col("_s0") + F.col("_next")) + 1))
-    v = v.withColumn("_q", quotient)
-    order = Window.partitionBy(*group).orderBy(F.col("_q").desc_nulls_last(), *[F.col(k).asc_nulls_last() for k in key], F.col("_next"))
-    v = v.withColumn("_won", (F.row_number().over(order) <= F.col("_left")) & F.col("_q").isNotNull() & (F.col("_q") > 0))
+    n = F.count_if(F.col(vote) > 0).over(Window.partitionBy(*group))
+    v = votes.withColumn("_few", F.col(seats) - n / 2).withColumn("_many", F.col(seats) + n / 2)
+    v = divisor(v, key, group, vote, cap, "_few", "_high")
+    v = divisor(v, key, group, vote, cap, "_many", "_low")
+    # One seat of margin on both sides for the rounding of doubles.
+    rounded = lambda d, by: F.when(d > 0, F.floor(F.least(F.col(vote) / d, F.col(cap) + 1) + 0.5) + by)
+    least = F.greatest(F.coalesce(rounded(F.col("_high"), -1), F.lit(0)), F.lit(0))
+    v = v.withColumn("_s0", F.least(least, F.col(cap)).cast("long"))
+    most = F.least(F.coalesce(rounded(F.col("_low"), 1), F.col(cap)), F.col(cap)).cast("long")
+    v = v.withColumn("_left", F.col(seats) - F.sum("_s0").over(Window.partitionBy(*group))).withColumn("_most", most)
+    some = F.when((F.col(vote) > 0) & (F.col("_most") > F.col("_s0")), F.sequence(F.col("_s0"), F.col("_most") - 1))
+    v = v.withColumn("_s", F.explode_outer(some))
+    order = Window.partitionBy(*group).orderBy((F.col(vote).cast("double") / (2 * F.col("_s") + 1)).desc_nulls_last(), *[F.col(k).asc_nulls_last() for k in key], "_s")
+    v = v.withColumn("_won", (F.row_number().over(order) <= F.col("_left")) & F.col("_s").isNotNull())
     keep = [c for c in votes.columns]
     return v.groupBy(*keep, "_s0").agg(F.count_if("_won").alias("_more")).select(*keep, (F.col("_s0") + F.col("_more")).alias("quota"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, max_repeats: int = 2, block_words: int = 32, shard_words: int = 1_000_000, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, max_repeats: int = 2, block_words: int = 8, shard_words: int = 1_000_000, seed: int = 17) -> DataFrame:
     """doc_id, source, size, source_size, target and ``taken``: the words of the document that the mix takes, repeats counted.
 
-    A source's taken words differ from its target by at most ``block_words`` plus
-    what the shorter last blocks of its shards lack.  ``taken`` never exceeds
+    A source's taken words are its quota of blocks; that differs from its target
+    by about half a block, and by at most a block a shard where the source is
+    taken ``max_repeats`` times.  ``taken`` never exceeds
     ``max_repeats * size``.  Reruns agree: the order comes from MD5 of seed and
     doc_id.  Null sources form one source, the last.  Repeated rows are separate
     documents that stand side by side.  An empty table gives no rows; a source
@@ -97,7 +123,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, max_repeats: int =
     targets = stored(source_targets(sizes, weights, share, max_repeats), "targets")
     b = int(block_words)
     n_seats = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / b).cast("long")
-    t = targets.withColumn("_g", F.lit(0)).withColumn("seats", n_seats).withColumn("_cap", F.ceil(F.col("source_size") / b) * max_repeats)
+    t = targets.withColumn("_g", F.lit(0)).withColumn("seats", n_seats).withColumn("_cap", F.ceil(F.col("source_size") * max_repeats / b))
     quotas = sainte_lague(t, ["source"], ["_g"], "target", "seats", "_cap").drop("_g", "seats", "_cap").withColumnRenamed("quota", "source_quota")
     quotas = quotas.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)))
     quotas = stored(quotas, "quotas")
@@ -107,25 +133,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, max_repeats: int =
     d = d.withColumn("_m", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     d = d.withColumn("shard", F.pmod(hex_long(F.col("_m")), F.col("n_shards")))
     shards = d.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
-    shards = shards.withColumn("n_blocks", F.ceil(F.col("shard_size") / b)).withColumn("_cap", F.col("n_blocks") * max_repeats)
-    shards = sainte_lague(shards, ["shard"], ["source", "source_quota"], "shard_size", "source_quota", "_cap")
+    shards = shards.withColumn("_cap", F.ceil(F.col("shard_size") * max_repeats / b))
+    shards = sainte_lague(shards, ["shard"], ["source", "source_quota"], "shard_size", "source_quota", "_cap").drop("_cap", "source_quota")
 
     w = Window.partitionBy("source", "shard").orderBy("_m", "doc_id", "size")
     d = d.withColumn("_end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.alias("l").join(shards.alias("r"), same & (F.col("l.shard") == F.col("r.shard"))).select("l.*", "n_blocks", "quota")
-    n, end = F.col("n_blocks"), F.col("_end")
-    d = d.withColumn("_c", F.when(n > 0, F.floor(F.col("quota") / n)).otherwise(0)).withColumn("_r", F.when(n > 0, F.col("quota") % n).otherwise(0))
+    d = d.alias("l").join(shards.alias("r"), same & (F.col("l.shard") == F.col("r.shard"))).select("l.*", "shard_size", "quota")
+    whole, n, end = F.col("shard_size"), F.col("_n"), F.col("_end")
+    d = d.withColumn("_words", F.least(F.col("quota") * b, whole * max_repeats))
+    d = d.withColumn("_times", F.when(whole > 0, F.floor(F.col("_words") / whole)).otherwise(0))
+    d = d.withColumn("_rest", F.col("_words") - F.col("_times") * whole)
+    d = d.withColumn("_n", F.ceil(whole / b)).withColumn("_r", F.ceil(F.col("_rest") / b))
     start = hex_long(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("")), F.lit(":"), F.col("shard").cast("string"))))
-    d = d.withColumn("_u", F.when(n > 0, F.pmod(start, n)).otherwise(0))
+    # Starts from r on leave out the stream's last block, which may be short, unless all are chosen.
+    d = d.withColumn("_u", F.when(F.col("_r") < n, F.col("_r") + F.pmod(start, n - F.col("_r"))).otherwise(0))
 
     def taken_before(x):
         # Of blocks 0..k-1, floor((k r + u) / n) are chosen; block k is chosen if that number grows.
         k = F.floor(x / b)
         chosen = lambda k: F.floor((k * F.col("_r") + F.col("_u")) / n)
-        return chosen(k) * b + (chosen(k + 1) - chosen(k)) * (x - k * b)
+        return F.least(chosen(k) * b + (chosen(k + 1) - chosen(k)) * (x - k * b), F.col("_rest"))
 
     extra = F.when(n > 0, taken_before(end) - taken_before(end - F.col("size"))).otherwise(0)
-    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("_c") * F.col("size") + extra).cast("long").alias("taken"))
+    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("_times") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -143,29 +173,26 @@ s3 AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5 AS budget,
 s4 AS (SELECT *, (budget - caps_before) / weights_left AS lvl FROM s3),
 lv AS (SELECT arg_min(lvl, caps_before) AS level FROM s4 WHERE lvl * weight <= cap),
 tg AS (SELECT source, source_size, least(cap::DOUBLE, weight * coalesce(level, 'inf'::DOUBLE)) AS target FROM s4, lv),
-st AS (SELECT *, round((SELECT sum(target) FROM tg) / 32)::BIGINT AS seats, (ceil(source_size / 32.0) * 2)::BIGINT AS cap FROM tg),
-q0 AS (SELECT *, least(greatest(floor(CASE WHEN sum(target) OVER () > 0 THEN seats * target / sum(target) OVER () ELSE 0 END - 0.5), 0)::BIGINT, cap) AS s0 FROM st),
-q1 AS (SELECT *, seats - sum(s0) OVER () AS remaining FROM q0),
-q2 AS (SELECT q1.*, nx, CASE WHEN s0 + nx < cap THEN target / (2 * (s0 + nx) + 1) END AS q FROM q1, (VALUES (0), (1), (2)) AS n(nx)),
-q3 AS (SELECT *, row_number() OVER (ORDER BY q DESC NULLS LAST, source NULLS LAST, nx) <= remaining AND coalesce(q, 0) > 0 AS won FROM q2),
-qs AS (SELECT source, source_size, target, s0 + count(*) FILTER (won) AS source_quota, greatest(1, ceil(source_size / 1000000.0))::BIGINT AS n_shards FROM q3 GROUP BY source, source_size, target, s0),
+st AS (SELECT *, round((SELECT sum(target) FROM tg) / 8)::BIGINT AS seats, ceil(source_size * 2 / 8.0)::BIGINT AS cap FROM tg),
+sq AS (SELECT source, seats, target / (2 * s + 1) AS q, s FROM (SELECT *, unnest(range(0, cap)) AS s FROM st) WHERE target > 0),
+sw AS (SELECT source FROM sq QUALIFY row_number() OVER (ORDER BY q DESC, source NULLS LAST, s) <= seats),
+qs AS (SELECT t.source, any_value(source_size) AS source_size, any_value(target) AS target, (SELECT count(*) FROM sw WHERE sw.source IS NOT DISTINCT FROM t.source) AS source_quota,
+         greatest(1, ceil(any_value(source_size) / 1000000.0))::BIGINT AS n_shards FROM tg t GROUP BY t.source),
 d1 AS (SELECT d.*, source_size, target, source_quota, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS m, n_shards FROM sizes d JOIN qs ON d.source IS NOT DISTINCT FROM qs.source),
 d2 AS (SELECT *, ('0x' || substr(m, 1, 12))::BIGINT % n_shards AS shard FROM d1),
-h0 AS (SELECT source, shard, source_quota, sum(size)::BIGINT AS shard_size FROM d2 GROUP BY ALL),
-h1 AS (SELECT *, ceil(shard_size / 32.0)::BIGINT AS n, (ceil(shard_size / 32.0) * 2)::BIGINT AS cap,
-         sum(shard_size) OVER (PARTITION BY source) AS tot FROM h0),
-h2 AS (SELECT *, least(greatest(floor(CASE WHEN tot > 0 THEN source_quota * shard_size::DOUBLE / tot::DOUBLE ELSE 0 END - 0.5), 0)::BIGINT, cap) AS s0 FROM h1),
-h3 AS (SELECT *, source_quota - sum(s0) OVER (PARTITION BY source) AS remaining FROM h2),
-h4 AS (SELECT h3.*, nx, CASE WHEN s0 + nx < cap THEN shard_size::DOUBLE / (2 * (s0 + nx) + 1) END AS q FROM h3, (VALUES (0), (1), (2)) AS n(nx)),
-h5 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q DESC NULLS LAST, shard, nx) <= remaining AND coalesce(q, 0) > 0 AS won FROM h4),
-hs AS (SELECT source, shard, n, (s0 + count(*) FILTER (won))::BIGINT AS quota FROM h5 GROUP BY source, shard, n, s0),
-e AS (SELECT d2.*, n, quota, (sum(size) OVER (PARTITION BY d2.source, d2.shard ORDER BY m, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS e,
-        CASE WHEN n > 0 THEN quota // n ELSE 0 END AS c, CASE WHEN n > 0 THEN quota % n ELSE 0 END AS r,
-        CASE WHEN n > 0 THEN ('0x' || substr(md5('17:' || coalesce(d2.source, '') || ':' || d2.shard::VARCHAR), 1, 12))::BIGINT % n ELSE 0 END AS u
-      FROM d2 JOIN hs ON d2.source IS NOT DISTINCT FROM hs.source AND d2.shard = hs.shard)
-SELECT doc_id, size, source_size, target, (c * size + CASE WHEN n > 0 THEN
-    (((e // 32) * r + u) // n) * 32 + (((e // 32 + 1) * r + u) // n - ((e // 32) * r + u) // n) * (e - (e // 32) * 32)
-    - (((e - size) // 32 * r + u) // n) * 32 - ((((e - size) // 32 + 1) * r + u) // n - ((e - size) // 32 * r + u) // n) * ((e - size) - ((e - size) // 32) * 32)
-  ELSE 0 END)::BIGINT AS taken
-FROM e
+h0 AS (SELECT source, shard, source_quota, sum(size)::BIGINT AS whole FROM d2 GROUP BY ALL),
+hq AS (SELECT *, whole::DOUBLE / (2 * s + 1) AS q FROM (SELECT *, unnest(range(0, ceil(whole * 2 / 8.0)::BIGINT)) AS s FROM h0)),
+hw AS (SELECT source, shard FROM hq QUALIFY row_number() OVER (PARTITION BY source ORDER BY q DESC, shard, s) <= source_quota),
+h1 AS (SELECT *, (SELECT count(*) FROM hw WHERE hw.source IS NOT DISTINCT FROM h0.source AND hw.shard = h0.shard) AS quota FROM h0),
+h2 AS (SELECT *, least(quota * 8, whole * 2) AS words, ceil(whole / 8.0)::BIGINT AS n FROM h1 WHERE whole > 0),
+h3 AS (SELECT *, words // whole AS times, words % whole AS rest, ceil((words % whole) / 8.0)::BIGINT AS r FROM h2),
+h4 AS (SELECT *, CASE WHEN r < n THEN r + ('0x' || substr(md5('17:' || coalesce(source, '') || ':' || shard::VARCHAR), 1, 12))::BIGINT % (n - r) ELSE 0 END AS u FROM h3),
+bl AS (SELECT source, shard, k, least(8, whole - k * 8) AS len, rest FROM (SELECT *, unnest(range(0, n)) AS k FROM h4) WHERE ((k + 1) * r + u) // n > (k * r + u) // n),
+bc AS (SELECT source, shard, k, greatest(0, least(len, rest - (sum(len) OVER (PARTITION BY source, shard ORDER BY k) - len))) AS part FROM bl),
+e AS (SELECT *, row_number() OVER () AS rid, (sum(size) OVER (PARTITION BY source, shard ORDER BY m, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS e FROM d2),
+ek AS (SELECT rid, source, shard, size, e, unnest(range((e - size) // 8, (e - 1) // 8 + 1)) AS k FROM e WHERE size > 0),
+x AS (SELECT rid, sum(greatest(0, least(e, ek.k * 8 + part) - greatest(e - size, ek.k * 8))) AS extra
+      FROM ek JOIN bc ON ek.source IS NOT DISTINCT FROM bc.source AND ek.shard = bc.shard AND ek.k = bc.k GROUP BY rid)
+SELECT doc_id, size, source_size, target, (coalesce(times, 0) * size + coalesce(extra, 0))::BIGINT AS taken
+FROM e LEFT JOIN h4 ON e.source IS NOT DISTINCT FROM h4.source AND e.shard = h4.shard LEFT JOIN x USING (rid)
 """
