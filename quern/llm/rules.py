@@ -1,22 +1,25 @@
 """Quality rules as a short-circuit cascade, ordered by rejection per cost.
 
 A rule is a SQL predicate over a text's measures.  On a bounded sample each
-rule gets a selectivity (share of rows it rejects) and a cost (its unit costs
-times the sample's mean characters, words and lines).  Rules then stand in
-``OR`` by falling selectivity/cost, so that a text rejected by a cheap rule is
-never measured by a dear one.  The verdict does not depend on the order.
+rule gets a selectivity (share of rows it rejects) and a cost (the seconds that
+the sample takes with it, less those without).  Rules then stand in ``OR`` by
+falling selectivity/cost; a rule's measures are computed inside its own branch,
+so that a text rejected by a cheap rule is never measured by a dear one.  The
+verdict does not depend on the order.
 
 Everything is built-in SQL: no Python runs on the executors.
 """
 
 from __future__ import annotations
 
+import re
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.store import packed, unpacked
+from quern.llm.store import dropped, packed, stored, unpacked
 
 #: Java and RE2 read this class alike.
 WORD = r"[^\\x20\\x09-\\x0D]+"
@@ -74,32 +77,41 @@ MEASURES = {
 }
 
 
+#: Measures that a result holds for every row, rejected or not.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``reject`` is SQL over ``needs``; the unit costs are nanoseconds a character, a word and a line."""
+    """``reject`` is SQL over the measures ``needs``; ``base`` rules decide ``base_failed``."""
 
     name: str
     reject: str
     needs: tuple[str, ...]
-    per_char: float = 0.0
-    per_word: float = 0.0
-    per_line: float = 0.0
     base: bool = False
 
+    def branch(self, known: tuple[str, ...] = ()) -> str:
+        """SQL: the rule over columns or lambda variables t, w and (with the measures ``known``) b; it computes what else it needs."""
+        own = [n for n in self.needs if n not in known]
+        reject = re.sub(r"\b[a-z]\w*\b", lambda x: f"b.{x[0]}" if x[0] in known else f"m.{x[0]}" if x[0] in own else x[0], self.reject)
+        return f"({let(f'struct({_fields(own)})', 'm', reject) if own else reject})"
+
 
 RULES = (
-    Rule("too_short", "n_words < 50", ("n_words",), per_word=1, base=True),
-    Rule("repetitive", "100 * n_repeat_words > 50 * n_words", ("n_repeat_words", "n_words"), per_word=1500, base=True),
-    Rule("symbols", "10 * n_symbols > 3 * n_words", ("n_symbols", "n_words"), per_char=8),
-    Rule("shouting", "2 * n_upper > word_chars", ("n_upper", "word_chars"), per_char=8, per_word=30),
-    Rule("emphasis", "5 * n_bangs > n_words", ("n_bangs", "n_words"), per_char=6),
-    Rule("dup_lines", "2 * n_dup_lines > n_lines AND n_dup_lines > 1", ("n_dup_lines", "n_lines"), per_char=4, per_line=300),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 25 * n_words", ("word_chars", "n_words"), per_word=30),
+    Rule("too_short", "n_words < 50", ("n_words",), base=True),
+    Rule("repetitive", "100 * n_repeat_words > 50 * n_words", ("n_repeat_words", "n_words"), base=True),
+    Rule("symbols", "10 * n_symbols > 3 * n_words", ("n_symbols", "n_words")),
+    Rule("shouting", "2 * n_upper > word_chars", ("n_upper", "word_chars")),
+    Rule("emphasis", "5 * n_bangs > n_words", ("n_bangs", "n_words")),
+    Rule("dup_lines", "2 * n_dup_lines > n_lines AND n_dup_lines > 1", ("n_dup_lines", "n_lines")),
+    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 25 * n_words", ("word_chars", "n_words")),
 )
 
 
 @dataclass(frozen=True)
 class Ranked:
+    """``cost``: seconds per sampled row."""
+
     rule: Rule
     selectivity: float
     cost: float
@@ -109,56 +121,72 @@ class Ranked:
         return self.selectivity / self.cost
 
 
-def measured(docs: DataFrame, names: tuple[str, ...] = tuple(MEASURES)) -> DataFrame:
-    """``docs`` (any columns) as struct ``row`` with the named measures beside it; a null text counts as empty."""
-    # One expression over words bound by a lambda: a later filter on a measure may repeat it, but
-    # can't put the split of the text into its loops.
-    fields = ", ".join(f"{MEASURES[n]} AS {n}" for n in names)
-    base = packed(docs, F.expr("coalesce(text, '')").alias("t"))
-    return base.select("row", F.expr(let(WORDS % "t", "w", f"struct({fields})")).alias("m")).select("row", *[f"m.{n}" for n in names])
+def _fields(names) -> str:
+    return ", ".join(f"{MEASURES[n]} AS {n}" for n in names)
 
 
-def ranked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> list[Ranked]:
+def _texts(docs: DataFrame) -> DataFrame:
+    return packed(docs, F.expr("coalesce(text, '')").alias("t"))
+
+
+def ranked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, known: tuple[str, ...] = (), sample_rows: int = 2000, rounds: int = 2) -> list[Ranked]:
     """``rules`` by falling rejection per cost, from about ``sample_rows`` rows picked by a hash of their content.
 
-    One row of means reaches the driver.  An empty table leaves the given order.
+    Each rule runs over the stored sample by itself, ``rounds`` times; the least
+    time counts, less that of splitting words alone.  Measures ``known`` are there
+    beforehand and cost nothing.  A small sample is repeated until it has
+    ``sample_rows`` rows, so that times can be told apart.  One mean a rule reaches
+    the driver.  An empty table leaves the given order.
     """
     total = docs.count()
-    if not total:
+    if not total or not rules:
         return [Ranked(r, 0.0, 1.0) for r in rules]
     buckets = max(1, total // sample_rows)
     picked = docs.select("text", F.xxhash64("doc_id", "source").alias("k")).where(F.pmod(F.col("k"), F.lit(buckets)) == 0)
-    needs = tuple(dict.fromkeys(("n_words", "word_chars", "n_lines", *(n for r in rules for n in r.needs))))
-    m = measured(picked, needs)
-    means = m.agg(
-        F.avg("word_chars").alias("chars"), F.avg("n_words").alias("words"), F.avg("n_lines").alias("lines"),
-        *[F.avg(F.expr(f"CAST({r.reject} AS DOUBLE)")).alias(f"r{i}") for i, r in enumerate(rules)],
-    ).first()
-    if means["chars"] is None:
+    have = F.expr(let(WORDS % "t", "w", f"struct({_fields(known)})")) if known else F.lit(0)
+    sample = stored(_texts(picked).select("t", have.alias("b")).repartition(8), "rule_sample")
+    n = sample.count()
+    if not n:
         return [Ranked(r, 0.0, 1.0) for r in rules]
-    out = []
-    for i, r in enumerate(rules):
-        cost = 10.0 + r.per_char * means["chars"] + r.per_word * means["words"] + r.per_line * means["lines"]
-        out.append(Ranked(r, means[f"r{i}"], cost))
+    times = -(-sample_rows // n)
+    many = sample.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+
+    def run(test: str) -> tuple[float, float]:
+        start = time.perf_counter()
+        share = many.agg(F.avg(F.expr(f"CAST({let(WORDS % 't', 'w', test)} AS DOUBLE)"))).first()[0]
+        return time.perf_counter() - start, share or 0.0
+
+    tests = ["size(w) < 0", *[r.branch(known) for r in rules]]
+    spent, shares = [float("inf")] * len(tests), [0.0] * len(tests)
+    for _ in range(rounds):
+        for i, test in enumerate(tests):
+            seconds, shares[i] = run(test)
+            spent[i] = min(spent[i], seconds)
+    dropped(sample)
+    floor = max(0.02 * spent[0], 1e-6)  # below that, differences are noise
+    out = [Ranked(r, shares[i], max(floor, spent[i] - spent[0]) / (n * times)) for i, r in enumerate(rules, 1)]
     return sorted(out, key=lambda x: (-x.score, x.cost, x.rule.name))
 
 
-def quality_measures(docs: DataFrame, order: list[Ranked] | None = None) -> DataFrame:
-    """Every document's measures and verdict: ``row`` (the input row), the measures, ``base_failed``, ``kept``.
+def quality_measures(docs: DataFrame, order: list[Ranked] | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Every document's base measures and verdict: ``row`` (the input row), the measures, ``base_failed``, ``kept``.
 
-    The base measures are wanted for each row, so only the other rules are
-    short-circuited here; :func:`keep_documents` short-circuits all of them.
+    The base measures are wanted for each row.  The other rules stand behind
+    ``base_failed`` and behind each other in the order of :func:`ranked`; what they
+    measure beyond the base is computed only for rows that no rule before rejects.
 
     Nulls: a null text is empty.  Empty: no words, so ``base_failed``.  Repeated
     rows are judged one by one.  Other columns and their names don't matter.
     """
-    order = ranked(docs) if order is None else order
-    base = [x.rule for x in order if x.rule.base]
-    rest = [x.rule for x in order if not x.rule.base]
-    m = measured(docs)
-    failed = " OR ".join(f"({r.reject})" for r in base) or "false"
-    verdict = " OR ".join(f"({r.reject})" for r in rest) or "false"
-    return m.withColumn("base_failed", F.expr(failed)).withColumn("kept", F.expr(f"NOT (base_failed OR {verdict})"))
+    order = ranked(docs, tuple(r for r in rules if not r.base), BASE) if order is None else order
+    failed = " OR ".join(r.branch(BASE) for r in rules if r.base) or "false"
+    rest = " OR ".join([f"({failed})", *[x.rule.branch(BASE) for x in order if not x.rule.base]])
+    fields = ", ".join(f"b.{n} AS {n}" for n in BASE)
+    # One expression over words bound by a lambda: a later filter on a measure may repeat it, but
+    # can't put the split of the text into its loops.
+    judged = let(f"struct({_fields(BASE)})", "b", f"struct({fields}, ({failed}) AS base_failed, NOT ({rest}) AS kept)")
+    m = _texts(docs).select("row", F.expr(let(WORDS % "t", "w", judged)).alias("m"))
+    return m.select("row", *[f"m.{n}" for n in (*BASE, "base_failed", "kept")])
 
 
 def keep_documents(docs: DataFrame, order: list[Ranked] | None = None) -> DataFrame:
@@ -168,18 +196,10 @@ def keep_documents(docs: DataFrame, order: list[Ranked] | None = None) -> DataFr
     for the rules up to the first that rejects it.
     """
     order = ranked(docs) if order is None else order
-    branches = []
-    for x in order:
-        reject = f" {x.rule.reject} "
-        for n in sorted(x.rule.needs, key=len, reverse=True):
-            reject = reject.replace(n, f"m.{n}")
-        needs = ", ".join(f"{MEASURES[n]} AS {n}" for n in x.rule.needs)
-        branches.append(f"({let(f'struct({needs})', 'm', reject)})")
     # The words are bound by a lambda: as a column, the optimizer would push the filter below it and
     # so put the split of the text into every use, inside the loops over positions too.
-    rejected = let(WORDS % "t", "w", " OR ".join(branches) or "false")
-    d = packed(docs, F.expr("coalesce(text, '')").alias("t"))
-    return unpacked(d.where(~F.expr(rejected)), docs)
+    rejected = let(WORDS % "t", "w", " OR ".join(x.rule.branch() for x in order) or "false")
+    return unpacked(_texts(docs).where(~F.expr(rejected)), docs)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import rules
@@ -56,6 +57,26 @@ def test_order_is_by_rejection_per_cost(spark):
     assert rules.ranked(docs)[0].rule.name in ("symbols", "word_length")
 
 
+def test_rejected_rows_never_reach_the_rules_behind(spark):
+    # A rule that can't be computed for two of the texts: it must not run where a rule before rejects.
+    docs = spark.createDataFrame([(0, "too short", "s"), (1, "$ " * 60, "s"), (2, " ".join(f"w{k}" for k in range(80)), "s")], "doc_id long, text string, source string")
+    raising = rules.Rule("raising", "CASE WHEN n_upper >= 0 AND word_chars < 100 THEN raise_error('measured') ELSE false END", ("n_upper", "word_chars"))
+    by_name = {r.name: r for r in rules.RULES}
+    order = [rules.Ranked(r, 0.5, 1.0) for r in (by_name["too_short"], by_name["symbols"], raising)]
+    assert [r["row"]["doc_id"] for r in rules.quality_measures(docs, order).where("kept").collect()] == [2]
+    assert [r["doc_id"] for r in rules.keep_documents(docs, order).collect()] == [2]
+    with pytest.raises(Exception, match="measured"):
+        rules.keep_documents(docs, order[::-1]).collect()
+
+
+def test_costs_are_measured(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 90}" for k in range(400)), "s") for i in range(60)], "doc_id long, text string, source string")
+    cost = {x.rule.name: x.cost for x in rules.ranked(docs)}
+    assert cost["repetitive"] > 2 * cost["too_short"]
+    known = {x.rule.name: x.cost for x in rules.ranked(docs, rules.RULES, rules.BASE)}
+    assert known["repetitive"] < cost["repetitive"]
+
+
 def test_empty_table(nothing):
     assert rules.keep_documents(nothing).count() == 0
     assert rules.quality_measures(nothing).count() == 0
