@@ -10,6 +10,10 @@ share a key are verified by exact Jaccard similarity, and the links go to a
 distributed union-find.  Of each component the first line by (doc_id, line
 number) stays.
 
+The groups of lines that share a key are sent to workers by their least member, so
+that a line is shingled once for nearly all its groups, and lines that one group
+has linked aren't compared again in the next.
+
 Shorter lines are too short for shingles to tell near copies from chance: of
 them only exact repeats (of the trimmed, lower-cased line) go, by the same hash.
 Lines of white space alone stay.
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +39,8 @@ BINS = BANDS * ROWS
 SIMILARITY = 0.8
 #: Distinct lines that share a key (8 bytes each) up to which they are broadcast to the scan for their texts.
 BROADCAST_LINES = 2_000_000
+#: Texts, and lines, that a Python worker takes at once; hashes that it remembers (a repeated line needs its keys once a task).
+TEXTS, LINES, SEEN = 200, 1000, 500_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -104,20 +111,76 @@ def keys_of(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, norm) to (key, h), once per line and batch."""
+def split_lines(texts: list[str | None]) -> tuple[list[int], list[int], list[str]]:
+    """(text number, line number, line) of all lines; lines are lower-cased and without outer spaces."""
+    at, number, lines = [], [], []
+    for i, t in enumerate(texts):
+        if t is not None:
+            part = [x.strip(" ") for x in t.lower().split("\n")]
+            at += [i] * len(part)
+            number += range(len(part))
+            lines += part
+    return at, number, lines
+
+
+def line_hash(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+
+
+def _hashed(lines: list[str]) -> np.ndarray:
+    return np.fromiter(map(line_hash, lines), np.uint64, len(lines)).view(np.int64)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h = batch.column(0).to_numpy(zero_copy_only=False)
-        _, first = np.unique(h, return_index=True)
-        lines = batch.column(1).take(pa.array(first)).to_pylist()
-        for at in range(0, len(lines), 2000):
-            part = lines[at : at + 2000]
-            keys = band_keys(part).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(h[first[at : at + 2000]], BANDS))], names=["key", "h"])
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _long_lines(min_chars: int, column: int = 0):
+    """Batches with texts in ``column`` to (hashes, lines) of the lines of ``min_chars`` characters or more, each once per task as far as ``SEEN`` hashes tell."""
+    least = max(min_chars, SHINGLE)
+
+    def lines_of(batches):
+        seen: set[int] = set()
+        for batch in _slices(batches, TEXTS):
+            lines = [x for x in split_lines(batch.column(column).to_pylist())[2] if len(x) >= least]
+            hashes = _hashed(lines)
+            new = []
+            for i, h in enumerate(hashes.tolist()):
+                if h not in seen:
+                    seen.add(h)
+                    new.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            if new:
+                yield hashes[new], [lines[i] for i in new]
+
+    return lines_of
+
+
+def _banded(min_chars: int):
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text) to (key, h) of its long lines."""
+        for hashes, lines in _long_lines(min_chars)(batches):
+            for at in range(0, len(lines), LINES):
+                keys = band_keys(lines[at : at + LINES]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(hashes[at : at + LINES], BANDS))], names=["key", "h"])
+
+    return banded
+
+
+def _texts_of(min_chars: int):
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text) to (h, norm) of its long lines."""
+        for hashes, lines in _long_lines(min_chars)(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(lines, pa.string())], names=["h", "norm"])
+
+    return texts
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, h) sorted by key to (grp, h) of the keys that two or more lines share; equal member sets get equal ``grp``."""
+    """(key, h) sorted by key to (lead, grp, h) of the keys that two or more lines share; equal member sets get equal ``grp``, and ``lead`` is their least member."""
     held_k = held_h = np.empty(0, np.int64)
 
     def runs(k):
@@ -139,7 +202,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             sums = np.add.reduceat(_mix(h.view(np.uint64)), new)
         grp = np.repeat(_mix(sums[many] + size[many].astype(np.uint64)).view(np.int64), size[many])
-        return pa.RecordBatch.from_arrays([pa.array(grp), pa.array(h[np.repeat(many, size)])], names=["grp", "h"])
+        lead = np.repeat(h[new[many]], size[many])
+        return pa.RecordBatch.from_arrays([pa.array(lead), pa.array(grp), pa.array(h[np.repeat(many, size)])], names=["lead", "grp", "h"])
 
     for batch in batches:
         k = np.concatenate([held_k, batch.column(0).to_numpy(zero_copy_only=False)])
@@ -166,100 +230,147 @@ def line_sets(lines: list[str]) -> list[np.ndarray]:
     return out
 
 
-def jaccard_links(h: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A forest of the pairs of shingle sets at ``similarity`` or more.
-
-    A line taken from the queue meets only lines that nothing has reached yet, so
-    a large group of near copies costs about its size, not its square.
+class Near:
+    """Which of some shingle sets are at ``similarity`` or more with one of them."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.sets, self.similarity = sets, similarity
+        self.size = np.array([len(s) for s in sets])
+        self.ids = None
+        if len(sets) > 4:  # numbers for the hashes, so that one pass compares a set with all others
+            names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            self.ids, self.mark = ids.astype(np.int32), np.zeros(len(names), bool)
+            self.end = np.cumsum(self.size)
+
+    def of(self, i: int, others: list[int]) -> list[bool]:
+        a, b = self.size[i], self.size[others]
+        able = np.minimum(a, b) >= self.similarity * np.maximum(a, b)
+        if not able.any():
+            return able.tolist()
+        some = [j for j, ok in zip(others, able, strict=True) if ok]
+        if self.ids is None or len(some) < 3:
+            common = np.empty(len(some), np.int64)
+            for k, j in enumerate(some):
+                both = np.concatenate([self.sets[i], self.sets[j]])
+                both.sort()
+                common[k] = np.count_nonzero(both[1:] == both[:-1])
+        else:
+            own = self.ids[self.end[i] - a : self.end[i]]
+            self.mark[own] = True
+            common = np.array([np.count_nonzero(self.mark[self.ids[self.end[j] - self.size[j] : self.end[j]]]) for j in some])
+            self.mark[own] = False
+        able[able] = common >= self.similarity * (a + self.size[some] - common)
+        return able.tolist()
+
+
+def jaccard_links(h: list[int], sets: list[np.ndarray], similarity: float, groups: list[list[int]] | None = None) -> list[tuple[int, int]]:
+    """A forest of the pairs of shingle sets at ``similarity`` or more within one of ``groups`` (member numbers; all in one by default).
+
+    A line taken from the queue meets only lines of the group that nothing has
+    reached yet, in this group or one before, so a large group of near copies costs
+    about its size, not its square.
     """
-    size = np.array([len(s) for s in sets])
-    left = list(np.argsort(size, kind="stable"))
-    out = []
-    while left:
-        queue = [left.pop(0)]
-        while queue and left:
-            i = queue.pop()
-            stay = []
-            for j in left:
-                near = False
-                if min(size[i], size[j]) >= similarity * max(size[i], size[j]):
-                    both = np.concatenate([sets[i], sets[j]])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    near = common >= similarity * (size[i] + size[j] - common)
-                if near:
-                    out.append((h[i], h[j]))
-                    queue.append(j)
-                else:
-                    stay.append(j)
-            left = stay
+    near, root, out = Near(sets, similarity), list(range(len(h))), []
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for group in [list(range(len(h)))] if groups is None else groups:
+        left = sorted(group, key=near.size.__getitem__)
+        while len(left) > 1:
+            queue = [left.pop()]
+            while queue and left:
+                i = queue.pop()
+                known = [find(j) == find(i) for j in left]
+                queue += [j for j, ok in zip(left, known, strict=True) if ok]
+                left = [j for j, ok in zip(left, known, strict=True) if not ok]
+                if left:
+                    hit = near.of(i, left)
+                    for j, ok in zip(left, hit, strict=True):
+                        if ok:
+                            out.append((h[i], h[j]))
+                            root[find(j)] = find(i)
+                            queue.append(j)
+                    left = [j for j, ok in zip(left, hit, strict=True) if not ok]
     return out
 
 
-def _verified(similarity: float, sets_of=line_sets, rows: int | None = None):
-    """``rows``: how many rows of a batch are taken at once; all if none is given."""
+def _verified(similarity: float, sets_of=line_sets, rows: int = 2000):
+    """``rows``: how many rows are taken at once."""
+
+    def links(hs, grps, sets):
+        groups: dict[int, list[int]] = {}
+        for i, gs in enumerate(grps):
+            for g in gs:
+                groups.setdefault(g, []).append(i)
+        return jaccard_links(hs, sets, similarity, list(groups.values()))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(grp, h, norm) sorted by grp to links (u, v)."""
-        grp, hs, sets = None, [], []
+        """(lead, h, grps, norm) sorted by lead to links (u, v)."""
+        lead, hs, grps, sets = None, [], [], []
 
         def batch_of(pairs):
             u, v = zip(*pairs, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-        for batch in (b.slice(at, rows or b.num_rows) for b in batches for at in range(0, b.num_rows, rows or b.num_rows or 1)):
+        for batch in _slices(batches, rows):
             out: list[tuple[int, int]] = []
-            _, first, where = np.unique(batch.column(1).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
-            known = sets_of(batch.column(2).take(pa.array(first)).to_pylist())
-            for g, h, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), where.tolist(), strict=True):
-                if g != grp:
+            known = sets_of(batch.column(3).to_pylist())
+            for x, h, gs, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), known, strict=True):
+                if x != lead:
                     if len(hs) > 1:
-                        out += jaccard_links(hs, sets, similarity)
-                    grp, hs, sets = g, [], []
+                        out += links(hs, grps, sets)
+                    lead, hs, grps, sets = x, [], [], []
                 hs.append(h)
-                sets.append(known[i])
+                grps.append(gs)
+                sets.append(s)
             if out:
                 yield batch_of(out)
-        if len(hs) > 1 and (out := jaccard_links(hs, sets, similarity)):
+        if len(hs) > 1 and (out := links(hs, grps, sets)):
             yield batch_of(out)
 
     return verify
 
 
-def _long(min_chars: int):
-    return F.length(F.trim("raw")) >= max(min_chars, SHINGLE)
-
+def similar(banded: DataFrame, texts: DataFrame, similarity: float, label: str, sets_of=line_sets, rows: int = 2000) -> DataFrame:
+    """Links (u, v) between the hashes ``h`` of ``banded`` (key, h) that share a key and whose ``texts`` (h, norm) are at ``similarity`` or more."""
+    shared = banded.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "lead long, grp long, h long")
+    shared = stored(shared.groupBy("lead", "h").agg(F.collect_set("grp").alias("grps")), label)  # a line has at most BANDS groups
+    wanted = shared.select(F.col("h").alias("_h")).distinct()
+    few = wanted.count() <= BROADCAST_LINES
+    found = texts.join(F.broadcast(wanted) if few else wanted, F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h"])
+    rows_ = shared.join(found, "h").select("lead", "h", "grps", "norm").repartition("lead").sortWithinPartitions("lead", "h")
+    return rows_.mapInArrow(_verified(similarity, sets_of, rows), "u long, v long")
 
-def _lines(docs: DataFrame, some) -> DataFrame:
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(some)
-    lines = lines.select("doc_id", "line", F.lower(F.trim("raw")).alias("norm"))
-    return lines.select("doc_id", "line", F.xxhash64("norm").alias("h"), "norm")
 
+def counted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, line, h) of the lines that are compared: those of ``min_chars`` characters, and shorter ones that hold more than white space.
 
-def eligible_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line, h, norm) of the lines with at least ``min_chars`` characters when trimmed; ``line`` counts from 0."""
-    return _lines(docs, _long(min_chars))
+    ``line`` counts from 0.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, TEXTS):
+            at, number, lines = split_lines(batch.column(1).to_pylist())
+            some = [k for k, x in enumerate(lines) if len(x) >= max(min_chars, SHINGLE) or x.strip(" \t\n\v\f\r")]
+            rows = pa.array([at[k] for k in some], pa.int64())
+            number = pa.array([number[k] for k in some], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), number, pa.array(_hashed([lines[k] for k in some]))], names=["doc_id", "line", "h"])
 
-def counted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The lines of :func:`eligible_lines`, and the shorter ones that hold more than white space."""
-    return _lines(docs, _long(min_chars) | F.expr("raw RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'"))
+    return docs.select("doc_id", "text").mapInArrow(places, f"doc_id {kind}, line int, h long")
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line) of the lines to remove: all of a component but its first by (doc_id, line); null doc_ids have none."""
-    lines = eligible_lines(docs, min_chars)
-    banded = lines.select("h", "norm").mapInArrow(_banded, "key long, h long")
-    shared = banded.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "grp long, h long")
-    shared = stored(shared.distinct(), "buckets")
-    wanted = shared.select(F.col("h").alias("_h")).distinct()
-    few = wanted.count() <= BROADCAST_LINES
-    texts = lines.select("h", "norm").join(F.broadcast(wanted) if few else wanted, F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h"])
-    rows = shared.join(texts, "h").select("grp", "h", "norm").repartition("grp").sortWithinPartitions("grp", "h")
-    links = rows.mapInArrow(_verified(similarity), "u long, v long")
+    texts = docs.select("text")
+    banded = texts.mapInArrow(_banded(min_chars), "key long, h long")
+    links = similar(banded, texts.mapInArrow(_texts_of(min_chars), "h long, norm string"), similarity, "buckets")
     roots = stored(components(links), "lines")
 
-    places = stored(counted_lines(docs, min_chars).select("doc_id", "line", "h").where("doc_id IS NOT NULL"), "places")
+    places = stored(counted_lines(docs.where("doc_id IS NOT NULL"), min_chars), "places")
     counts = places.groupBy("h").agg(F.min("doc_id").alias("d"), F.count("*").alias("n"))
     counts = counts.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     best = counts.groupBy("root").agg(F.min("d").alias("d"), F.sum("n").alias("all")).where(F.col("all") > 1)

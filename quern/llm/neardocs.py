@@ -54,14 +54,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar_texts(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) between the hashes ``h`` of texts (h, text) at ``similarity`` or more."""
-    banded = texts.mapInArrow(_banded, "key long, h long")
-    shared = banded.repartition("key").sortWithinPartitions("key").mapInArrow(linededup._buckets, "grp long, h long")
-    shared = stored(shared.distinct(), "doc_buckets")
-    wanted = shared.select(F.col("h").alias("_h")).distinct()
-    few = wanted.count() <= linededup.BROADCAST_LINES
-    found = texts.join(F.broadcast(wanted) if few else wanted, F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h"])
-    rows = shared.join(found, "h").select("grp", "h", "text").repartition("grp").sortWithinPartitions("grp", "h")
-    return rows.mapInArrow(linededup._verified(similarity, _sets, ROWS), "u long, v long")
+    return linededup.similar(texts.mapInArrow(_banded, "key long, h long"), texts.select("h", F.col("text").alias("norm")), similarity, "doc_buckets", _sets, ROWS)
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = simhash.RADIUS) -> DataFrame:
