@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pyarrow.parquet as pq
+
 from quern.llm import pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -36,12 +38,56 @@ def test_crf_labels_its_table_and_new_forms():
     crf = pii.trained()
     for words, tags in pii.labelled_table():
         assert [pii.LABELS[i] for i in crf.decode([crf.scores(pii.features(words))])[0]] == tags
-    want = {"call (415) 555-2671 now": "phone:5:19", "mail jane.doe [at] corp [dot] org please": "email:5:33", "ring 415-555-2671.": "phone:5:17", "number 9807915762804490": "", "on 2024-01-31 at 12:30": "", "version 3.1.2 of 2001": "", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" x': ""}
+    want = {"call (415) 555-2671 now": "phone:5:19", "mail jane.doe [at] corp [dot] org please": "email:5:33", "ring 415-555-2671.": "phone:5:17", "number 9807915762804490": "", "on 2024-01-31 at 12:30": "", "version 3.1.2 of 2001": "", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" x': "secret:9:49"}
     for text, spans in want.items():
         base, every = pii.find_spans([text], crf)[0]
         assert not base and pii._joined(every) == spans
 
 
+def held_out(rng, n):
+    """Texts with one span each, in forms and values that the training table doesn't hold, and its place; and texts with none."""
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    mixed = lambda k: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(k)) + "k7"
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k - 2)) + "a1"
+    name = lambda: rng.choice(["maria", "j.doe", "t_smith9", "info", "sales-eu"])
+    word = lambda: "".join(rng.choice("aeioustrnlmdp") for _ in range(rng.randint(2, 9)))
+    spans = {
+        3: [lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}", lambda: f"0{digits(2)} {digits(4)} {digits(4)}"],
+        0: [lambda: f"{name()} [at] {word()}x.com", lambda: f"{name()} (at) {word()}x (dot) org", lambda: f"{name()}[at]{word()}x.net"],
+        4: [lambda: f'token = "{hexes(40)}"', lambda: f"password: {mixed(14)}", lambda: f"api_key={hexes(32)}", lambda: f"Bearer {mixed(30)}", lambda: f"client_secret = '{mixed(20)}'"],
+    }
+    none = [lambda: f"in {rng.randint(1900, 2030)} and {digits(2)}", lambda: f"on {rng.randint(1990, 2029)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", lambda: f"v{digits(1)}.{digits(2)}", lambda: f"${digits(1)},{digits(3)}.{digits(2)}", lambda: f"pages {digits(2)}-{digits(3)}", lambda: f"{digits(1)}:{digits(2)}", lambda: f"commit {hexes(40)}", lambda: f"key {digits(2)}", lambda: "a token of thanks"]
+    for i in range(n):
+        before, after = (" ".join(word() for _ in range(rng.randint(1, 12))) for _ in range(2))
+        kind = rng.choice([0, 3, 4, None])
+        body = rng.choice(none if kind is None else spans[kind])()
+        at = len(before) + 1
+        if kind == 4:
+            m = re.search(r"[A-Za-z0-9]{14,}", body)
+            yield f"{before} {body} {after}", (at + m.start(), at + m.end(), kind)
+        else:
+            yield f"{before} {body} {after}", None if kind is None else (at, at + len(body), kind)
+
+
+def test_recall_and_precision_on_held_out_text():
+    rows = list(held_out(random.Random(8), 1200))
+    found = [every for _, every in pii.find_spans([t for t, _ in rows], pii.trained())]
+    for kind in (0, 3, 4):
+        want = [g in got for (_, g), got in zip(rows, found, strict=True) if g and g[2] == kind]
+        assert len(want) > 200 and sum(want) >= 0.9 * len(want), (pii.KINDS[kind], sum(want), len(want))
+    wrong = sum(x != g for (_, g), got in zip(rows, found, strict=True) for x in got)
+    assert wrong <= 0.02 * len(rows), wrong
+
+
+def test_spans_of_documents():
+    """Every planted access token of the tables is found, and next to nothing else is added to the patterns."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    token = re.compile(r'(?i)token = "([0-9a-f]{40})"')
+    want = {(i, m.start(1), m.end(1)) for i, t in enumerate(texts) for m in token.finditer(t or "")}
+    got = {(i, s, e) for i, (base, every) in enumerate(pii.find_spans(texts, pii.trained())) for s, e, _ in set(every) - set(base)}
+    assert len(want) > 10 and len(want & got) >= 0.97 * len(want) and len(got - want) <= 2
+
+
 def test_decoding_is_exact():
     import itertools
 
