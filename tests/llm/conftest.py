@@ -21,3 +21,13 @@ def messy(spark):
 @pytest.fixture(scope="session")
 def nothing(messy):
     return messy.where("false")
+
+
+@pytest.fixture(params=["broadcast", "shuffle"])
+def way(request, spark):
+    """Both ways of a join; for the way beyond an operator's limits, Spark's own broadcast is off too."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if request.param == "shuffle":
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield request.param
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -1,7 +1,5 @@
 import re
 
-import pytest
-
 from quern.llm import urls
 
 
@@ -26,8 +24,8 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("blocks", [urls.BROADCAST_BLOCKS, 0])
-def test_rules_and_list(spark, blocks):
+def test_rules_and_list(spark, way):
+    blocks = urls.BROADCAST_BLOCKS if way == "broadcast" else 0
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)] + [(3, URLS[3])], "page_id long, url string")
     listed = urls.parsed(spark.createDataFrame([("http://bad.com/a",), ("http://www.bad.com/a.html",), ("http://bad.com/a?a=1&b=2",), (None,)], "url string")).select("canon")
     got = urls.judged(pages, listed, broadcast_blocks=blocks).collect()
