@@ -109,7 +109,7 @@ class Model:
     allowed: np.ndarray  # (scripts, languages)
 
     def word_scores(self, w: Words) -> np.ndarray:
-        """(words, languages); a word in a script that no language uses tells nothing."""
+        """(words, languages); a word in a script that no language uses scores 0 for all and doesn't count in :func:`label_texts`."""
         if not len(w.start):
             return np.zeros((0, len(self.langs)), np.float32)
         s = np.add.reduceat(self.scores[w.grams], w.first, axis=0)
@@ -213,34 +213,40 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, min_share: float = 0.01
 
 
 def label_texts(texts: list[str | None], model: Model, penalty: float = PENALTY) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-    """Per text: language, its share of the letters, and spans (start, end, language) from first to last word."""
-    plain = [t or "" for t in texts]
-    nothing = ("und", 0.0, [])
-    if not model.langs:
-        return [nothing for _ in plain]
-    scores, text, start, end, done = [], [], [], [], 0
-    for part in parts(plain):
-        w = words_of(part)
-        scores.append(model.word_scores(w))
-        text.append(w.text + done)
-        start.append(w.start)
-        end.append(w.end)
-        done += len(part)
-    if not scores:
-        return [nothing for _ in plain]
-    text, start, end = np.concatenate(text), np.concatenate(start), np.concatenate(end)
-    count = np.bincount(text, minlength=len(plain))
+    """Per text: language, its share of the letters, and spans (start, end, language) from first to last word.
+
+    Words in a script that no language uses stand in ``und`` spans: their letters
+    lower the share and speak for no language.  A text of such words only gets the
+    first language with share 0.  Texts are labelled in parts of ``PART``
+    characters; one of n characters takes about 100 n bytes.
+    """
+    out = []
+    for part in parts([t or "" for t in texts]):
+        out += _label_part(part, model, penalty)
+    return out
+
+
+def _label_part(texts: list[str], model: Model, penalty: float) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+    nothing, k = ("und", 0.0, []), len(model.langs)
+    if not k:
+        return [nothing for _ in texts]
+    w = words_of(texts)
+    if not len(w.text):
+        return [nothing for _ in texts]
+    text, start, end = w.text, w.start, w.end
+    count = np.bincount(text, minlength=len(texts))
     first = np.cumsum(count) - count
-    lang = viterbi(np.concatenate(scores), first, count, penalty)
-    k = len(model.langs)
-    letters = np.bincount(text * k + lang, weights=end - start, minlength=len(plain) * k).reshape(-1, k)
-    best, total = letters.argmax(axis=1), letters.sum(axis=1)
-    new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (lang[1:] != lang[:-1])]) if len(text) else np.empty(0, np.int64)
-    last = np.r_[new[1:], len(text)] - 1 if len(text) else new
-    spans: list[list[tuple[int, int, str]]] = [[] for _ in plain]
+    lang = viterbi(model.word_scores(w), first, count, penalty)
+    lang[~model.allowed[w.script].any(axis=1)] = k
+    letters = np.bincount(text * (k + 1) + lang, weights=end - start, minlength=len(texts) * (k + 1)).reshape(-1, k + 1)
+    best, total = letters[:, :k].argmax(axis=1), letters.sum(axis=1)
+    new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (lang[1:] != lang[:-1])])
+    last = np.r_[new[1:], len(text)] - 1
+    names = [*model.langs, "und"]
+    spans: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for i, j in zip(new.tolist(), last.tolist(), strict=True):
-        spans[text[i]].append((int(start[i]), int(end[j]), model.langs[lang[i]]))
-    return [(model.langs[best[i]], float(letters[i, best[i]] / total[i]), spans[i]) if total[i] else nothing for i in range(len(plain))]
+        spans[text[i]].append((int(start[i]), int(end[j]), names[lang[i]]))
+    return [(names[best[i]], float(letters[i, best[i]] / total[i]), spans[i]) if total[i] else nothing for i in range(len(texts))]
 
 
 def languages(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:

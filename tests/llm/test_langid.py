@@ -1,3 +1,6 @@
+import re
+import unicodedata
+
 import numpy as np
 import pytest
 
@@ -14,11 +17,11 @@ def model(spark):
     return langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
 
 
-def slow_viterbi(s, penalty):
+def slow_viterbi(s, penalty, stay=0.0):
     k = s.shape[1]
     v, back = s[0].copy(), []
     for row in s[1:]:
-        step = v[:, None] - penalty * (1 - np.eye(k))
+        step = v[:, None] - penalty * (1 - np.eye(k)) + stay * np.eye(k)
         back.append(step.argmax(axis=0))
         v = step.max(axis=0) + row
     path = [int(v.argmax())]
@@ -48,6 +51,41 @@ def test_languages_and_spans(model):
     assert rest[0][0] == "ru" and rest[0][1] == 1.0
     assert [r[0] for r in rest[1:4]] == ["und"] * 3 and rest[1][2] == []
     assert rest[4][0] == "en" and rest[5][0] in model.langs
+    assert rest[5][1] == 0.0 and rest[5][2] == [(0, 2, "und")]
+    half = langid.label_texts(["日本語 " + RU], model)[0]
+    assert half[0] == "ru" and 0.9 < half[1] < 1 and [x[2] for x in half[2]] == ["und", "ru"]
+
+
+def slow_label(text, model):
+    """As ``label_texts`` for one text, word by word and trigram by trigram."""
+    low, k, words = langid.lowered(text), len(model.langs), []
+    for m in re.finditer(r"\S+", "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in low)):
+        word, score, a, b = m[0], np.zeros(k), 0, 0
+        for c in [*map(ord, word), 0]:
+            h = ((a * 0x9E3779B97F4A7C15 + b) * 0xC2B2AE3D27D4EB4F + c) % 2**64
+            h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
+            score += model.scores[h >> (64 - langid.TABLE_BITS)]
+            a, b = (b, c) if b else (0, c)
+        allowed = model.allowed[langid.script_table()[ord(word[0])]]
+        words.append((m.start(), m.end(), np.where(allowed, score, score.min() + langid.BARRED) if allowed.any() else np.zeros(k), allowed.any()))
+    if not words:
+        return "und", 0.0
+    _, path = slow_viterbi(np.array([w[2] for w in words]), langid.PENALTY, 1e-9)  # of equal paths, the one that stays
+    votes, total = np.zeros(k), 0
+    for (start, end, _, counts), g in zip(words, path, strict=True):
+        total += end - start
+        votes[g] += (end - start) * counts
+    return model.langs[votes.argmax()], votes.max() / total
+
+
+def test_labels_equal_those_of_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs)
+    texts = [r["text"] for r in docs.select("text").limit(40).collect()]
+    texts = [t[:600] for t in texts if t] + [EN[:40] + RU[:50] + FR[:60] + " 日本 ümlaut", "a", "é 1 ж"]
+    for t, (lang, score, _) in zip(texts, langid.label_texts(texts, model), strict=True):
+        want = slow_label(t, model)
+        assert lang == want[0] and abs(score - want[1]) < 0.02  # a word that both sides of a change score alike may go to either
 
 
 def test_scripts_bar_languages(model):
@@ -67,6 +105,14 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.9
 
 
+def test_held_out_recall_of_every_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs.where(langid.fold("doc_id", 4) != 2))
+    got = langid.languages(docs.where((langid.fold("doc_id", 4) == 2) & docs["lang"].isNotNull()), model).join(docs, "doc_id").collect()
+    for lang in {r["lang"] for r in got}:
+        assert np.mean([r["lang_pred"] == lang for r in got if r["lang"] == lang]) > 0.9, lang
+
+
 def test_messy(spark, messy, nothing, model):
     rows = langid.languages(messy, model).collect()
     assert len(rows) == messy.count()
