@@ -3,7 +3,9 @@
 A text's features are the distinct character n-grams (n = 1, 2, 3, hashed) of
 the whole text.  Each indicator is scaled by its class log-count ratio, the
 vector is scaled to unit length, and a linear hinge-loss model is fitted by dual
-coordinate descent on a bounded, hash-chosen sample of labelled rows.
+coordinate descent on a bounded, hash-chosen sample of labelled rows.  Margins
+become probabilities by a logistic curve that is fitted to the margins of rows left
+out in turn.
 """
 
 from __future__ import annotations
@@ -44,20 +46,25 @@ def ngram_slots(texts: list[str]):
 
 @dataclass
 class Model:
-    """``ratio``: log-count ratios; ``weight``: the hinge model over scaled indicators; ``bias``."""
+    """``ratio``: log-count ratios; ``weight``: the hinge model over scaled indicators; ``bias``; ``curve``: slope and offset of the logistic curve."""
 
     ratio: np.ndarray
     weight: np.ndarray
     bias: float
+    curve: tuple[float, float] = (2.0, 0.0)
 
     def margins(self, texts: list[str]) -> np.ndarray:
+        return np.fromiter(self.margins_of(ngram_slots(texts)), float, len(texts))
+
+    def margins_of(self, rows):
         both = self.ratio * self.weight
-        out = np.empty(len(texts))
-        for i, ids in enumerate(ngram_slots(texts)):
+        for ids in rows:
             r = self.ratio[ids]
             norm = np.sqrt(r @ r)
-            out[i] = self.bias + (both[ids].sum() / norm if norm else 0.0)
-        return out
+            yield self.bias + (both[ids].sum() / norm if norm else 0.0)
+
+    def probability(self, margins: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(self.curve[0] * margins + self.curve[1], -60, 60)))
 
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
@@ -102,11 +109,40 @@ def fit(rows: list[np.ndarray], y: np.ndarray, c: float = 10.0, rounds: int = 40
     return Model(ratio, w, bias)
 
 
+def logistic_curve(margins: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope (never negative) and offset of the logistic curve of most likelihood, by Newton steps; targets are softened as by one more row a class."""
+    n, m = (y > 0).sum(), (y <= 0).sum()
+    t = np.where(y > 0, (n + 1) / (n + 2), 1 / (m + 2))
+    x, w = np.c_[margins, np.ones(len(margins))], np.zeros(2)
+    for _ in range(rounds):
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -60, 60)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (t - p))
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 and np.isfinite(w).all() else (2.0, 0.0)
+
+
+def calibrated(rows: list[np.ndarray], y: np.ndarray, folds: int = 3) -> Model:
+    """The model of all rows, with the curve of the margins that each row gets from a model without its fold."""
+    model = fit(rows, y)
+    fold_of, margins = np.arange(len(y)) % folds, np.zeros(len(y))
+    for k in range(folds):
+        out = fold_of == k
+        if len(set(y[~out])) < 2:
+            return model
+        part = fit([r for r, o in zip(rows, out, strict=True) if not o], y[~out])
+        margins[out] = list(part.margins_of(r for r, o in zip(rows, out, strict=True) if o))
+    model.curve = logistic_curve(margins, y)
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from ``labels`` (doc_id, quality) and the texts of ``docs``.
 
     About ``sample`` labelled rows are used (all, if there are fewer), those of
-    least hash of doc_id; they are broadcast to the texts, and the driver gets their feature numbers.
+    least hash of doc_id; they are broadcast to the texts, and the driver gets their feature numbers
+    (4 bytes for each distinct n-gram of a text, of which there are at most ``SLOTS``).
     Null labels, labels without a document and null texts are passed over.
     """
     some = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
@@ -120,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "y": pdf["quality"].to_numpy(), "ids": ids})
 
     got = rows.mapInPandas(slots, f"doc_id {kind}, y int, ids array<int>").toPandas().sort_values(["doc_id", "y"], kind="stable")
-    return fit([np.asarray(x, np.int64) for x in got["ids"]], np.where(got["y"].to_numpy() > 0, 1.0, -1.0))
+    return calibrated([np.asarray(x, np.int64) for x in got["ids"]], np.where(got["y"].to_numpy() > 0, 1.0, -1.0))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -130,7 +166,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def score(frames):
         for pdf in frames:
             m = model.margins([t or "" for t in pdf["text"].tolist()])
-            s = 1.0 / (1.0 + np.exp(-2.0 * np.clip(m, -30, 30)))
+            s = model.probability(m)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {kind}, score double, predicted int")

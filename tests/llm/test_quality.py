@@ -40,6 +40,37 @@ def test_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
 
 
+def test_scores_equal_those_of_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdé \n")) for _ in range(rng.integers(0, 200))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("a" in t)) for i, t in enumerate(texts)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+
+    def slot(gram):
+        h = 0
+        for n, c in enumerate(gram, 1):
+            h = (h * 0x9E3779B97F4A7C15 + ord(c) + n) % 2**64
+        return ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 % 2**64) >> (64 - quality.SLOTS_BITS)
+
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, model).collect()}
+    for i, t in enumerate(texts):
+        slots = {slot(t[k : k + n]) for n in (1, 2, 3) for k in range(len(t) - n + 1)}
+        norm = sum(model.ratio[x] ** 2 for x in slots) ** 0.5
+        margin = model.bias + (sum(model.ratio[x] * model.weight[x] for x in slots) / norm if norm else 0)
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.curve[0] * margin + model.curve[1])))) < 1e-9
+
+
+def test_scores_are_calibrated(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = quality.train(docs, labels.where("doc_id % 3 != 0"))
+    got = quality.scored(docs, model).join(labels.where("doc_id % 3 = 0"), "doc_id").select("score", "quality").toPandas()
+    assert abs(got["score"].mean() - got["quality"].mean()) < 0.03
+    sure = got["quality"].where(got["score"] > 0.5, 1 - got["quality"])
+    assert abs(np.maximum(got["score"], 1 - got["score"]).mean() - sure.mean()) < 0.03
+
+
 def test_messy(spark, messy, nothing):
     labels = spark.createDataFrame([(1, 1), (6, 0), (6, 0), (2, 1), (None, 1), (8, None), (77, 0)], "doc_id long, quality int")
     model = quality.train(messy, labels)
