@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_line_dedup": linededup.op5_line_dedup,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op7_chat_quotes": quotes.op7_chat_quotes,
+        "quoted_conversations": quotes.quoted_conversations,
         "op8_quality_rules": rules.op8_quality_rules,
         "op9_simhash": simhash.op9_simhash,
         "op10_pii": pii.op10_pii,
@@ -26,5 +27,6 @@ def oracle_sql() -> dict:
         "op4_mix_sources": mixing.OP4_SQL,
         "op6_decontaminate": decontam.OP6_SQL,
         "op7_chat_quotes": quotes.OP7_SQL,
+        "quoted_conversations": quotes.QUOTED_SQL,
         "op8_quality_rules": rules.OP8_SQL,
     }

@@ -89,6 +89,31 @@ def op7_chat_quotes(spark, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "position", "turn", "role", "parent_turn", "n_quoted", "n_linked", F.sha2(F.coalesce("own", F.lit("")), 256).alias("own_sha256"))
 
 
+#: SQL for Spark and DuckDB alike: every message quotes the one that stood one to three messages before it,
+#: and some of them a second one, a level deeper; announced by a line, and above what they wrote themselves.
+_ORDER = "OVER (PARTITION BY conv_id ORDER BY turn, role, text)"
+_QUOTED = (
+    "conv_id", "turn", "role", "text", f"CASE turn % 3 WHEN 0 THEN lag(text, 1) {_ORDER} WHEN 1 THEN lag(text, 2) {_ORDER} ELSE lag(text, 3) {_ORDER} END AS q1",
+    f"CASE WHEN turn % 2 = 0 THEN lag(text, 4) {_ORDER} END AS q2",
+)
+_QUOTING = (
+    "conv_id", "turn", "role",
+    "CASE WHEN q1 IS NULL THEN text ELSE concat(CASE WHEN q2 IS NULL THEN '' ELSE concat('>> ', replace(q2, chr(10), concat(chr(10), '>> ')), chr(10)) END,"
+    " 'On the day before she wrote:', chr(10), '> ', replace(q1, chr(10), concat(chr(10), '> ')), chr(10), coalesce(text, '')) END AS text",
+)
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """The messages with quotes of earlier messages of their conversation put before their texts."""
+    return messages.selectExpr(*_QUOTED).selectExpr(*_QUOTING)
+
+
+def quoted_conversations(spark, sf_dir: str) -> DataFrame:
+    """As op7 over all conversations, with quotes made from the messages: the table's own messages hold none."""
+    out = conversations_of(quoting(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return out.select("conv_id", "position", "turn", "role", "parent_turn", "n_quoted", "n_linked", F.sha2(F.coalesce("own", F.lit("")), 256).alias("own_sha256"))
+
+
 OP7_SQL = r"""
 WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY conv_id, turn, role, text) AS rid FROM conversations),
 l AS (SELECT rid, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM m),
@@ -109,3 +134,4 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, rid
   sha256(coalesce(CASE WHEN text LIKE '%>%' THEN regexp_replace(coalesce(own, ''), '^\n+|\n+\z', '', 'g') ELSE text END, '')) AS own_sha256
 FROM m LEFT JOIN b USING (rid) LEFT JOIN t USING (rid) LEFT JOIN w USING (rid)
 """
+QUOTED_SQL = OP7_SQL.replace("FROM conversations", f"FROM (SELECT {', '.join(_QUOTING)} FROM (SELECT {', '.join(_QUOTED)} FROM conversations))")

@@ -51,3 +51,13 @@ def test_repeats_empty_and_clashing(spark):
         rows = rows.withColumn(c, rows["role"])
     assert quotes.conversations_of(rows).count() == 4
     assert quotes.conversations_of(rows.where("false")).count() == 0
+
+
+def test_quoted_conversations_link_to_the_quoted_turns(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = quotes.quoted_conversations(spark, sf).collect()
+    plain = {(r["conv_id"], r["turn"], r["role"], r["own_sha256"]) for r in quotes.op7_chat_quotes(spark, sf).collect()}
+    quoted = [r for r in rows if r["n_quoted"]]
+    assert len(quoted) > len(rows) / 5 and all(r["n_linked"] == r["n_quoted"] for r in quoted)
+    assert any(r["parent_turn"] < r["turn"] - 1 for r in quoted)
+    assert sum((r["conv_id"], r["turn"], r["role"], r["own_sha256"]) in plain for r in rows) >= 0.95 * len(rows)  # the quotes are gone again
