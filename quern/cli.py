@@ -118,6 +118,8 @@ def eval_gate(spark, a) -> int:
     base = tables.read_json(spark, a.baseline, CASES) if a.baseline else None
     g = evalx.gate(cases, a.min_clean, a.max_blockers, a.min_first_try, base).first()
     print("PASS" if g["pass"] else "FAIL\n" + "\n".join(g["reasons"]))
+    if not g["pass"]:
+        show(evalx.gate_cases(cases, base).orderBy("case_id", "why"))
     if not g["pass"] and base is not None:
         show(evalx.diff_table(cases, base).orderBy("case_id"))
     return 0 if g["pass"] else 1

@@ -27,6 +27,7 @@ DOC_TYPES = (
     ("audit-report/", None, "audit"), ("architecture/", None, "architecture"), ("operations/", None, "operation"), ("ux/", None, "view"), ("views/", None, "view"),
     ("wireframes/", None, "view"), ("execution-reports/", None, "execution_report"), ("dsl/", None, "meta"), ("dictionary/", None, "meta"), ("corpus/", None, "meta"),
 )
+# File extensions and their language.
 LANGUAGES = {
     "go": "go", "java": "java", "kt": "kotlin", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "tf": "hcl", "hcl": "hcl",
     "sh": "shell", "bash": "shell", "sql": "sql", "yaml": "yaml", "yml": "yaml", "json": "json", "md": "markdown", "xml": "xml", "html": "html", "css": "css", "scss": "scss",

@@ -119,6 +119,7 @@ def commit_cites(c) -> Column:
 def syntactic_form(c) -> Column:
     t = trim_space(c)
     low = F.lower(t)
+    # Verbs that open an instruction.
     verbs = ("use", "run", "check", "verify", "ensure", "set", "add", "remove", "delete", "create", "configure", "install", "build", "test", "deploy")
     return (
         F.when(t == "", "affirmation").when(t.endswith("?"), "question").when(t.endswith("!"), "imperative")
@@ -128,6 +129,7 @@ def syntactic_form(c) -> Column:
     )
 
 
+# Modalities from strongest to weakest, and their cues.
 MODALITIES = (
     ("forbidden", ("MUST NOT", "NEVER ", "FORBIDDEN", "PROHIBITED", "NO EXCEPTIONS", "DO NOT ")),
     ("mandatory", ("MUST ", "HARD RULE", "REQUIRED", "REQUIRES ", "MANDATORY", "NON-NEGOTIABLE")),
@@ -236,6 +238,11 @@ def json_object_in(c) -> Column:
     return F.regexp_extract(col(c), r"(?s)\{.*\}", 0)
 
 
+def json_field(c, *path: str) -> Column:
+    """A field of a JSON text as a string, by the names that lead to it; null where the text is no JSON or lacks it."""
+    return F.get_json_object(col(c), "$" + "".join(f"['{p}']" for p in path))
+
+
 def strip_fence(c) -> Column:
     return trim_space(F.regexp_replace(trim_space(c), r"(?s)\A```[a-z]*\n|\n?```\z", ""))
 

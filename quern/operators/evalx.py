@@ -25,53 +25,79 @@ def _finding(df: DataFrame, test: Column, severity: str, code: str, location, va
     return df.where(F.coalesce(test, F.lit(False))).select("case_id", F.lit(severity).alias("severity"), F.lit(code).alias("code"), as_col(location).alias("location"), F.coalesce(as_col(value).cast("string"), F.lit("")).alias("value"))
 
 
+FINDING = "struct<severity:string,code:string,location:string,value:string,cite:string>"
+
+
+def _entry(severity: str, code: str, location, value="", cite=None) -> Column:
+    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), as_col(location).alias("location"), F.coalesce(as_col(value).cast("string"), F.lit("")).alias("value"), as_col(cite).cast("string").alias("cite"))
+
+
+def _some(*cases: tuple[Column, Column]) -> Column:
+    """The entries whose test holds."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), entry) for test, entry in cases]))
+
+
+def _list(c) -> Column:
+    return F.coalesce(c, F.array())
+
+
+def _cited(at: Column, items: Column) -> Column:
+    """Entries of a list of cites: each one, to be resolved, and every second occurrence."""
+    place = lambda i: F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))
+    each = F.transform(_list(items), lambda x, i: _entry("BLOCKER", "cite_unresolved", place(i), x, x))
+    again = F.transform(_list(items), lambda x, i: _some((F.size(F.filter(F.slice(items, 1, i), lambda y: y == x)) == 1, _entry("INFO", "duplicate_cite", place(i), x))))
+    return F.concat(F.filter(each, lambda x: x["cite"].isNotNull()), F.flatten(again))
+
+
+def _claims_of(side: str):
+    """The findings on one claim of a list, as a function of the claim and its place."""
+
+    def entries(e: Column, i: Column) -> Column:
+        at = F.concat(F.lit(side + "["), i.cast("string"), F.lit("]"))
+        claim = F.octet_length(text.trim_space(e["claim"]))
+        own = _some((F.size(_list(e["cites"])) == 0, _entry("BLOCKER", f"{side}_unsupported", F.concat(at, F.lit(".cites")))), ((claim > 0) & (claim < 20), _entry("INFO", "short_claim", F.concat(at, F.lit(".claim")), e["claim"])))
+        return F.concat(own, _cited(F.concat(at, F.lit(".cites")), e["cites"]))
+
+    return entries
+
+
+def _unresolved(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """Entries (case_id, e) as findings; those of a cite stay only if ``known`` (cite) lacks it.  Others get keys of their own, so no key is hot."""
+    key = F.coalesce("e.cite", F.concat(F.lit("\0"), F.xxhash64("case_id", "e.code", "e.location").cast("string")))
+    e = entries.withColumn("_cite", key).join(known.select(F.col("cite").alias("_cite")).distinct(), "_cite", "left_anti")
+    return e.select("case_id", "e.severity", "e.code", "e.location", "e.value")
+
+
 def challenge_violations(outputs: DataFrame, known: DataFrame) -> DataFrame:
     """(case_id, severity, code, location, value): all findings on model outputs (case_id, raw).
 
-    ``known``: cite, the terms and paths that resolve.  An output that is no JSON object gives one blocker.
+    ``known``: cite, the terms and paths that resolve.  An output that is no JSON
+    object gives one blocker.  Each output is parsed once; its findings form one array.
     """
-    p = outputs.withColumn("j", F.from_json("raw", CHALLENGE)).withColumn("c", F.col("j.challenge"))
-    good = p.where("c IS NOT NULL")
-    length = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.col(c)))
-    out = _finding(p, F.col("c").isNull(), "BLOCKER", "output_not_parseable_json", "(root)", F.substring("raw", 1, 80))
-    lists = []
-    for side in ("confirms", "contradicts"):
-        e = good.select("case_id", F.posexplode(f"c.{side}").alias("i", "e"))
-        at = F.concat(F.lit(side + "["), F.col("i").cast("string"), F.lit("]"))
-        lists.append(e.select("case_id", F.concat(at, F.lit(".cites")).alias("list"), F.col("e.cites").alias("items")))
-        out = out.unionByName(_finding(e, length("e.cites") == 0, "BLOCKER", f"{side}_unsupported", F.concat(at, F.lit(".cites"))))
-        claim = F.octet_length(text.trim_space("e.claim"))
-        out = out.unionByName(_finding(e, (claim > 0) & (claim < 20), "INFO", "short_claim", F.concat(at, F.lit(".claim")), F.col("e.claim")))
-    for name in RULE_LISTS:
-        lists.append(good.select("case_id", F.lit(f"applicable_rules.{name}").alias("list"), F.col(f"c.applicable_rules.{name}").alias("items")))
-    every = lists[0]
-    for x in lists[1:]:
-        every = every.unionByName(x)
-    cites = every.select("case_id", "list", F.posexplode("items").alias("i", "cite"))
-    place = F.concat("list", F.lit("["), F.col("i").cast("string"), F.lit("]"))
-    lost = cites.join(known.select("cite").distinct(), "cite", "left_anti")
-    out = out.unionByName(_finding(lost, F.lit(True), "BLOCKER", "cite_unresolved", place, F.col("cite")))
-    second = every.select("case_id", "list", F.posexplode("items").alias("i", "cite"), "items").where(F.size(F.filter(F.slice("items", 1, F.col("i")), lambda x: x == F.col("cite"))) == 1)
-    out = out.unionByName(_finding(second, F.lit(True), "INFO", "duplicate_cite", place, F.col("cite")))
+    p = outputs.withColumn("j", F.from_json("raw", CHALLENGE)).select("case_id", "raw", F.col("j.challenge").alias("c"))
+    n_of = lambda c: F.size(_list(F.col(c)))
+    found = [_some((F.col("c").isNull(), _entry("BLOCKER", "output_not_parseable_json", "(root)", F.substring("raw", 1, 80))))]
+    found += [F.flatten(F.transform(_list(F.col(f"c.{side}")), _claims_of(side))) for side in ("confirms", "contradicts")]
+    found += [_cited(F.lit(f"applicable_rules.{name}"), F.col(f"c.applicable_rules.{name}")) for name in RULE_LISTS]
     want = F.lit(None).cast("string")
     for k, v in PROCEED.items():
         want = F.when(F.col("c.verdict") == k, v).otherwise(want)
-    verdict = F.col("c.verdict")
+    verdict, good = F.col("c.verdict"), F.col("c").isNotNull()
     request = F.lower(text.trim_space(F.coalesce(F.col("c.request"), F.lit(""))))
     empty = (request == "") | request.isin(*PLACEHOLDERS)
-    nothing = (length("c.confirms") == 0) & (length("c.contradicts") == 0) & (length("c.clarify") == 0)
-    for test, severity, code, location, value in (
-        (want.isNotNull() & ~F.col("c.proceed").eqNullSafe(want), "BLOCKER", "verdict_proceed_mismatch", "proceed", F.col("c.proceed")),
-        ((verdict == "INVALID") & (length("c.contradicts") == 0), "BLOCKER", "invalid_without_contradicts", "contradicts", ""),
-        ((verdict == "NEEDS_CLARIFICATION") & (length("c.clarify") == 0), "BLOCKER", "clarify_required_but_empty", "clarify", ""),
-        (empty, "BLOCKER", "placeholder_request", "request", F.col("c.request")),
-        (~empty & ((F.octet_length(request) < 10) | ~request.contains(" ")), "BLOCKER", "request_too_short", "request", F.col("c.request")),
-        ((verdict == "OUT_OF_SCOPE") & (length("c.confirms") > 0), "WARNING", "out_of_scope_with_confirms", "confirms", ""),
-        ((verdict == "OUT_OF_SCOPE") & (length("c.contradicts") > 0), "WARNING", "out_of_scope_with_contradicts", "contradicts", ""),
-        (verdict.isin("VALID_WITH_CAVEATS", "INVALID", "NEEDS_CLARIFICATION") & nothing, "WARNING", "empty_assessment", "challenge", ""),
-    ):
-        out = out.unionByName(_finding(good, test, severity, code, location, value))
-    return out
+    nothing = (n_of("c.confirms") == 0) & (n_of("c.contradicts") == 0) & (n_of("c.clarify") == 0)
+    found.append(_some(
+        (want.isNotNull() & ~F.col("c.proceed").eqNullSafe(want), _entry("BLOCKER", "verdict_proceed_mismatch", "proceed", F.col("c.proceed"))),
+        ((verdict == "INVALID") & (n_of("c.contradicts") == 0), _entry("BLOCKER", "invalid_without_contradicts", "contradicts")),
+        ((verdict == "NEEDS_CLARIFICATION") & (n_of("c.clarify") == 0), _entry("BLOCKER", "clarify_required_but_empty", "clarify")),
+        (good & empty, _entry("BLOCKER", "placeholder_request", "request", F.col("c.request"))),
+        (good & ~empty & ((F.octet_length(request) < 10) | ~request.contains(" ")), _entry("BLOCKER", "request_too_short", "request", F.col("c.request"))),
+        ((verdict == "OUT_OF_SCOPE") & (n_of("c.confirms") > 0), _entry("WARNING", "out_of_scope_with_confirms", "confirms")),
+        ((verdict == "OUT_OF_SCOPE") & (n_of("c.contradicts") > 0), _entry("WARNING", "out_of_scope_with_contradicts", "contradicts")),
+        (verdict.isin("VALID_WITH_CAVEATS", "INVALID", "NEEDS_CLARIFICATION") & nothing, _entry("WARNING", "empty_assessment", "challenge")),
+    ))
+    return _unresolved(p.select("case_id", F.explode(F.concat(*[x.cast(f"array<{FINDING}>") for x in found])).alias("e")), known)
 
 
 def assessment_violations(outputs: DataFrame, claims: DataFrame, known: DataFrame) -> DataFrame:
@@ -131,17 +157,21 @@ def new_blockers(results: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def gate(results: DataFrame, min_clean: int, max_blockers: int, min_first_try: float = 0.0, baseline: DataFrame | None = None) -> DataFrame:
-    """One row: pass, reasons, new_blockers."""
+    """One row: pass, reasons, and the numbers of errors and of new blockers; :func:`gate_cases` names the cases."""
     fresh = new_blockers(results, baseline) if baseline is not None else results.where("false").select("case_id")
-    nb = fresh.agg(F.array_sort(F.collect_set("case_id")).alias("new_blockers"))
-    failed = results.where("coalesce(error, '') != ''").agg(F.array_sort(F.collect_list(F.concat(F.lit("error in "), F.col("case_id").cast("string")))).alias("errored"))
-    r = report(results).crossJoin(F.broadcast(nb)).crossJoin(F.broadcast(failed))  # one row each
+    r = report(results).crossJoin(F.broadcast(fresh.agg(F.count("*").alias("new_blockers"))))  # one row each
     reasons = F.array_compact(F.array(
         F.when(F.col("clean_cases") < min_clean, F.lit("clean cases below threshold")), F.when(F.col("total_blockers") > max_blockers, F.lit("blockers above threshold")),
-        F.when((F.lit(min_first_try) > 0) & (F.col("first_try_rate") < min_first_try), F.lit("first-try rate below threshold")), F.when(F.size("new_blockers") > 0, F.lit("new blockers on clean cases")),
+        F.when((F.lit(min_first_try) > 0) & (F.col("first_try_rate") < min_first_try), F.lit("first-try rate below threshold")), F.when(F.col("new_blockers") > 0, F.lit("new blockers on clean cases")),
+        F.when(F.col("errors") > 0, F.lit("errors")),
     ))
-    r = r.withColumn("reasons", F.concat(reasons, "errored"))
-    return r.select((F.size("reasons") == 0).alias("pass"), "reasons", "new_blockers")
+    return r.withColumn("reasons", reasons).select((F.size("reasons") == 0).alias("pass"), "reasons", "errors", "new_blockers")
+
+
+def gate_cases(results: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """(case_id, why): the cases that keep a gate shut by themselves, with an error or a new blocker."""
+    errors = results.where("coalesce(error, '') != ''").select("case_id", F.lit("error").alias("why"))
+    return errors if baseline is None else errors.unionByName(new_blockers(results, baseline).withColumn("why", F.lit("new blocker")))
 
 
 def diff_table(results: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -61,20 +61,73 @@ def first_definitions(chunks: DataFrame, category) -> DataFrame:
 
 # Artifact id shapes and their category, in order.
 CATEGORIES = (
-    ("decision", r"\AD-?[0-9]+[a-z]?\z"), ("anti_pattern", r"\AAP-?[0-9]+[a-z]?\z"), ("backend_anti_pattern", r"\AAB[BOCDEST]-[0-9]+[a-z]?\z"), ("webapp_anti_pattern", r"\AAW[A-Z]{1,2}-[0-9]+[a-z]?\z"),
-    ("mobile_anti_pattern", r"\AAM[A-Z]{1,2}-[0-9]+[a-z]?\z"), ("security", r"\AS[BIWMX]-[0-9]+\z"), ("testing", r"\AT(?:BX|BU|BC|BE|AP|WU|WC|WE|AW|MU|MC|ME|AM)-[0-9]+\z"),
-    ("observability", r"\A(?:O[LTMHEWAI]|AO)-[0-9]+\z"), ("webapp_rule", r"\AWA-[A-Z]+(?:-[0-9]+)?\z"), ("quality", r"\A[UBWMTEI]-[0-9]+\z"), ("retro_rule", r"\AR[LKMS][0-9]+\z"), ("schema", r"\ASS-[0-9]+\z"),
-)
+    (r"D[0-9]+", "domain.decision"),
+    (r"AP[0-9]+", "domain.anti_pattern"),
+    (r"(?:ABB|ABO|ABC|ABD|ABE|ABS|ABT)-[0-9]+", "domain.anti_pattern.backend"),
+    (r"(?:AWC|AWH|AWS|AWR|AWT|AWB|AWTA|AWA)-[0-9]+", "domain.anti_pattern.webapp"),
+    (r"(?:AMC|AMP|AMS|AMN|AMH|AME|AMTA)-[0-9]+", "domain.anti_pattern.mobile"),
+    (r"(?:SB|SI|SW|SM|SX)-[0-9]+", "domain.standard_rule.security"),
+    (r"WA-[A-Z]+(?:-[0-9]+)?", "domain.standard_rule.architecture.webapp"),
+    (r"(?:TBX|TBU|TBC|TBE|TAP)-[0-9]+", "domain.standard_rule.testing.backend"),
+    (r"(?:TWU|TWC|TWE|TAW)-[0-9]+", "domain.standard_rule.testing.webapp"),
+    (r"(?:TMU|TMC|TME|TAM)-[0-9]+", "domain.standard_rule.testing.mobile"),
+    (r"(?:OL|OT|OM|OH|OE|OW|OA|OI|AO)-[0-9]+", "domain.standard_rule.observability"),
+    (r"[UBWMTEI]-[0-9]+", "domain.standard_rule.quality"),
+    (r"SS-[0-9]+", "domain.standard_rule.schema"),
+    (r"(?:RL|RK|RM|RS)[0-9]+", "domain.retrospective_rule"),
+)
 
 
 def category(artifact_id):
+    """The dictionary category of an artifact id; null for an id of no known shape."""
     c = text.col(artifact_id)
     out = F.lit(None).cast("string")
-    for name, p in reversed(CATEGORIES):
-        out = F.when(c.rlike(p), name).otherwise(out)
+    for p, name in reversed(CATEGORIES):
+        out = F.when(c.rlike(rf"\A(?:{p})\z"), name).otherwise(out)
     return out
 
 
+def category_scope(category):
+    """The scope whose dictionary holds a category: the stack that its last part names, else universal."""
+    last = F.substring_index(text.col(category), ".", -1)
+    return F.when(last.isin("backend", "webapp", "mobile"), last).otherwise("universal")
+
+
+def definition(title, body):
+    """The title; without one, the body's first sentence after a bracketed head line, of at most 240 bytes."""
+    title = text.trim_space(F.coalesce(text.col(title), F.lit("")))
+    b = text.trim_space(F.coalesce(text.col(body), F.lit("")))
+    b = text.trim_space(F.when(b.startswith("[") & b.contains("\n"), F.regexp_replace(b, r"\A[^\n]*\n", "")).otherwise(b))
+    first = text.trim_space(F.when(b.rlike(r"\A[^.!?\n]"), F.regexp_extract(b, r"\A[^.!?\n]+", 0)).otherwise(b))
+    return F.when(title != "", title).when(F.octet_length(first) > 240, F.concat(text.cap_utf8(first, 240), F.lit("…"))).otherwise(first)
+
+
+def dictionary_entries(chunks: DataFrame) -> DataFrame:
+    """(term, category, scope, definition, cite): the first chunk of every categorised artifact id, by source and anchor."""
+    c = chunks.where("coalesce(artifact_id, '') != ''").withColumn("category", category("artifact_id")).where("category IS NOT NULL")
+    best = F.min_by(F.struct("category", "title", "body", "source", "source_anchor"), F.struct("source", "source_anchor")).alias("x")
+    c = c.groupBy(F.col("artifact_id").alias("term")).agg(best).select("term", "x.*")
+    cite = F.when(F.coalesce("source_anchor", F.lit("")) != "", F.col("source_anchor")).otherwise(F.col("source"))
+    return c.select("term", "category", category_scope("category").alias("scope"), definition("title", "body").alias("definition"), cite.alias("cite"))
+
+
+def bootstrap(chunks: DataFrame, existing: DataFrame) -> DataFrame:
+    """The dictionary after a bootstrap: ``existing`` (scope, term, ...) as it is, and the entries of ``chunks`` whose term its scope lacks.
+
+    A column ``added`` tells them apart; a second run adds nothing.
+    """
+    found = dictionary_entries(chunks).withColumn("added", F.lit(True))
+    fresh = found.join(existing.select("scope", "term"), ["scope", "term"], "left_anti")
+    return existing.withColumn("added", F.lit(False)).unionByName(fresh, allowMissingColumns=True)
+
+
+def bootstrap_stats(chunks: DataFrame, existing: DataFrame) -> DataFrame:
+    """One row: chunks read, with an id, entries found, added and skipped."""
+    read = chunks.agg(F.count("*").alias("chunks_read"), F.count_if(F.coalesce("artifact_id", F.lit("")) != "").alias("with_id"))
+    found = dictionary_entries(chunks).join(existing.select("scope", "term").distinct().withColumn("_known", F.lit(True)), ["scope", "term"], "left")
+    return read.crossJoin(F.broadcast(found.agg(F.count("*").alias("found"), F.count_if(F.col("_known").isNull()).alias("added"), F.count("_known").alias("skipped"))))  # one row each
+
+
 def merged_terms(existing: DataFrame, found: DataFrame) -> DataFrame:
     """``existing`` (term, ...) and the terms of ``found`` that it lacks."""
     return existing.unionByName(found.join(existing.select("term"), "term", "left_anti"), allowMissingColumns=True)

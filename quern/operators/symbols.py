@@ -23,6 +23,7 @@ def _mods(*words: str) -> str:
 
 
 EXPORT = rf"(?:export{S}+(?:default{S}+)?)?"
+# What a declaration looks like in each language, in order.
 PATTERNS: dict[str, tuple[tuple[str, str], ...]] = {
     "java": (
         ("package", rf"\A{S}*package{S}+([A-Za-z0-9_.]+){S}*;"),

@@ -21,6 +21,7 @@ BROADCAST_QUERIES = 10_000
 OVER_FETCH = (3, 15, 30)
 #: Rows of a block of vectors or queries; a task holds the distances between two blocks.
 BLOCK = 1024
+BLOCK_PARTS = ("ids", "cells", "dims", "flat")
 #: Hits (16 bytes each) that a task holds before it hands them on.
 HELD = 2_000_000
 
@@ -74,10 +75,16 @@ def scored(queries: DataFrame, vectors: DataFrame, digits: int | None = None) ->
 
 
 def scoped_families(queries: DataFrame, vectors: DataFrame, per_family: int, always=("corpus", "failure_modes"), code_scopes=dims.CODE_SCOPES, digits: int | None = None) -> DataFrame:
-    """Per query, the nearest ``per_family`` of each (scope, family); families outside ``always`` only in ``code_scopes``."""
+    """Per query, the nearest ``per_family`` of each (scope, family) in its scopes; families outside ``always`` only in ``code_scopes``.
+
+    Whole-number ids go block by block; others, for a few queries, row by row.
+    """
     allowed = F.col("family").isin(*always) | F.col("scope").isin(*code_scopes)
-    hits = scored(queries, vectors.where(allowed), digits)
-    return top_k(hits, ["qid", "scope", "family"], [F.col("distance"), F.col("id")], per_family)
+    if "string" in (queries.schema["qid"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()):
+        return top_k(scored(queries, vectors.where(allowed), digits), ["qid", "scope", "family"], [F.col("distance"), F.col("id")], per_family)
+    near = _near(queries, vectors.where(allowed), per_family, digits, "each", None, F.xxhash64("scope", "family")).join(queries.select("qid", "scopes"), "qid")
+    near = near.where(F.col("scopes").isNull() | F.array_contains("scopes", F.col("scope"))).drop("scopes")
+    return top_k(near, ["qid", "scope", "family"], [F.col("distance"), F.col("id")], per_family)
 
 
 def nearest(hits: DataFrame, n: int) -> DataFrame:
@@ -86,17 +93,17 @@ def nearest(hits: DataFrame, n: int) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, embedding) to rows of up to ``BLOCK`` vectors: ids, dimensions, and the values padded to the longest, by rising id."""
+    """(id, cell, embedding) to rows of up to ``BLOCK`` vectors: ids, cells, dimensions, and the values padded to the longest, by rising id."""
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
-            ids, rows = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
+            ids, cells, rows = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_pylist()
             order = np.argsort(ids, kind="stable")
             dims_ = np.array([len(rows[i] or ()) for i in order], np.int32)
             flat = np.zeros((len(order), max(1, dims_.max())), np.float32)
             for r, i in enumerate(order):
                 flat[r, : dims_[r]] = rows[i] or ()
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids[order].astype(np.int64), dims_, flat)], names=["ids", "dims", "flat"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids[order].astype(np.int64), cells[order].astype(np.int64), dims_, flat)], names=list(BLOCK_PARTS))
 
 
 def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
@@ -123,29 +130,36 @@ def _block_distances(q: np.ndarray, v: np.ndarray, q_dims: np.ndarray, v_dims: n
     return 1 - np.where(some, sums / np.where(some, long, 1), 0.0)
 
 
-def _block_nearest(n: int, digits: int | None):
+def _block_nearest(n: int, digits: int | None, mode: str):
+    """``mode``: "all"; "each", the nearest of every cell of the vectors; "unlike", the nearest of another cell than the query's."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # the nearest so far of each block of queries
+        held: dict[tuple[bytes, int], tuple[np.ndarray, np.ndarray]] = {}  # the nearest so far of each block of queries and cell
 
         def handed_on():
-            for q_ids, (dist, near) in held.items():
-                qids = np.frombuffer(q_ids, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, near.shape[1])), pa.array(near.ravel()), pa.array(dist.ravel())], names=["qid", "id", "distance"])
+            for (q_ids, _), (dist, near) in held.items():
+                qids, some = np.repeat(np.frombuffer(q_ids, np.int64), near.shape[1]), np.isfinite(dist.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(qids[some]), pa.array(near.ravel()[some]), pa.array(dist.ravel()[some])], names=["qid", "id", "distance"])
             held.clear()
 
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                dist = _block_distances(*[np.frombuffer(r[f"{s}flat"], np.float32).reshape(len(x), -1) for s, x in (("q_", qids), ("", ids))], *[np.frombuffer(r[f"{s}dims"], np.int32) for s in ("q_", "")])
-                dist = dist if digits is None else _rounded(dist, digits)
-                best = np.argsort(dist, axis=1, kind="stable")[:, :n]  # ids rise inside a block
-                dist, near = np.take_along_axis(dist, best, 1), ids[best]
-                if r["q_ids"] in held:
-                    dist, near = (np.concatenate(x, axis=1) for x in zip(held[r["q_ids"]], (dist, near), strict=True))
-                    best = np.lexsort((near, dist), axis=1)[:, :n]
-                    dist, near = np.take_along_axis(dist, best, 1), np.take_along_axis(near, best, 1)
-                held[r["q_ids"]] = dist, near
+                (ids, cells, dims_), (qids, q_cells, q_dims) = ([np.frombuffer(r[s + k], t) for k, t in zip(BLOCK_PARTS, (np.int64, np.int64, np.int32), strict=False)] for s in ("", "q_"))
+                all_dist = _block_distances(np.frombuffer(r["q_flat"], np.float32).reshape(len(qids), -1), np.frombuffer(r["flat"], np.float32).reshape(len(ids), -1), q_dims, dims_)
+                all_dist = all_dist if digits is None else _rounded(all_dist, digits)
+                if mode == "unlike":
+                    all_dist[q_cells[:, None] == cells] = np.inf
+                for cell in np.unique(cells).tolist() if mode == "each" else [0]:
+                    here = cells == cell if mode == "each" else slice(None)
+                    dist, key = all_dist[:, here], (r["q_ids"], cell)
+                    best = np.argsort(dist, axis=1, kind="stable")[:, :n]  # ids rise inside a block
+                    dist, near = np.take_along_axis(dist, best, 1), ids[here][best]
+                    if key in held:
+                        dist, near = (np.concatenate(x, axis=1) for x in zip(held[key], (dist, near), strict=True))
+                        best = np.lexsort((near, dist), axis=1)[:, :n]
+                        dist, near = np.take_along_axis(dist, best, 1), np.take_along_axis(near, best, 1)
+                    held[key] = dist, near
                 if sum(x.size for x, _ in held.values()) > HELD:
                     yield from handed_on()
         yield from handed_on()
@@ -153,20 +167,32 @@ def _block_nearest(n: int, digits: int | None):
     return search
 
 
+def _near(queries: DataFrame, vectors: DataFrame, n: int, digits: int | None, mode: str, q_cell=None, v_cell=None, columns=("family", "scope", "source", "doc")) -> DataFrame:
+    """Candidates (qid, id, ``columns``, distance): the ``n`` nearest that each task found, so all that can be among the nearest."""
+    kind = ", ".join(f"{c} binary" for c in BLOCK_PARTS)
+    none = F.lit(0).cast("long")
+    blocks = lambda df, key, cell: df.select(F.col(key).cast("long").alias("id"), (none if cell is None else cell).alias("cell"), "embedding").mapInArrow(_blocks, kind)
+    q = blocks(queries, "qid", q_cell).select(*[F.col(c).alias(f"q_{c}") for c in BLOCK_PARTS])
+    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    v = blocks(vectors, "id", v_cell).repartition(parts)
+    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    near = v.crossJoin(F.broadcast(q) if few else q).mapInArrow(_block_nearest(n, digits, mode), "qid long, id long, distance double")
+    return near.join(vectors.select("id", *columns), "id").select("qid", "id", *columns, "distance")
+
+
 def nearest_in_blocks(queries: DataFrame, vectors: DataFrame, n: int, digits: int | None = None) -> DataFrame:
     """``nearest(scored(queries, vectors, digits), n)`` for queries of all scopes, whole-number ids and n > 0.
 
     Blocks of queries meet blocks of vectors, and only the ``n`` nearest of each
     query leave a task (more often beyond ``HELD`` of them), so the pairs themselves are never rows.
     """
-    kind = "ids binary, dims binary, flat binary"
-    q = queries.select(F.col("qid").cast("long").alias("id"), "embedding").mapInArrow(_blocks, kind).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "dims", "flat")])
-    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    v = vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(_blocks, kind).repartition(parts)
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    near = v.crossJoin(F.broadcast(q) if few else q).mapInArrow(_block_nearest(n, digits), "qid long, id long, distance double")
-    near = top_k(near, ["qid"], [F.col("distance"), F.col("id")], n)
-    return near.join(vectors.select("id", "family", "scope", "source", "doc"), "id").select("qid", "id", "family", "scope", "source", "doc", "distance", "rank")
+    return top_k(_near(queries, vectors, n, digits, "all"), ["qid"], [F.col("distance"), F.col("id")], n)
+
+
+def reserved(queries: DataFrame, vectors: DataFrame, n: int, reserve: int = 2, family: str = "failure_modes", digits: int | None = None) -> DataFrame:
+    """:func:`with_reserve` of all vectors' hits, from the nearest ``n`` and the nearest ``reserve`` of the family."""
+    hits = nearest_in_blocks(queries, vectors, n, digits).unionByName(nearest_in_blocks(queries, vectors.where(F.col("family") == family), reserve, digits))
+    return with_reserve(hits.drop("rank").dropDuplicates(["qid", "id"]), n, reserve, family)
 
 
 def with_reserve(hits: DataFrame, n: int, reserve: int = 2, family: str = "failure_modes") -> DataFrame:
@@ -178,10 +204,16 @@ def with_reserve(hits: DataFrame, n: int, reserve: int = 2, family: str = "failu
 
 
 def over_fetch(n: int) -> int:
+    """How many hits to take where a filter follows that may turn some away."""
     factor, least, most = OVER_FETCH
     return min(most, max(least, factor * n))
 
 
+def filtered_after(hits: DataFrame, wanted: Column, n: int) -> DataFrame:
+    """The first ``n`` hits of every query that are ``wanted``, among its nearest ``over_fetch(n)``: what the filter turns away isn't made up for."""
+    return top_k(nearest(hits, over_fetch(n)).drop("rank").where(wanted), ["qid"], [F.col("distance"), F.col("id")], n)
+
+
 RULE_DOC_TYPES = ("anti_pattern", "pattern", "standard", "decision")
 
 
@@ -227,6 +259,16 @@ def recall_at(hits: DataFrame, k: int) -> Column:
     return F.avg(F.when(F.col("hit_at").between(1, k), 1.0).otherwise(0.0))
 
 
+def economy(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """(qid, payload, sources): bytes of a query's hits (qid, source, body) against those of the distinct ``files`` (path, size) behind them.
+
+    Sources named with an ``@`` are commits, not files, and count on neither file side.
+    """
+    h = hits.groupBy("qid", "source").agg(F.sum(F.octet_length("body")).alias("bytes"))
+    f = files.where(~F.col("path").contains("@")).select(F.col("path").alias("source"), "size")
+    return h.join(f, "source", "left").groupBy("qid").agg(F.sum("bytes").cast("long").alias("payload"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("sources"))
+
+
 def relative_gate(baseline, candidate, least: float = 0.10) -> tuple[Column, Column]:
     """(relative improvement, pass); from nothing to something passes, from nothing to nothing fails."""
     b, c = _c(baseline), _c(candidate)
@@ -264,26 +306,28 @@ def tag_negatives(sentences: DataFrame) -> DataFrame:
 
     scoped = best(anchors.join(n, (F.col("a_scope") == F.col("n_scope")) & (F.col("a_scope") != "") & differs)).withColumn("relaxed", F.lit(False))
     keys = ["a_scope", "a_role", "a_k"]
-    on = None
-    for k in keys:
-        t = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-        on = t if on is None else on & t
-    rest = anchors.alias("l").join(scoped.alias("r"), on, "left_anti")
-    wide = n.groupBy("n_role", "n_k").agg(F.min("rep").alias("rep")).withColumn("n_scope", F.lit(None).cast("string"))
-    loose = best(rest.join(wide, differs)).withColumn("relaxed", F.lit(True))
+    same = lambda left, right: F.struct(*left).eqNullSafe(F.struct(*right))
+    rest = anchors.alias("l").join(scoped.alias("r"), same([f"l.{k}" for k in keys], [f"r.{k}" for k in keys]), "left_anti")
+    # Without a scope: classes that share a tag meet by it; where none of another role does, all score 0 and the
+    # least id of another role wins, which is that of one of the two roles with the least ids.
+    wide = n.groupBy("n_role", "n_k").agg(F.min("rep").alias("rep"))
+    tagged = rest.withColumn("tag", F.explode("a_k")).join(wide.withColumn("tag", F.explode("n_k")), "tag").where(differs).drop("tag").distinct()
+    by_tag = best(tagged)
+    first = F.row_number().over(Window.orderBy("rep"))
+    roles = wide.groupBy("n_role").agg(F.min("rep").alias("rep")).withColumn("_r", first).where("_r <= 2").drop("_r")  # one row a role
+    alone = rest.alias("l").join(by_tag.alias("r"), same([f"l.{k}" for k in keys], [f"r.{k}" for k in keys]), "left_anti")
+    alone = best(alone.join(F.broadcast(roles), differs).withColumn("n_k", F.array().cast("array<string>")))  # two rows
+    loose = by_tag.select(*keys, "rep", "n_role").unionByName(alone.select(*keys, "rep", "n_role")).withColumn("relaxed", F.lit(True))
     found = scoped.select(*keys, "rep", "n_role", "relaxed").unionByName(loose.select(*keys, "rep", "n_role", "relaxed"))
     on = F.col("s.scope").eqNullSafe(F.col("f.a_scope")) & F.col("s.semantic_role").eqNullSafe(F.col("f.a_role")) & (F.col("s._k") == F.col("f.a_k"))
     return s.alias("s").join(found.alias("f"), on).select(F.col("s.id").alias("anchor_id"), F.col("rep").alias("negative_id"), F.col("s.scope").alias("scope"), F.col("s.semantic_role").alias("anchor_role"), F.col("n_role").alias("negative_role"), "relaxed")
 
 
 def dense_negatives(vectors: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
-    """Per query (qid, label, embedding): the most similar vector (id, label, embedding) of another label, ties to the least id."""
-    q = queries.select("qid", F.col("label").alias("q_label"), F.col("embedding").alias("_q"), norm("embedding").alias("_nq"))
-    v = vectors.select("id", F.col("label").alias("n_label"), "embedding", norm("embedding").alias("_nv"))
-    few = q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    both = v.join(F.broadcast(q) if few else q, F.col("q_label") != F.col("n_label"))
-    both = both.select("qid", "q_label", F.col("id").alias("negative_id"), "n_label", F.round(cosine("_q", "embedding", "_nq", "_nv"), digits).alias("score"))
-    return top_k(both, ["qid"], [F.col("score").desc(), F.col("negative_id")], 1, "_r").drop("_r")
+    """Per query (qid, label, embedding): the most similar vector (id, label, embedding) of another label, ties to the least id.  Labels may not be null."""
+    near = _near(queries, vectors, 1, digits, "unlike", F.xxhash64("label"), F.xxhash64("label"), ("label",))
+    near = top_k(near, ["qid"], [F.col("distance"), F.col("id")], 1, "_r").withColumnRenamed("label", "n_label").join(queries.select("qid", F.col("label").alias("q_label")), "qid")
+    return near.select("qid", "q_label", F.col("id").alias("negative_id"), "n_label", F.round(1 - F.col("distance"), digits).alias("score"))
 
 
 def mining_summary(triples: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions import dims, text
 from quern.operators import chunkers, datasets, evalx, graph, ledger, sync, vectors
 from quern.plans import steps
+from quern.streaming import ledgers
 
 FLAGSHIP = "code_windows"
 _Q: dict = {}
@@ -118,18 +119,19 @@ def markdown_chunks(spark, d):
 
 # ---------------------------------------------------------------- citations
 
-CITED = "SELECT doc_id AS chunk_id, CASE WHEN doc_id < 50 THEN 'D' || doc_id ELSE '' END AS artifact_id, 'See D' || (doc_id * 7 % 50) || ', AP' || (doc_id % 9) || ' and xD1, SB-' || (doc_id % 4) || '; WA-L-3.' AS body FROM documents"
+CITED = "SELECT doc_id AS chunk_id, CASE WHEN doc_id % 10 < 9 THEN 'D' || doc_id ELSE '' END AS artifact_id, coalesce(text, '') || ' See D' || (doc_id // 2) || ', D' || (doc_id // 3 * 2) || ', AP' || (doc_id % 9) || ' and xD1, SB-' || (doc_id % 4) || '; WA-L-3.' AS body FROM documents"
 
 
 def _cited(spark, d):
     n = F.col("doc_id")
     s = lambda x: x.cast("string")
-    body = F.concat(F.lit("See D"), s(n * 7 % 50), F.lit(", AP"), s(n % 9), F.lit(" and xD1, SB-"), s(n % 4), F.lit("; WA-L-3."))
-    c = table(spark, d, "documents").select(n.alias("chunk_id"), F.when(n < 50, F.concat(F.lit("D"), s(n))).otherwise("").alias("artifact_id"), body.alias("body"))
+    half, third = (F.floor(n / k) for k in (2, 3))
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit(" See D"), s(half), F.lit(", D"), s(third * 2), F.lit(", AP"), s(n % 9), F.lit(" and xD1, SB-"), s(n % 4), F.lit("; WA-L-3."))
+    c = table(spark, d, "documents").select(n.alias("chunk_id"), F.when(n % 10 < 9, F.concat(F.lit("D"), s(n))).otherwise("").alias("artifact_id"), body.alias("body"))
     return c.withColumn("cites_outbound", text.cites("body"))
 
 
-CITES = "list_sort(list_distinct(list_concat(regexp_extract_all(body, '\\b(?:D|RL|RK|RM|RS)[0-9]+\\b'), regexp_extract_all(body, '\\bAP[0-9]+\\b'), regexp_extract_all(body, '\\b(?:SB|SI|SW|SM|SX)-[0-9]+\\b'), regexp_extract_all(body, '\\bWA-[A-Z]+(?:-[0-9]+)?\\b'))))"
+CITES = "list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(body, '\\b(?:{p})\\b')" for p in text.CITE_PATTERNS) + ")))"
 
 
 @query(f"SELECT chunk_id, array_to_string({CITES}, ',') AS cites FROM ({CITED})")
@@ -232,9 +234,11 @@ def strip_lines(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.stripped_count("text", p).cast("long").alias("n"), F.md5(text.strip_lines("text", p)).alias("clean_md5"))
 
 
-@query("SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events")
+@query("SELECT event_id, (props::JSON->>'k')::BIGINT AS k, strlen(props)::INT AS bytes FROM events")
 def json_extract(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    """The object inside a model's answer, and a field of it."""
+    found = text.json_object_in(F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone.")))
+    return table(spark, d, "events").select("event_id", text.json_field(found, "k").cast("long").alias("k"), F.octet_length(found).alias("bytes"))
 
 
 # ---------------------------------------------------------------- manifests and sync
@@ -280,7 +284,7 @@ def sync_apply(spark, d):
 # ---------------------------------------------------------------- retrieval
 
 _V = "SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS nv FROM embeddings"
-_HITS = f"q AS (SELECT vec_id AS qid, label AS ql, embedding AS qe, nv AS nq FROM ({_V}) WHERE vec_id < 20), h AS (SELECT qid, ql, vec_id AS id, label, round(1 - CASE WHEN nq > 0 AND nv > 0 THEN list_sum(list_transform(list_zip(qe, embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (nq * nv) ELSE 0 END, 6) AS distance FROM q, ({_V}))"
+_HITS = f"q AS (SELECT vec_id AS qid, label AS ql, embedding AS qe, nv AS nq FROM ({_V}) WHERE vec_id % 20 = 0), h AS (SELECT qid, ql, vec_id AS id, label, round(1 - CASE WHEN nq > 0 AND nv > 0 THEN list_sum(list_transform(list_zip(qe, embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (nq * nv) ELSE 0 END, 6) AS distance FROM q, ({_V}))"
 
 
 def _vectors(spark, d):
@@ -290,10 +294,9 @@ def _vectors(spark, d):
     return e.select(F.col("vec_id").alias("id"), family.alias("family"), scope.alias("scope"), F.col("label").cast("string").alias("source"), F.lit("").alias("doc"), "embedding")
 
 
-def _hits(spark, d):
-    """Twenty stated queries against all vectors."""
-    q = table(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.lit(None).cast("array<string>").alias("scopes"), "embedding")
-    return vectors.scored(q, _vectors(spark, d), 6)
+def _asked(spark, d, scopes=None):
+    """Every 20th vector is a query, against all vectors."""
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), (F.lit(None).cast("array<string>") if scopes is None else scopes).alias("scopes"), "label", "embedding")
 
 
 _FAM = "CASE WHEN label % 5 = 0 THEN 'failure_modes' WHEN label % 5 < 3 THEN 'corpus' ELSE 'code' END"
@@ -302,12 +305,12 @@ _SCO = "CASE WHEN label < 5 THEN 'backend' ELSE 'universal' END"
 
 @query(f"WITH {_HITS} SELECT qid, id, distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM h) WHERE rank <= 10")
 def topk_per_query(spark, d):
-    return vectors.nearest(_hits(spark, d), 10).select("qid", "id", "distance", "rank")
+    return vectors.nearest_in_blocks(_asked(spark, d), _vectors(spark, d), 10, 6).select("qid", "id", "distance", "rank")
 
 
 @query(f"WITH {_HITS} SELECT qid, scope, family, id, distance FROM (SELECT qid, id, distance, {_SCO} AS scope, {_FAM} AS family, row_number() OVER (PARTITION BY qid, {_SCO}, {_FAM} ORDER BY distance, id) AS rank FROM h WHERE {_FAM} <> 'code' OR {_SCO} = 'backend') WHERE rank <= 3")
 def scoped_topn_union(spark, d):
-    q = table(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.array(F.lit("backend"), F.lit("universal")).alias("scopes"), "embedding")
+    q = _asked(spark, d, F.array(F.lit("backend"), F.lit("universal")))
     return vectors.scoped_families(q, _vectors(spark, d), 3, digits=6).select("qid", "scope", "family", "id", "distance")
 
 
@@ -317,14 +320,13 @@ p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY kept DESC, distance
 SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY distance, id))::INT AS rank FROM p WHERE place <= 6
 """)
 def topn_with_reserve(spark, d):
-    return vectors.with_reserve(_hits(spark, d), 6).select("qid", "id", "rank")
+    return vectors.reserved(_asked(spark, d), _vectors(spark, d), 6, digits=6).select("qid", "id", "rank")
 
 
 @query()
 def bucket_balanced_topk(spark, d):
     """Source and bucket caps interact in order, so there is no plain SQL for it.  Every 20th vector is a query."""
-    q = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
-    h = vectors.nearest_in_blocks(q, _vectors(spark, d), 120, 6).drop("rank").withColumn("doc_type", F.when(F.col("family") == "corpus", "pattern").otherwise("standard")).withColumn("cites", F.array(F.concat(F.lit("D"), "source"))).withColumn("source", F.concat_ws("/", "source", F.col("id") % 4))
+    h = vectors.nearest_in_blocks(_asked(spark, d), _vectors(spark, d), 120, 6).drop("rank").withColumn("doc_type", F.when(F.col("family") == "corpus", "pattern").otherwise("standard")).withColumn("cites", F.array(F.concat(F.lit("D"), "source"))).withColumn("source", F.concat_ws("/", "source", F.col("id") % 4))
     return vectors.balanced(h, 9).select("qid", "id", "bucket", "rank")
 
 
@@ -334,9 +336,9 @@ b AS (SELECT qid, coalesce(min(rank) FILTER (label = ql AND rank <= 10), 0) AS h
 SELECT avg(CASE WHEN hit_at BETWEEN 1 AND 1 THEN 1.0::DOUBLE ELSE 0 END) AS recall_1, avg(CASE WHEN hit_at BETWEEN 1 AND 5 THEN 1.0::DOUBLE ELSE 0 END) AS recall_5, avg(CASE WHEN hit_at BETWEEN 1 AND 10 THEN 1.0::DOUBLE ELSE 0 END) AS recall_10 FROM b
 """)
 def recall_at_k(spark, d):
-    q = table(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("label").cast("string").alias("expected_source"))
-    ranked = vectors.nearest(_hits(spark, d).where("id != qid"), 10)
-    h = vectors.hit_ranks(ranked, q)
+    q = _asked(spark, d)
+    others = vectors.nearest_in_blocks(q, _vectors(spark, d), 11, 6).drop("rank").where("id != qid")
+    h = vectors.hit_ranks(vectors.nearest(others, 10), q.select("qid", F.col("label").cast("string").alias("expected_source")))
     return h.agg(*[vectors.recall_at(h, k).alias(f"recall_{k}") for k in (1, 5, 10)])
 
 
@@ -350,36 +352,39 @@ def relative_gate(spark, d):
 @query(f"WITH {_HITS} SELECT qid, id AS negative_id, score FROM (SELECT qid, id, round(1 - distance, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(1 - distance, 6) DESC, id) AS r FROM h WHERE label <> ql) WHERE r = 1")
 def hard_negatives(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "label", "embedding")
-    return vectors.dense_negatives(e.select(F.col("vec_id").alias("id"), "label", "embedding"), q).select("qid", "negative_id", "score")
+    return vectors.dense_negatives(e.select(F.col("vec_id").alias("id"), "label", "embedding"), _asked(spark, d)).select("qid", "negative_id", "score")
 
 
-_TAGGED = "SELECT p_partkey AS id, p_brand AS scope, (p_size % 3)::VARCHAR AS role, list_sort(['c:' || (p_partkey % 4), 'l:' || (p_size % 5), 'f:' || (p_partkey % 3)]) AS tags FROM part"
+_TAGGED = "SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE p_brand END AS scope, (p_size % 3)::VARCHAR AS role, list_sort(['c:' || (p_partkey % 4), 'l:' || (p_size % 5), 'f:' || (p_partkey % 3)]) AS tags FROM part"
 
 
 @query(f"""
 WITH t AS ({_TAGGED}), g AS (SELECT scope, role, tags, min(lpad(id::VARCHAR, 9, '0')) AS rep FROM t GROUP BY ALL),
-p AS (SELECT a.scope, a.role, a.tags, n.rep, n.role AS nr, len(list_intersect(a.tags, n.tags)) / sqrt(len(a.tags) * len(n.tags)) AS score FROM g a JOIN g n ON a.scope = n.scope AND a.role <> n.role),
-b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY scope, role, tags ORDER BY round(score, 9) DESC, rep) = 1)
-SELECT lpad(t.id::VARCHAR, 9, '0') AS anchor_id, rep AS negative_id, nr AS negative_role FROM t JOIN b USING (scope, role, tags)
+p AS (SELECT a.scope, a.role, a.tags, n.rep, n.role AS nr, len(list_intersect(a.tags, n.tags)) / sqrt(len(a.tags) * len(n.tags)) AS score FROM g a JOIN g n ON a.scope = n.scope AND a.role <> n.role AND a.scope <> ''),
+b AS (SELECT *, false AS relaxed FROM p QUALIFY row_number() OVER (PARTITION BY scope, role, tags ORDER BY round(score, 9) DESC, rep) = 1),
+r AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.scope = g.scope AND b.role = g.role AND b.tags = g.tags)),
+l AS (SELECT a.scope, a.role, a.tags, n.rep, n.role AS nr, len(list_intersect(a.tags, n.tags)) / sqrt(len(a.tags) * len(n.tags)) AS score FROM r a JOIN g n ON a.role <> n.role),
+c AS (SELECT *, true AS relaxed FROM l QUALIFY row_number() OVER (PARTITION BY scope, role, tags ORDER BY round(score, 9) DESC, rep) = 1)
+SELECT lpad(t.id::VARCHAR, 9, '0') AS anchor_id, rep AS negative_id, nr AS negative_role, relaxed FROM t JOIN (SELECT * FROM b UNION ALL SELECT * FROM c) USING (scope, role, tags)
 """)
 def tag_negatives(spark, d):
+    """A sixth of the sentences has no scope, so their negatives come from all scopes."""
     p = table(spark, d, "part")
-    s = p.select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("id"), F.col("p_brand").alias("scope"), (F.col("p_size") % 3).cast("string").alias("semantic_role"), vectors.sentence_tags(F.array((F.col("p_partkey") % 4).cast("string")), (F.col("p_size") % 5).cast("string"), (F.col("p_partkey") % 3).cast("string")).alias("tags"))
-    return vectors.tag_negatives(s).where("NOT relaxed").select("anchor_id", "negative_id", "negative_role")
+    scope = F.when(F.col("p_partkey") % 6 == 0, "").otherwise(F.col("p_brand"))
+    s = p.select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("id"), scope.alias("scope"), (F.col("p_size") % 3).cast("string").alias("semantic_role"), vectors.sentence_tags(F.array((F.col("p_partkey") % 4).cast("string")), (F.col("p_size") % 5).cast("string"), (F.col("p_partkey") % 3).cast("string")).alias("tags"))
+    return vectors.tag_negatives(s).select("anchor_id", "negative_id", "negative_role", "relaxed")
 
 
 # ---------------------------------------------------------------- ledgers
 
-_REACT = "SELECT event_id AS line_no, CASE WHEN user_id % 9 = 0 THEN 'none' ELSE 't' || (user_id % 200) END AS turn_id, CASE WHEN event_id % 10 = 0 THEN 'retro' ELSE 'live' END AS phase, CASE WHEN event_id % 7 = 0 THEN 'retracted' WHEN event_id % 7 = 1 THEN 'wrong' WHEN event_id % 7 = 2 THEN 'confirmed' ELSE '' END AS label, CASE WHEN event_id % 3 = 0 THEN 'accept' WHEN event_id % 3 = 1 THEN 'reject' ELSE 'partial' END AS reaction, CASE WHEN event_id % 2 = 0 THEN 'challenge' ELSE 'validate' END AS subcommand FROM events"
+_REACT = "SELECT event_id AS line_no, CASE WHEN user_id % 9 = 0 THEN 'none' ELSE 't' || user_id END AS turn_id, CASE WHEN event_id % 10 = 0 THEN 'retro' ELSE 'live' END AS phase, CASE WHEN event_id % 7 = 0 THEN 'retracted' WHEN event_id % 7 = 1 THEN 'wrong' WHEN event_id % 7 = 2 THEN 'confirmed' ELSE '' END AS label, CASE WHEN event_id % 3 = 0 THEN 'accept' WHEN event_id % 3 = 1 THEN 'reject' ELSE 'partial' END AS reaction, CASE WHEN event_id % 2 = 0 THEN 'challenge' ELSE 'validate' END AS subcommand FROM events"
 _EFF = f"e AS (SELECT turn_id, arg_max(struct_pack(line_no, phase, label, reaction, subcommand), (phase = 'retro')::BIGINT * 1000000000 + line_no) AS r FROM ({_REACT}) WHERE turn_id NOT IN ('', 'none') GROUP BY turn_id), f AS (SELECT turn_id, r.* FROM e WHERE r.label IS DISTINCT FROM 'retracted')"
 
 
-def _reactions(spark, d, fold: int | None = 200):
-    n, user = F.col("event_id"), F.col("user_id")
-    turn = user if fold is None else user % fold
+def _reactions(spark, d):
+    n = F.col("event_id")
     return table(spark, d, "events").select(
-        n.alias("line_no"), F.when(F.col("user_id") % 9 == 0, "none").otherwise(F.concat(F.lit("t"), turn.cast("string"))).alias("turn_id"), F.when(n % 10 == 0, "retro").otherwise("live").alias("phase"),
+        n.alias("line_no"), F.when(F.col("user_id") % 9 == 0, "none").otherwise(F.concat(F.lit("t"), F.col("user_id").cast("string"))).alias("turn_id"), F.when(n % 10 == 0, "retro").otherwise("live").alias("phase"),
         F.when(n % 7 == 0, "retracted").when(n % 7 == 1, "wrong").when(n % 7 == 2, "confirmed").otherwise("").alias("label"), F.when(n % 3 == 0, "accept").when(n % 3 == 1, "reject").otherwise("partial").alias("reaction"),
         F.when(n % 2 == 0, "challenge").otherwise("validate").alias("subcommand"), F.lit("").alias("verdict"), F.lit("n").alias("note"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"),
         F.when(n % 4 == 0, F.array(F.lit("D999"), F.lit("plain word"))).alias("unresolved_cites"),
@@ -397,13 +402,13 @@ def effective_reaction(spark, d):
     return ledger.effective(_reactions(spark, d)).select("turn_id", "line_no", "phase", "label", "reaction")
 
 
-@query(f"WITH {_EFF} SELECT f.turn_id, f.line_no, c.c_name AS request FROM f LEFT JOIN (SELECT * FROM customer WHERE c_custkey < 200) c ON f.turn_id = 't' || c.c_custkey")
+@query(f"WITH {_EFF} SELECT f.turn_id, f.line_no, c.c_name AS request FROM f LEFT JOIN customer c ON f.turn_id = 't' || c.c_custkey")
 def harvest_join(spark, d):
     return ledger.signals(_reactions(spark, d), _turns(spark, d)).select("turn_id", "line_no", F.col("turn.request").alias("request"))
 
 
 @query(f"""
-WITH {_EFF}, s AS (SELECT f.*, CASE WHEN label <> '' THEN label WHEN reaction = 'accept' THEN 'confirmed' WHEN reaction = 'reject' THEN 'wrong' ELSE 'partial' END AS h, c.c_custkey AS k FROM f LEFT JOIN (SELECT * FROM customer WHERE c_custkey < 200) c ON f.turn_id = 't' || c.c_custkey),
+WITH {_EFF}, s AS (SELECT f.*, CASE WHEN label <> '' THEN label WHEN reaction = 'accept' THEN 'confirmed' WHEN reaction = 'reject' THEN 'wrong' ELSE 'partial' END AS h, c.c_custkey AS k FROM f LEFT JOIN customer c ON f.turn_id = 't' || c.c_custkey),
 p AS (SELECT turn_id, CASE WHEN h = 'confirmed' THEN CASE WHEN k IS NOT NULL THEN 'eval_case' ELSE 'eval_pointer' END WHEN h IN ('wrong', 'partial') THEN 'investigate' END AS kind, h FROM s
   UNION ALL SELECT turn_id, 'corpus_gap', h FROM s WHERE line_no % 4 = 0 UNION ALL SELECT turn_id, 'dictionary_term', h FROM s WHERE line_no % 4 = 0)
 SELECT kind || ':' || turn_id AS id, kind, h AS label FROM p WHERE kind IS NOT NULL
@@ -412,10 +417,23 @@ def harvest_classify(spark, d):
     return ledger.proposals(ledger.signals(_reactions(spark, d), _turns(spark, d))).select("id", "kind", "label")
 
 
-@query()
+@query(f"""
+WITH r AS (SELECT *, ts FROM ({_REACT}) JOIN (SELECT event_id AS line_no, ts FROM events) USING (line_no)),
+b AS (SELECT turn_id, arg_max(line_no, (phase = 'retro')::BIGINT * 1000000000000 + line_no) AS best, arg_max(label, (phase = 'retro')::BIGINT * 1000000000000 + line_no) AS best_label FROM r WHERE turn_id <> 'none' GROUP BY turn_id),
+x AS (SELECT r.*, best, best_label, r.turn_id <> 'none' AS live, CASE WHEN c_custkey % 2 = 0 THEN 'INVALID' WHEN c_custkey IS NOT NULL THEN 'REJECTED' END AS v, CASE WHEN c_custkey % 5 = 0 THEN 'abort' END AS p,
+  CASE WHEN label <> '' THEN label WHEN reaction = 'accept' THEN 'confirmed' WHEN reaction = 'reject' THEN 'wrong' ELSE 'partial' END AS h
+  FROM r LEFT JOIN b USING (turn_id) LEFT JOIN customer ON r.turn_id = 't' || c_custkey),
+w AS (SELECT *, CASE WHEN live AND best_label = 'retracted' THEN 'retracted' WHEN live AND best <> line_no THEN 'superseded' WHEN h <> 'wrong' THEN 'not a confirmed false block'
+  WHEN p IS NULL AND v IS NULL THEN 'no verdict evidence'
+  WHEN NOT coalesce(CASE WHEN p IS NOT NULL THEN p = CASE subcommand WHEN 'challenge' THEN 'abort' ELSE 'reject' END WHEN subcommand = 'challenge' THEN v IN ('INVALID', 'OUT_OF_SCOPE') ELSE v = 'REJECTED' END, false) THEN 'not the hard block'
+  WHEN subcommand = 'validate' THEN 'surface is advisory' WHEN date_trunc('second', ts) <= TIMESTAMP '2023-06-01' THEN 'predates promotion' END AS why FROM x),
+f AS (SELECT subcommand, min(line_no) AS first FROM w WHERE why IS NULL GROUP BY subcommand),
+z AS (SELECT line_no, turn_id, w.subcommand, CASE WHEN why IS NULL AND line_no <> first THEN 'already demoted' ELSE why END AS reason FROM w LEFT JOIN f ON w.subcommand = f.subcommand)
+SELECT line_no, turn_id, subcommand, CASE WHEN reason IS NULL THEN 'demoted' ELSE 'skipped' END AS action, reason FROM z
+""")
 def demotion_dispositions(spark, d):
     state = spark.createDataFrame([("challenge", True, "2023-06-01"), ("validate", False, "2023-06-01")], "surface string, blocking boolean, promoted_at string")
-    return ledger.dispositions(_reactions(spark, d, fold=None), state, _turns(spark, d).select("turn_id", "verdict", "proceed"))
+    return ledger.dispositions(_reactions(spark, d), state, _turns(spark, d).select("turn_id", "verdict", "proceed"))
 
 
 _LOG = "SELECT CASE event_id % 6 WHEN 0 THEN 'hit' WHEN 1 THEN 'hit' WHEN 2 THEN 'miss' WHEN 3 THEN 'store' WHEN 4 THEN 'drift' ELSE 'invalidate' END AS event, user_id % 100 AS creation, user_id % 50 AS reads, user_id FROM events"
@@ -485,10 +503,10 @@ def diff_table(spark, d):
     return evalx.diff_table(_cases(spark, d), _baseline(spark, d))
 
 
-@query(f"SELECT false AS pass, (SELECT count(*) FROM ({_CASES}) WHERE error <> '') + 3 AS n_reasons FROM (SELECT 1)")
+@query(f"SELECT false AS pass, 4::BIGINT AS n_reasons, (SELECT count(*) FROM ({_CASES}) WHERE error <> '') AS errors, (SELECT count(*) FROM ({_CASES}) WHERE blockers > 0 AND case_id IN (SELECT case_id FROM ({_BASE}) WHERE error = '' AND blockers = 0 AND warnings = 0)) AS new_blockers")
 def gate_verdict(spark, d):
     g = evalx.gate(_cases(spark, d), 10**9, 0, 0.0, _baseline(spark, d))
-    return g.select("pass", F.size("reasons").cast("long").alias("n_reasons"))
+    return g.select("pass", F.size("reasons").cast("long").alias("n_reasons"), "errors", "new_blockers")
 
 
 @query("SELECT doc_id, NOT contains(text, 'the the') AND contains(text, 'and') AS matched FROM documents")
@@ -545,10 +563,17 @@ def commit_top_files(spark, d):
     return f.select("l_orderkey", F.array_join(F.transform(top, lambda x: x["path"]), ",").alias("top"), more.cast("int").alias("more"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 5 ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem) WHERE r = 2")
+@query("""
+WITH i AS (SELECT l_orderkey, l_partkey % 5 AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem)
+SELECT l_orderkey AS case_id, 'applicable_rules.standards[' || i || ']' AS location, 'P' || k AS value FROM i QUALIFY row_number() OVER (PARTITION BY l_orderkey, k ORDER BY i) = 2
+""")
 def duplicate_second_occurrence(spark, d):
-    w = Window.partitionBy("l_orderkey", F.col("l_partkey") % 5).orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, d, "lineitem").withColumn("r", F.row_number().over(w)).where("r = 2").select("l_orderkey", "l_partkey", "l_linenumber")
+    """An order's parts as the cites of one answer: what is cited twice is reported once."""
+    cite = F.concat(F.lit("P"), (F.col("l_partkey") % 5).cast("string"))
+    o = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", cite.alias("c")))), lambda x: x["c"]).alias("standards"))
+    out = o.select("case_id", F.to_json(F.struct(F.struct(F.lit("look at this").alias("request"), F.struct("standards").alias("applicable_rules")).alias("challenge"))).alias("raw"))
+    v = evalx.challenge_violations(out, spark.createDataFrame([], "cite string"))
+    return v.where("code = 'duplicate_cite'").select("case_id", "location", "value")
 
 
 @query("SELECT part_id, count(*) AS n, max(seeded_from) AS seeded_from FROM (SELECT 'c' || c || '-part-' || (p // 25 + 1) AS part_id, CASE WHEN p >= 25 THEN 'c' || c || '-part-' || (p // 25) END AS seeded_from FROM (SELECT o_custkey % 30 AS c, row_number() OVER (PARTITION BY o_custkey % 30 ORDER BY o_orderkey) - 1 AS p FROM orders)) GROUP BY part_id")
@@ -573,9 +598,16 @@ def topo_levels(spark, d):
     return steps.levels(s).select(F.col("plan_id").cast("long").alias("plan"), F.col("step_id").cast("int").alias("step"), "level")
 
 
-@query("SELECT source, sum(length(text))::BIGINT AS payload, count(*) AS n FROM documents WHERE NOT contains(source, '@') GROUP BY source")
+@query("""
+WITH h AS (SELECT o_custkey AS qid, 'f' || (o_orderkey % 7) || CASE WHEN o_orderstatus = 'P' THEN '@x' ELSE '' END AS source, o_comment AS body FROM (SELECT *, o_orderpriority || o_orderstatus AS o_comment FROM orders)),
+s AS (SELECT DISTINCT qid, source FROM h WHERE NOT contains(source, '@'))
+SELECT qid, sum(strlen(body))::BIGINT AS payload, coalesce((SELECT sum(100 + ord(substr(s.source, 2, 1))) FROM s WHERE s.qid = h.qid), 0)::BIGINT AS sources FROM h GROUP BY qid
+""")
 def token_economy(spark, d):
-    return table(spark, d, "documents").where(~F.col("source").contains("@")).groupBy("source").agg(F.sum(F.length("text")).alias("payload"), F.count("*").alias("n"))
+    o = table(spark, d, "orders")
+    h = o.select(F.col("o_custkey").alias("qid"), F.concat(F.lit("f"), (F.col("o_orderkey") % 7).cast("string"), F.when(F.col("o_orderstatus") == "P", "@x").otherwise("")).alias("source"), F.concat("o_orderpriority", "o_orderstatus").alias("body"))
+    files = h.select("source").distinct().select(F.col("source").alias("path"), (F.ascii(F.substring("source", 2, 1)) + 100).cast("long").alias("size"))
+    return vectors.economy(h, files)
 
 
 # ---------------------------------------------------------------- streams
@@ -591,7 +623,23 @@ def _streamed(spark, d, name: str, transform, mode: str, schema: str) -> DataFra
     return spark.table(view)
 
 
-@query("SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS users FROM events GROUP BY event_type")
+_SLOG = "SELECT CASE event_id % 3 WHEN 0 THEN 'hit' WHEN 1 THEN 'miss' ELSE 'store' END AS event, user_id AS creation FROM events"
+
+
+@query(f"SELECT event, count(*) AS n, (sum(CASE WHEN event = 'store' THEN creation ELSE 0 END))::BIGINT AS creation_tokens FROM ({_SLOG}) GROUP BY event")
 def stream_event_counts(spark, d):
-    """An append-only folder as a stream, aggregated until it is drained."""
-    return _streamed(spark, d, "counts", lambda s: s.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users")), "complete", "")
+    """An append-only cache log as a stream, counted until it is drained."""
+    m = F.col("event_id") % 3
+    log = lambda s: s.select(F.when(m == 0, "hit").when(m == 1, "miss").otherwise("store").alias("event"), F.col("user_id").cast("long").alias("cache_creation_tokens"))
+    return _streamed(spark, d, "counts", lambda s: ledgers.cache_counts(log(s)), "complete", "")
+
+
+@query(f"WITH {_EFF.replace(', f AS', ', g AS (SELECT turn_id, r.* FROM e), f AS')} SELECT turn_id, phase, label, reaction, line_no, label = 'retracted' AS removed FROM g")
+def stream_effective(spark, d):
+    """Each turn's standing reaction after a stream of reactions: the last update of every turn."""
+    m = F.col("event_id")
+    rows = lambda s: s.select(
+        F.when(F.col("user_id") % 9 == 0, "none").otherwise(F.concat(F.lit("t"), F.col("user_id").cast("string"))).alias("turn_id"), F.when(m % 10 == 0, "retro").otherwise("live").alias("phase"),
+        F.when(m % 7 == 0, "retracted").when(m % 7 == 1, "wrong").when(m % 7 == 2, "confirmed").otherwise("").alias("label"), F.when(m % 3 == 0, "accept").when(m % 3 == 1, "reject").otherwise("partial").alias("reaction"), m.cast("long").alias("line_no"),
+    )
+    return _streamed(spark, d, "effective", lambda s: ledgers.effective_updates(rows(s)), "update", "")

@@ -235,7 +235,8 @@ def test_gate(spark):
     c = spark.createDataFrame([("a", 0, 0, 0, 1, "", "x"), ("b", 1, 0, 0, 2, "", "y"), ("c", 0, 1, 0, 1, "boom", "z")], "case_id string, blockers int, warnings int, infos int, attempts int, error string, raw_output string")
     base = spark.createDataFrame([("a", 0, 0, ""), ("b", 0, 0, ""), ("c", 0, 1, "")], "case_id string, blockers int, warnings int, error string")
     g = evalx.gate(c, 2, 1, 0.5, base).first()
-    assert not g["pass"] and g["new_blockers"] == ["b"] and g["reasons"] == ["new blockers on clean cases", "error in c"]
+    assert not g["pass"] and (g["errors"], g["new_blockers"]) == (1, 1) and g["reasons"] == ["new blockers on clean cases", "errors"]
+    assert sorted(map(tuple, evalx.gate_cases(c, base).collect())) == [("b", "new blocker"), ("c", "error")]
     assert evalx.gate(c.where("case_id = 'a'"), 1, 0, 0.9).first()["pass"]
 
 
