@@ -257,11 +257,10 @@ def parse_bytes(c) -> Column:
 
 
 def human_bytes(c) -> Column:
-    v = col(c).cast("double")
-    return (
-        F.when(v >= 1 << 30, F.concat(F.format_number(v / (1 << 30), "0.0"), F.lit(" GiB"))).when(v >= 1 << 20, F.concat(F.format_number(v / (1 << 20), "0.0"), F.lit(" MiB")))
-        .when(v >= 1 << 10, F.concat(F.format_number(v / (1 << 10), "0.0"), F.lit(" KiB"))).otherwise(F.concat(col(c).cast("string"), F.lit(" B")))
-    )
+    v, out = col(c).cast("double"), F.concat(col(c).cast("string"), F.lit(" B"))
+    for size, unit in ((1 << 10, "KiB"), (1 << 20, "MiB"), (1 << 30, "GiB")):
+        out = F.when(v >= size, F.format_string(f"%.1f {unit}", v / size)).otherwise(out)
+    return out
 
 
 def tokens_per_second(tokens, nanos) -> Column:

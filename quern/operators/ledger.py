@@ -82,8 +82,8 @@ def proposals(sig: DataFrame, harvested: DataFrame | None = None) -> DataFrame:
 
 
 # Surfaces that can be promoted, and what counts as their hard block.
-HARD_PROCEED = {"challenge": "abort", "validate": "reject"}
-HARD_VERDICTS = {"challenge": ("INVALID", "OUT_OF_SCOPE"), "validate": ("REJECTED",)}
+HARD_PROCEED = {"challenge": "abort", "validate": "block"}
+HARD_VERDICTS = {"challenge": ("INVALID", "OUT_OF_SCOPE"), "validate": ("failed",)}
 
 
 def dispositions(reactions: DataFrame, state: DataFrame, turns: DataFrame) -> DataFrame:

@@ -30,10 +30,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from quern import queries_more  # noqa: F401  registers its own
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from quern import queries_more  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -394,7 +398,7 @@ def _reactions(spark, d):
 def _turns(spark, d):
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
-    return c.select(F.concat(F.lit("t"), k.cast("string")).alias("turn_id"), F.array("c_mktsegment").alias("scope"), F.col("c_name").alias("request"), F.when(k % 2 == 0, "INVALID").otherwise("REJECTED").alias("verdict"), F.when(k % 5 == 0, "abort").alias("proceed"), F.when(k % 3 == 0, F.col("c_name")).alias("claim"), F.when(k % 3 == 0, F.lit("diff")).alias("diff"), F.array().cast("array<string>").alias("cites"))
+    return c.select(F.concat(F.lit("t"), k.cast("string")).alias("turn_id"), F.array("c_mktsegment").alias("scope"), F.col("c_name").alias("request"), F.when(k % 2 == 0, "INVALID").otherwise("failed").alias("verdict"), F.when(k % 5 == 0, "abort").alias("proceed"), F.when(k % 3 == 0, F.col("c_name")).alias("claim"), F.when(k % 3 == 0, F.lit("diff")).alias("diff"), F.array().cast("array<string>").alias("cites"))
 
 
 @query(f"WITH {_EFF} SELECT turn_id, line_no, phase, label, reaction FROM f")
@@ -420,12 +424,12 @@ def harvest_classify(spark, d):
 @query(f"""
 WITH r AS (SELECT *, ts FROM ({_REACT}) JOIN (SELECT event_id AS line_no, ts FROM events) USING (line_no)),
 b AS (SELECT turn_id, arg_max(line_no, (phase = 'retro')::BIGINT * 1000000000000 + line_no) AS best, arg_max(label, (phase = 'retro')::BIGINT * 1000000000000 + line_no) AS best_label FROM r WHERE turn_id <> 'none' GROUP BY turn_id),
-x AS (SELECT r.*, best, best_label, r.turn_id <> 'none' AS live, CASE WHEN c_custkey % 2 = 0 THEN 'INVALID' WHEN c_custkey IS NOT NULL THEN 'REJECTED' END AS v, CASE WHEN c_custkey % 5 = 0 THEN 'abort' END AS p,
+x AS (SELECT r.*, best, best_label, r.turn_id <> 'none' AS live, CASE WHEN c_custkey % 2 = 0 THEN 'INVALID' WHEN c_custkey IS NOT NULL THEN 'failed' END AS v, CASE WHEN c_custkey % 5 = 0 THEN 'abort' END AS p,
   CASE WHEN label <> '' THEN label WHEN reaction = 'accept' THEN 'confirmed' WHEN reaction = 'reject' THEN 'wrong' ELSE 'partial' END AS h
   FROM r LEFT JOIN b USING (turn_id) LEFT JOIN customer ON r.turn_id = 't' || c_custkey),
 w AS (SELECT *, CASE WHEN live AND best_label = 'retracted' THEN 'retracted' WHEN live AND best <> line_no THEN 'superseded' WHEN h <> 'wrong' THEN 'not a confirmed false block'
   WHEN p IS NULL AND v IS NULL THEN 'no verdict evidence'
-  WHEN NOT coalesce(CASE WHEN p IS NOT NULL THEN p = CASE subcommand WHEN 'challenge' THEN 'abort' ELSE 'reject' END WHEN subcommand = 'challenge' THEN v IN ('INVALID', 'OUT_OF_SCOPE') ELSE v = 'REJECTED' END, false) THEN 'not the hard block'
+  WHEN NOT coalesce(CASE WHEN p IS NOT NULL THEN p = CASE subcommand WHEN 'challenge' THEN 'abort' ELSE 'block' END WHEN subcommand = 'challenge' THEN v IN ('INVALID', 'OUT_OF_SCOPE') ELSE v = 'failed' END, false) THEN 'not the hard block'
   WHEN subcommand = 'validate' THEN 'surface is advisory' WHEN date_trunc('second', ts) <= TIMESTAMP '2023-06-01' THEN 'predates promotion' END AS why FROM x),
 f AS (SELECT subcommand, min(line_no) AS first FROM w WHERE why IS NULL GROUP BY subcommand),
 z AS (SELECT line_no, turn_id, w.subcommand, CASE WHEN why IS NULL AND line_no <> first THEN 'already demoted' ELSE why END AS reason FROM w LEFT JOIN f ON w.subcommand = f.subcommand)

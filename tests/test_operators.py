@@ -207,7 +207,7 @@ def test_effective_precedence(spark):
 
 
 def test_dispositions(spark):
-    rows = [(1, "u1", "challenge", "wrong", "INVALID", "2026-02-01"), (2, "u2", "challenge", "wrong", "INVALID", "2026-02-02"), (3, "u3", "validate", "wrong", "REJECTED", "2026-02-02"), (4, "u4", "retrieve", "wrong", "x", "2026-02-02"), (5, "u5", "challenge", "", "INVALID", "2026-02-02"), (6, "u6", "challenge", "wrong", "VALID", "2026-02-02"), (7, "u7", "challenge", "wrong", "INVALID", "2020-01-01"), (8, "u8", "challenge", "wrong", "INVALID", "soon"), (9, "u9", "challenge", "wrong", "", "2026-02-02"), (10, "none-1", "challenge", "confirmed", "INVALID", "2026-02-02")]
+    rows = [(1, "u1", "challenge", "wrong", "INVALID", "2026-02-01"), (2, "u2", "challenge", "wrong", "INVALID", "2026-02-02"), (3, "u3", "validate", "wrong", "failed", "2026-02-02"), (4, "u4", "retrieve", "wrong", "x", "2026-02-02"), (5, "u5", "challenge", "", "INVALID", "2026-02-02"), (6, "u6", "challenge", "wrong", "VALID", "2026-02-02"), (7, "u7", "challenge", "wrong", "INVALID", "2020-01-01"), (8, "u8", "challenge", "wrong", "INVALID", "soon"), (9, "u9", "challenge", "wrong", "", "2026-02-02"), (10, "none-1", "challenge", "confirmed", "INVALID", "2026-02-02")]
     r = spark.createDataFrame([(n, t, s, lab, v, ts, "live", "") for n, t, s, lab, v, ts in rows], "line_no long, turn_id string, subcommand string, label string, verdict string, ts string, phase string, reaction string")
     state = spark.createDataFrame([("challenge", True, "2026-01-01T00:00:00Z"), ("validate", False, "2026-01-01")], "surface string, blocking boolean, promoted_at string")
     turns = spark.createDataFrame([], "turn_id string, verdict string, proceed string")
