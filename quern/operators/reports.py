@@ -6,7 +6,10 @@ the last step, one row, goes to the driver or a file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
@@ -35,10 +38,6 @@ def counted(df: DataFrame, *axes: str) -> DataFrame:
 
 def yaml_text(raw) -> Column:
     """A JSON object as YAML text: Spark's JSON parser reads it, PyYAML writes it, keys in their order; empty for what is no JSON."""
-    import json
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def render(rows: pd.Series) -> pd.Series:
         import yaml
@@ -137,8 +136,6 @@ def split_rows(rows: DataFrame, key: str = "id", seed: int = 7, share: float = 0
         if before + size >= wanted:
             break
         before += size
-    from pyspark.sql import Window
-
     rest = h.where(bucket == edge).withColumn("_r", F.row_number().over(Window.orderBy(bucket, "_h", key))).withColumn("part", F.when(F.col("_r") <= wanted - before, "eval").otherwise("train")).drop("_r")
     return h.where(bucket != edge).withColumn("part", F.when(bucket < edge, "eval").otherwise("train")).unionByName(rest).drop("_h")
 
