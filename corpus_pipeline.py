@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.llm import decontam, linededup, mixing, neardocs, rules
 from quern.llm.store import stored
 
-#: SQL has no MinHash, SimHash or union-find; tests compare run() with brute force instead.
+#: SQL has no MinHash, SimHash or union-find; a test compares run() with a plain version of all stages instead.
 ORACLE_SQL = None
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
