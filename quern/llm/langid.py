@@ -46,6 +46,7 @@ PENALTY = 12.0
 FLOOR = 1e-6
 BARRED = -40.0
 PART = 2_000_000
+WORDS = 3_000_000
 
 
 @lru_cache(maxsize=1)
@@ -217,36 +218,44 @@ def label_texts(texts: list[str | None], model: Model, penalty: float = PENALTY)
 
     Words in a script that no language uses stand in ``und`` spans: their letters
     lower the share and speak for no language.  A text of such words only gets the
-    first language with share 0.  Texts are labelled in parts of ``PART``
-    characters; one of n characters takes about 100 n bytes.
+    first language with share 0.  Words are cut and scored in parts of ``PART``
+    characters, at about 60 bytes a character, and labelled about ``WORDS`` at a
+    time, at about 100 bytes a word; a longer text is labelled alone.
     """
-    out = []
+    out, held, words = [], [], 0
+    if not model.langs:
+        return [("und", 0.0, [])] * len(texts)
     for part in parts([t or "" for t in texts]):
-        out += _label_part(part, model, penalty)
-    return out
-
-
-def _label_part(texts: list[str], model: Model, penalty: float) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-    nothing, k = ("und", 0.0, []), len(model.langs)
-    if not k:
-        return [nothing for _ in texts]
-    w = words_of(texts)
-    if not len(w.text):
-        return [nothing for _ in texts]
-    text, start, end = w.text, w.start, w.end
-    count = np.bincount(text, minlength=len(texts))
+        w = words_of(part)
+        held.append((len(part), w.text, w.start, w.end, model.word_scores(w), model.allowed[w.script].any(axis=1)))
+        words += len(w.text)
+        if words >= WORDS:
+            out += _labelled(held, model, penalty)
+            held, words = [], 0
+    return out + _labelled(held, model, penalty)
+
+
+def _labelled(held: list[tuple], model: Model, penalty: float) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+    """The labels of the texts of some parts: their number, then each word's text, start, end, scores and whether it counts."""
+    n, nothing, k = sum(h[0] for h in held), ("und", 0.0, []), len(model.langs)
+    before = np.cumsum([0, *(h[0] for h in held)])
+    if not sum(len(h[1]) for h in held):
+        return [nothing] * n
+    text = np.concatenate([h[1] + at for h, at in zip(held, before, strict=False)])
+    start, end, scores, counts = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4, 5))
+    count = np.bincount(text, minlength=n)
     first = np.cumsum(count) - count
-    lang = viterbi(model.word_scores(w), first, count, penalty)
-    lang[~model.allowed[w.script].any(axis=1)] = k
-    letters = np.bincount(text * (k + 1) + lang, weights=end - start, minlength=len(texts) * (k + 1)).reshape(-1, k + 1)
+    lang = viterbi(scores, first, count, penalty)
+    lang[~counts] = k
+    letters = np.bincount(text * (k + 1) + lang, weights=end - start, minlength=n * (k + 1)).reshape(-1, k + 1)
     best, total = letters[:, :k].argmax(axis=1), letters.sum(axis=1)
     new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (lang[1:] != lang[:-1])])
     last = np.r_[new[1:], len(text)] - 1
     names = [*model.langs, "und"]
-    spans: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    spans: list[list[tuple[int, int, str]]] = [[] for _ in range(n)]
     for i, j in zip(new.tolist(), last.tolist(), strict=True):
         spans[text[i]].append((int(start[i]), int(end[j]), names[lang[i]]))
-    return [(names[best[i]], float(letters[i, best[i]] / total[i]), spans[i]) if total[i] else nothing for i in range(len(texts))]
+    return [(names[best[i]], float(letters[i, best[i]] / total[i]), spans[i]) if total[i] else nothing for i in range(n)]
 
 
 def languages(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
