@@ -122,24 +122,29 @@ def _links(tree: np.ndarray, cell: np.ndarray, query: np.ndarray, fp: np.ndarray
 
 def _search(radius: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[list[np.ndarray]] = []  # pieces of the leaf that may go on in the next batch
+
+        def links(pieces):
+            tree, cell, query, fp = (np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*pieces, strict=True))
+            u, v = _links(tree, cell, query.astype(bool), fp.view(np.uint64), radius)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
         for batch in batches:
             cols = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(4)]
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            tree, cell, query, fp = cols
-            if not len(fp):
+            tree, cell = cols[:2]
+            if not len(cell):
                 continue
-            last = np.flatnonzero((cell != cell[-1]) | (tree != tree[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last leaf may go on in the next batch
-            held = [c[cut:] for c in cols]
+            if held and (held[-1][0][-1] != tree[0] or held[-1][1][-1] != cell[0]):
+                yield links(held)
+                held = []
+            other = np.flatnonzero((cell != cell[-1]) | (tree != tree[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                u, v = _links(tree[:cut], cell[:cut], query[:cut].astype(bool), fp[:cut].view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-        if held is not None and len(held[0]):
-            tree, cell, query, fp = held
-            u, v = _links(tree, cell, query.astype(bool), fp.view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                yield links([*held, [c[:cut] for c in cols]])
+                held = []
+            held.append([c[cut:] for c in cols])
+        if held:
+            yield links(held)
 
     return search
 
