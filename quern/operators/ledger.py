@@ -137,11 +137,12 @@ def cache_stats(log: DataFrame) -> DataFrame:
     return s.withColumn("hit_rate_pct", 100 * hit_rate("hits", "drifts", "misses"))
 
 
-def prune(objects: DataFrame, cutoff=None, max_bytes: int | None = None, everything: bool = False, buckets: int = 64) -> DataFrame:
+def prune(objects: DataFrame, cutoff=None, max_bytes: int | None = None, everything: bool = False, per_bucket: int = 100_000) -> DataFrame:
     """Objects (path, size, mtime) to delete: those older than ``cutoff``, then the oldest until ``max_bytes`` hold the rest.
 
-    The running size comes from two levels: sums per time bucket, then a window
-    inside each bucket, so no task sees all objects.
+    The running size comes from two levels: sums per bucket of about
+    ``per_bucket`` objects, then a window inside each bucket, so no task sees all
+    objects.  Buckets are ranges of (mtime, path), so equal times don't share one.
     """
     if cutoff is None and not max_bytes and not everything:
         raise ValueError("refusing a prune without bounds")
@@ -151,12 +152,12 @@ def prune(objects: DataFrame, cutoff=None, max_bytes: int | None = None, everyth
     aged = objects.where(old).select("path", "size", F.lit("age").alias("reason"))
     if not max_bytes:
         return aged
-    rest = objects.where(~old).withColumn("_t", F.col("mtime").cast("timestamp").cast("long"))
-    edges = rest.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"), F.sum("size").alias("total")).first()
-    if edges["lo"] is None or edges["total"] <= max_bytes:
+    rest = objects.where(~old)
+    edges = rest.agg(F.count("*").alias("n"), F.sum("size").alias("total")).first()
+    if not edges["n"] or edges["total"] <= max_bytes:
         return aged
-    width = max(1, (edges["hi"] - edges["lo"]) // buckets + 1)
-    rest = rest.withColumn("_b", F.floor((F.col("_t") - edges["lo"]) / width).cast("int"))
+    # A range partition is a bucket: it is sorted once, and its number orders it.
+    rest = rest.repartitionByRange(max(1, -(-edges["n"] // per_bucket)), "mtime", "path").withColumn("_b", F.spark_partition_id())
     sums = rest.groupBy("_b").agg(F.sum("size").alias("_s"))
     before = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     w = Window.partitionBy("_b").orderBy("mtime", "path").rowsBetween(Window.unboundedPreceding, -1)
@@ -187,3 +188,22 @@ def last_turns(turns: DataFrame, n: int) -> DataFrame:
 
 def high_water(reactions: DataFrame) -> DataFrame:
     return reactions.agg(F.max("ts").alias("high_water"))
+
+
+# ---------------------------------------------------------------- response cache, by key
+
+
+def answered(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """``requests`` (key, ...) with ``answer`` and ``status`` (hit, miss) from a log of stores and invalidations (key, event, answer, line_no).
+
+    The last of a key's stores and invalidations counts.
+    """
+    last = log.where("event IN ('store', 'invalidate')").groupBy("key").agg(F.max_by(F.struct("event", "answer"), "line_no").alias("x"))
+    live = last.where("x.event = 'store'").select("key", F.col("x.answer").alias("answer"), F.lit(True).alias("_hit"))
+    return requests.join(live, "key", "left").withColumn("status", F.when(F.col("_hit"), "hit").otherwise("miss")).drop("_hit")
+
+
+def drifts(answers: DataFrame, live: DataFrame) -> DataFrame:
+    """(key, event): a drift for every hit whose live answer (key, answer) is another than the kept one."""
+    now = live.select("key", F.col("answer").alias("_now"))
+    return answers.where("status = 'hit'").join(now, "key").where("NOT answer <=> _now").select("key", F.lit("drift").alias("event"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections import deque
 from collections.abc import Callable
@@ -85,6 +86,29 @@ def run(steps: list[Step], executors: dict[str, Executor], seed: dict[str, str]
     return out
 
 
+def from_json(raw: str, executors: set[str] | None = None) -> list[Step]:
+    """A plan from a model's JSON answer: steps with id, prompt and dependencies; what makes it invalid is raised, all of it at once."""
+    try:
+        top = json.loads(raw)
+        rows = top["steps"] if isinstance(top, dict) else top
+        made = [Step(str(r["id"]), [str(x) for x in r.get("depends_on") or []], r.get("executor") or "local", r.get("prompt") or "", int(r.get("max_attempts") or 1)) for r in rows]
+    except (ValueError, KeyError, TypeError) as e:
+        raise ValueError(f"no plan: {e}") from e
+    if bad := problems(made, executors):
+        raise ValueError("; ".join(bad))
+    return made
+
+
+def expected_schema(example) -> dict:
+    """The JSON schema that an example of an answer stands for: its keys are required, and values have its types."""
+    if isinstance(example, dict):
+        return {"type": "object", "required": sorted(example), "properties": {k: expected_schema(v) for k, v in example.items()}}
+    if isinstance(example, list):
+        return {"type": "array", "items": expected_schema(example[0])} if example else {"type": "array"}
+    kinds = {bool: "boolean", int: "integer", float: "number", str: "string"}
+    return {"type": kinds[type(example)]} if type(example) in kinds else {}
+
+
 def split(steps: DataFrame, most: int = MAX_STEPS) -> DataFrame:
     """``steps`` (plan_id, step_pos from 0, ...) with ``part`` and ``part_id``, and ``seeded_from``, the part before."""
     part = F.floor(F.col("step_pos") / most).cast("int")
@@ -95,9 +119,13 @@ def split(steps: DataFrame, most: int = MAX_STEPS) -> DataFrame:
 def levels(steps: DataFrame) -> DataFrame:
     """(plan_id, step_id, level): the longest dependency chain before each step; steps on or behind a cycle stay out.
 
-    A plan has at most ``MAX_STEPS`` steps, so each one is folded in one SQL
-    expression: one round per step hands every step its dependencies' levels.
+    A plan has at most ``MAX_STEPS`` steps (a longer one is an error: :func:`split` it
+    first), so each one is folded in one SQL expression: one round per step hands
+    every step its dependencies' levels.
     """
+    steps = steps.join(steps.groupBy("plan_id").agg(F.count("*").alias("_n")), "plan_id")
+    too_long = F.raise_error(F.concat(F.lit("a plan has more steps than "), F.lit(str(MAX_STEPS)), F.lit(": "), F.col("plan_id").cast("string")))
+    steps = steps.withColumn("plan_id", F.when(F.col("_n") > MAX_STEPS, too_long.cast(steps.schema["plan_id"].dataType)).otherwise(F.col("plan_id")))
     s = steps.groupBy("plan_id").agg(F.collect_list(F.struct("step_id", F.array_distinct("depends_on").alias("deps"))).alias("steps"))
     known = "map<string,int>"
     ready = lambda acc, x: ~F.map_contains_key(acc, x["step_id"]) & F.forall(x["deps"], lambda d: F.map_contains_key(acc, d))

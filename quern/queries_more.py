@@ -637,3 +637,32 @@ def embedded(spark, d):
 def yaml_chunks(spark, d):
     files = _made(spark, d, source=f"'decisions/d' || {K} || '.yaml'", source_sha="''", scope="'universal'", doc_type="'decision'", text=f"CASE WHEN p_partkey % 4 = 0 THEN 'a: [broken' ELSE '- id: D' || {K} || {NL} || '  title: ' || p_name || {NL} || '  severity: high' END")
     return chunkers.yaml_chunks(files).select("source", "artifact_id", "title", "severity")
+
+
+@query("SELECT p_partkey AS key, CASE WHEN p_partkey % 4 IN (0, 1) THEN 'hit' ELSE 'miss' END AS status, CASE WHEN p_partkey % 4 = 0 THEN p_name WHEN p_partkey % 4 = 1 THEN 'new' END AS answer, p_partkey % 4 = 0 AND p_size > 25 AS drifted FROM part")
+def cache_by_key(spark, d):
+    """Stored once, stored again after an invalidation, invalidated last, or never stored."""
+    p = _made(spark, d, key="p_partkey", name="p_name", n="p_size", m="p_partkey % 4")
+    event = lambda rows, e, answer, line: rows.select("key", F.lit(e).alias("event"), answer.alias("answer"), F.lit(line).alias("line_no"))
+    log = event(p.where("m < 3"), "store", F.col("name"), 1).unionByName(event(p.where("m IN (1, 2)"), "invalidate", F.lit(None).cast("string"), 2)).unionByName(event(p.where("m = 1"), "store", F.lit("new"), 3))
+    a = ledger.answered(p.select("key"), log)
+    now = p.select("key", F.when((F.col("m") == 0) & (F.col("n") > 25), "other").when(F.col("m") == 1, "new").otherwise(F.col("name")).alias("answer"))
+    return a.join(ledger.drifts(a, now).select("key", F.lit(True).alias("d")), "key", "left").select("key", "status", "answer", F.coalesce("d", F.lit(False)).alias("drifted"))
+
+
+@query(f"WITH f AS (SELECT *, {_JAVA_SRC} AS source FROM part) SELECT source, 1 AS line, 'com.p' || p_partkey AS text, 'core-api' AS repo FROM f UNION ALL SELECT source, 3, 'C' || p_partkey, 'core-api' FROM f")
+def item_files(spark, d):
+    """Symbols written by repository and kind, and read again."""
+    at = _scratch(spark, "items")
+    tables.write_items(_java(spark, d), at)
+    return tables.read_items(spark, at, kind="symbol").select("source", "line", "text", "repo")
+
+
+@query("SELECT event_id + 1 AS line_no, event_type FROM events WHERE event_id % 10 <> 3")
+def ledger_lines(spark, d):
+    """A ledger file with blank lines in it, read with line numbers."""
+    at = _scratch(spark, "ledger")
+    e = table(spark, d, "events").orderBy("event_id")
+    e.select(F.when(F.col("event_id") % 10 == 3, "").otherwise(F.to_json(F.struct("event_id", "event_type"))).alias("value")).coalesce(1).write.text(at)
+    log = tables.json_log(spark, at, "event_id long, event_type string").where("NOT bad")
+    return log.select(F.col("line_no").cast("long").alias("line_no"), "event_type")

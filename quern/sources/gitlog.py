@@ -1,4 +1,4 @@
-"""Python data source ``git_log``: commits with changed files and snapshots, one partition per repository.
+"""Python data source ``git_log``: commits with changed files and snapshots, in slices of a repository's history.
 
 Options: ``repos`` (name=path, comma-joined), ``since`` (ISO date), ``stop_at``
 (name=sha, comma-joined; that commit and its ancestors are left out, and a sha
@@ -36,11 +36,15 @@ def cap(raw: bytes, most: int) -> tuple[str, bool]:
     return (head[:at] if at > 0 else head) + f"\n... [truncated, original {len(raw)} bytes]", True
 
 
+#: Commits that one task reads.
+SLICE = 500
+
+
 @dataclass
 class Repo(InputPartition):
     repo: str
     path: str
-    stop: str
+    args: tuple
 
 
 class GitLogReader(DataSourceReader):
@@ -52,18 +56,24 @@ class GitLogReader(DataSourceReader):
         self.max_files = int(options.get("max_files", "50"))
 
     def partitions(self):
-        return [Repo(n, real_root(p), self.stops.get(n, "")) for n, p in sorted(self.repos.items())]
+        """``SLICE`` commits each, of a history that is pinned to today's head."""
+        out = []
+        for name, where in sorted(self.repos.items()):
+            path, stop = real_root(where), self.stops.get(name, "")
+            head = git(path, "rev-parse", "HEAD").decode().strip()
+            walk = ["--date-order", "--min-parents=1", *([f"--since={self.since}"] if self.since else []), head]
+            if stop:
+                try:
+                    git(path, "cat-file", "-e", stop + "^{commit}")
+                    walk.append("^" + stop)
+                except Exception:  # the sha is gone after a forced push: walk to the floor
+                    pass
+            n = int(git(path, "rev-list", "--count", *walk))
+            out += [Repo(name, path, (f"--skip={at}", f"--max-count={SLICE}", *walk)) for at in range(0, max(n, 1), SLICE)]
+        return out
 
     def read(self, part):
-        args = ["log", "--date-order", "--min-parents=1", "--format=%H%x1f%P%x1f%an <%ae>%x1f%ct%x1f%B%x1e"]
-        if self.since:
-            args.append(f"--since={self.since}")
-        if part.stop:
-            try:
-                git(part.path, "cat-file", "-e", part.stop + "^{commit}")
-                args += ["HEAD", "^" + part.stop]
-            except Exception:  # the sha is gone after a forced push: walk to the floor
-                args.append("HEAD")
+        args = ["log", "--format=%H%x1f%P%x1f%an <%ae>%x1f%ct%x1f%B%x1e", *part.args]
         for entry in git(part.path, *args).decode("utf-8", "replace").split("\x1e"):
             fields = entry.strip("\n").split("\x1f")
             if len(fields) < 5:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,9 +51,12 @@ def clean(spark: SparkSession, root: str) -> int:
 
 
 def write_json_by_scope(rows: DataFrame, path: str, order: list[str]) -> None:
-    """JSON lines in one folder per scope, sorted by ``order``; an empty scope counts as universal."""
+    """JSON lines in one folder per scope, sorted by ``order`` inside each file; an empty scope counts as universal.
+
+    Rows are dealt by ranges of scope and order, so a large scope has many files, which follow each other.
+    """
     scope = F.when(F.coalesce("scope", F.lit("")) != "", F.col("scope")).otherwise("universal")
-    rows.withColumn("scope", scope).repartition("scope").sortWithinPartitions("scope", *order).write.partitionBy("scope").mode("overwrite").json(path)
+    rows.withColumn("scope", scope).repartitionByRange("scope", *order).sortWithinPartitions("scope", *order).write.partitionBy("scope").mode("overwrite").json(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
@@ -64,15 +67,40 @@ def read_json(spark: SparkSession, path: str, schema: str, strict: bool = True)
 
 
 def json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with ``line_no`` (from 1, per file) and ``bad``, true for lines that don't parse."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), r"\r?\n")).alias("i", "raw")).where("trim(raw) != ''")
-    parsed = raw.select((F.col("i") + 1).cast("long").alias("line_no"), "raw", F.from_json("raw", schema + ", _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r"))
-    return parsed.select("line_no", "r.*", "raw").withColumn("bad", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record", "raw")
+    """JSON lines with ``line_no`` (from 1, per file) and ``bad``, true for lines that don't parse.
+
+    Large files are read in blocks.  A line's number is its place in its block and
+    the lines of the blocks before, which one small table holds.
+    """
+    at = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i")]
+    raw = spark.read.text(path).select("value", *at)
+    blocks = raw.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    w = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    lines = raw.join(blocks, ["_f", "_b"]).withColumn("line_no", F.col("_before") + F.col("_i") - F.col("_first") + 1).where("trim(value) != ''")
+    parsed = lines.select("line_no", F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r"))
+    return parsed.select("line_no", "r.*").withColumn("bad", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
 
 
 def append_json(rows: DataFrame, path: str) -> None:
     """Append ledger rows (receipts, turns, cache events) as JSON lines; readers see whole files only."""
-    rows.coalesce(1).write.mode("append").json(path)
+    rows.write.mode("append").json(path)
+
+
+SYMBOL = "id string, text string, source string, line int, language string, kind string, scope string, concern array<string>, id_family string"
+
+
+def write_items(rows: DataFrame, path: str) -> None:
+    """Symbols or sentences, in a folder per repository and kind of item, by source and line."""
+    repo = F.substring_index("source", "/", 1)
+    kind = F.col("item_kind") if "item_kind" in rows.columns else F.lit("symbol")
+    rows.withColumn("repo", repo).withColumn("slice", kind).repartitionByRange("repo", "source", "line").sortWithinPartitions("repo", "source", "line").write.partitionBy("repo", "slice").mode("overwrite").json(path)
+
+
+def read_items(spark: SparkSession, path: str, schema: str = SYMBOL, kind: str | None = None) -> DataFrame:
+    """Written items with ``repo`` and ``slice`` from their folders; ``kind`` picks one slice; rows without text are left out."""
+    rows = spark.read.schema(schema + ", repo string, slice string").option("mode", "FAILFAST").json(path).where("trim(coalesce(text, '')) != ''")
+    return rows.where(F.col("slice") == kind) if kind else rows
 
 
 def read_yaml(spark: SparkSession, root: str, exts: str = ".yaml,.yml", **options) -> DataFrame:

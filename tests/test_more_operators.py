@@ -1,9 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from quern.operators import promotion, reports, terms
-from quern.sources import suites
+from quern.operators import ledger, promotion, reports, terms
+from quern.plans import nightly, steps
+from quern.sources import suites, tables
 
 
 def test_promotion_state(spark, tmp_path):
@@ -93,3 +95,54 @@ def test_training_split_agrees_with_itself(spark):
     a, b = (sorted(map(tuple, reports.split_rows(r, "id").collect())) for r in (rows, rows.repartition(7)))
     assert a == b and sum(p == "eval" for _, p in a) == 300
     assert {r["part"] for r in reports.split_rows(spark.range(20), "id").collect()} == {"eval"}
+
+
+def test_plans_from_json():
+    assert [s.id for s in steps.from_json('{"steps": [{"id": "a"}, {"id": "b", "depends_on": ["a"]}]}')] == ["a", "b"]
+    for bad in ("{", "[1]", '[{"id": "a", "depends_on": ["z"]}]', "[]"):
+        with pytest.raises(ValueError):
+            steps.from_json(bad)
+    assert steps.expected_schema({"a": [1.5], "b": {"c": "x"}, "d": True}) == {
+        "type": "object", "required": ["a", "b", "d"],
+        "properties": {"a": {"type": "array", "items": {"type": "number"}}, "b": {"type": "object", "required": ["c"], "properties": {"c": {"type": "string"}}}, "d": {"type": "boolean"}},
+    }
+
+
+def test_long_plans_are_refused(spark):
+    s = spark.createDataFrame([("p", str(i), []) for i in range(26)], "plan_id string, step_id string, depends_on array<string>")
+    with pytest.raises(Exception, match="more steps"):
+        steps.levels(s).collect()
+
+
+def test_nightly():
+    ran = []
+
+    def job(name, fails=False):
+        def run():
+            ran.append(name)
+            if fails:
+                raise RuntimeError("no")
+
+        return run
+
+    got = nightly.nightly({"gate": job("gate"), "corpus": job("corpus"), "more": job("more"), "code": job("code", True), "history": job("history")}, {"history": ("a", "a"), "gate": ("a", "a")})
+    assert ran == ["code", "corpus", "more", "gate"]
+    assert [(r["job"], r["status"]) for r in got] == [("code", "failed"), ("history", "skipped"), ("corpus", "done"), ("more", "done"), ("gate", "done")]
+
+
+def test_lines_of_large_logs_are_numbered(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(("\n" if i % 50 == 49 else json.dumps({"n": i, "pad": "x" * 40}) + "\n") for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        got = tables.json_log(spark, str(tmp_path), "n long")
+        assert got.count() == 2 * 2940 and got.where("line_no != n + 1 OR bad").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_prune_with_equal_times(spark):
+    o = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("path"), F.lit(10).cast("long").alias("size"), F.lit("2026-01-01").cast("timestamp").alias("mtime"))
+    got = sorted(r["path"] for r in ledger.prune(o.repartition(5), max_bytes=2_500, per_bucket=100).collect())
+    assert got == [f"{i:04d}" for i in range(750)]
