@@ -12,7 +12,9 @@ number) stays.
 
 The groups of lines that share a key are sent to workers by their least member, so
 that a line is shingled once for nearly all its groups, and lines that one group
-has linked aren't compared again in the next.
+has linked aren't compared again in the next.  A group beyond a size is split into
+tasks of bounded size that together still meet every pair that could join two of
+its components.
 
 Shorter lines are too short for shingles to tell near copies from chance: of
 them only exact repeats (of the trimmed, lower-cased line) go, by the same hash.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
@@ -41,6 +43,8 @@ SIMILARITY = 0.8
 BROADCAST_LINES = 2_000_000
 #: Texts, and lines, that a Python worker takes at once; hashes that it remembers (a repeated line needs its keys once a task).
 TEXTS, LINES, SEEN = 200, 1000, 500_000
+#: Members of a group that one task takes at once (twice that, all in all); members that all others of a larger group meet first.
+MOST, CENTRES = 5000, 100
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -334,15 +338,61 @@ def _verified(similarity: float, sets_of=line_sets, rows: int = 2000):
     return verify
 
 
-def similar(banded: DataFrame, texts: DataFrame, similarity: float, label: str, sets_of=line_sets, rows: int = 2000) -> DataFrame:
-    """Links (u, v) between the hashes ``h`` of ``banded`` (key, h) that share a key and whose ``texts`` (h, norm) are at ``similarity`` or more."""
+def similar(banded: DataFrame, texts: DataFrame, similarity: float, label: str, sets_of=line_sets, rows: int = 2000, most: int = MOST) -> DataFrame:
+    """Links (u, v) between the hashes ``h`` of ``banded`` (key, h) that share a key and whose ``texts`` (h, norm) are at ``similarity`` or more.
+
+    Not every linked pair is listed, but every two linked texts are joined by a chain of listed ones.
+    A group of more than ``2 * most`` members is split, see :func:`split_group_links`.
+    """
     shared = banded.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "lead long, grp long, h long")
     shared = stored(shared.groupBy("lead", "h").agg(F.collect_set("grp").alias("grps")), label)  # a line has at most BANDS groups
     wanted = shared.select(F.col("h").alias("_h")).distinct()
     few = wanted.count() <= BROADCAST_LINES
     found = texts.join(F.broadcast(wanted) if few else wanted, F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h"])
-    rows_ = shared.join(found, "h").select("lead", "h", "grps", "norm").repartition("lead").sortWithinPartitions("lead", "h")
-    return rows_.mapInArrow(_verified(similarity, sets_of, rows), "u long, v long")
+    run = _verified(similarity, sets_of, rows)
+
+    def verified(groups: DataFrame) -> DataFrame:
+        return groups.join(found, "h").select("lead", "h", "grps", "norm").repartition("lead").sortWithinPartitions("lead", "h").mapInArrow(run, "u long, v long")
+
+    members = shared.select("lead", "h", F.explode("grps").alias("grp"))
+    large = members.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > 2 * most)
+    large = stored(large, f"{label}_large")
+    if not large.limit(1).count():
+        return verified(shared)
+    found = stored(found, f"{label}_texts")  # read several times from here on
+    small = members.join(large, "grp", "left_anti").groupBy("lead", "h").agg(F.collect_set("grp").alias("grps"))
+    return verified(small).unionByName(split_group_links(members.join(large, "grp").select("grp", "h", "n"), verified, most, label))
+
+
+def split_group_links(members: DataFrame, verified, most: int, label: str) -> DataFrame:
+    """Links of large groups (grp, h, n), in tasks of at most about ``2 * most`` members.
+
+    First every slice of a group meets the same ``CENTRES`` members; near copies
+    mostly fall into one component by that.  Then all members outside a group's
+    largest component meet every slice of the group.  What is left out are pairs
+    inside the largest component, which need no more links.
+    """
+    slices = F.ceil(F.col("n") / most)
+    m = members.withColumn("slice", F.pmod(F.xxhash64("h", F.lit(7)), slices)).withColumn("slices", slices)
+    m = stored(m, f"{label}_members")
+    task = lambda *cols: F.xxhash64("grp", *cols).alias("lead")
+    rows = lambda df: df.select("lead", "h").distinct().withColumn("grps", F.array("lead"))
+
+    order = Window.partitionBy("grp").orderBy(F.xxhash64("h", F.lit(9)), "h")
+    centres = m.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= CENTRES)
+    centres = centres.select("grp", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    first = stored(verified(rows(m.select(task("slice"), "h").unionByName(centres.select(task("slice"), "h")))), f"{label}_first")
+
+    roots = components(first)
+    m = stored(m.join(roots, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h")).drop("node"), f"{label}_rooted")
+    largest = m.groupBy("grp", "root").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    rest = m.join(largest, "grp").where("root != main")
+    width = rest.groupBy("grp").agg(F.ceil(F.count("*") / most).alias("others"))
+    rest = rest.join(width, "grp").withColumn("other", F.pmod(F.xxhash64("h", F.lit(8)), F.col("others")))
+    against = m.join(width, "grp").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    every = rest.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    both = against.select(task("slice", "other"), "h").unionByName(every.select(task("slice", "other"), "h"))
+    return first.unionByName(verified(rows(both)))
 
 
 def counted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -363,11 +413,11 @@ def counted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(places, f"doc_id {kind}, line int, h long")
 
 
-def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS, most: int = MOST) -> DataFrame:
     """(doc_id, line) of the lines to remove: all of a component but its first by (doc_id, line); null doc_ids have none."""
     texts = docs.select("text")
     banded = texts.mapInArrow(_banded(min_chars), "key long, h long")
-    links = similar(banded, texts.mapInArrow(_texts_of(min_chars), "h long, norm string"), similarity, "buckets")
+    links = similar(banded, texts.mapInArrow(_texts_of(min_chars), "h long, norm string"), similarity, "buckets", most=most)
     roots = stored(components(links), "lines")
 
     places = stored(counted_lines(docs.where("doc_id IS NOT NULL"), min_chars), "places")

@@ -25,6 +25,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Texts that a Python worker takes at once; they are much longer than lines.
 ROWS = 250
+#: Members of a group of texts that one task takes at once.
+MOST = 1000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -54,7 +56,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar_texts(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) between the hashes ``h`` of texts (h, text) at ``similarity`` or more."""
-    return linededup.similar(texts.mapInArrow(_banded, "key long, h long"), texts.select("h", F.col("text").alias("norm")), similarity, "doc_buckets", _sets, ROWS)
+    return linededup.similar(texts.mapInArrow(_banded, "key long, h long"), texts.select("h", F.col("text").alias("norm")), similarity, "doc_buckets", _sets, ROWS, MOST)
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = simhash.RADIUS) -> DataFrame:

@@ -81,6 +81,25 @@ def test_a_large_group_of_near_copies(spark):
     assert ld.repeated_lines(docs).count() == 1499
 
 
+def test_large_groups_are_split_without_losing_links(spark, monkeypatch):
+    """Templates with small and large changes, chains of small steps, in groups far beyond the size of a task."""
+    monkeypatch.setattr(ld, "CENTRES", 3)
+    plain, called = ld.split_group_links, []
+    monkeypatch.setattr(ld, "split_group_links", lambda *a: called.append(a) or plain(*a))
+    rng = random.Random(14)
+    base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(2)]
+    docs = []
+    for i in range(400):
+        w = rng.choice(base).split()
+        for k in rng.sample(range(len(w)), rng.choice((1, 2, 4, 9))):
+            w[k] = "".join(rng.choice("xyz") for _ in range(6))
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    split, whole = ({tuple(r) for r in ld.repeated_lines(df, most=m).collect()} for m in (10, 5000))
+    assert len(whole) > 100 and split == whole and len(called) == 1
+    assert len(brute(docs) ^ split) <= 0.03 * len(docs)
+
+
 def test_links_need_no_common_centre():
     x = "".join(chr(97 + i % 26) + str(i) for i in range(200))
     lines = [x[: len(x) - k * 40] for k in range(4)]
