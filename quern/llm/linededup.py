@@ -441,7 +441,9 @@ def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_
     """
     gone = repeated_lines(docs, similarity, min_chars).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_lines"))
     # The removed lines are the build side of a hash join, so the texts need no sort.
-    both = packed(docs, "doc_id").join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
+    rows = packed(docs, "doc_id")
+    both = rows.where("doc_id IS NOT NULL").join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").select("row", "_lines")
+    both = both.unionByName(rows.where("doc_id IS NULL").select("row", F.lit(None).cast("array<int>").alias("_lines")))  # these would meet in one task
     text = F.when(F.col("_lines").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains(F.col("_lines"), i)), "\n"))
     removed = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines"))
     return both.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != "lines_removed"], removed.alias("lines_removed"))
