@@ -327,9 +327,17 @@ def topn_with_reserve(spark, d):
     return vectors.reserved(_asked(spark, d), _vectors(spark, d), 6, digits=6).select("qid", "id", "rank")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_HITS}, n AS (SELECT qid, id, label, distance FROM h QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, id) <= 120),
+o AS (SELECT qid, id::VARCHAR AS id, distance, label || '/' || (id % 4) AS source, CASE WHEN {_FAM} = 'failure_modes' THEN 'avoid' WHEN {_FAM} = 'corpus' THEN 'prefer' ELSE 'convention' END AS bucket, row_number() OVER (PARTITION BY qid ORDER BY distance, id::VARCHAR) AS i FROM n),
+f AS (SELECT qid, 0::BIGINT AS i, []::STRUCT(distance DOUBLE, id VARCHAR, source VARCHAR, bucket VARCHAR)[] AS held FROM (SELECT DISTINCT qid FROM o) UNION ALL
+  SELECT f.qid, o.i, CASE WHEN NOT list_contains(list_transform(held, lambda x: x.source), o.source) AND len(list_filter(held, lambda x: x.bucket = o.bucket)) < 4 THEN list_append(held, {{'distance': o.distance, 'id': o.id, 'source': o.source, 'bucket': o.bucket}}) ELSE held END FROM f JOIN o ON o.qid = f.qid AND o.i = f.i + 1),
+l AS (SELECT qid, unnest(held) AS x FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY i DESC) = 1)),
+r AS (SELECT qid, x.id AS id, x.bucket AS bucket, (row_number() OVER (PARTITION BY qid ORDER BY CASE x.bucket WHEN 'avoid' THEN 0 WHEN 'prefer' THEN 1 ELSE 2 END, x.distance, x.id))::INT AS rank FROM l)
+SELECT * FROM r WHERE rank <= 9
+""")
 def bucket_balanced_topk(spark, d):
-    """Source and bucket caps interact in order, so there is no plain SQL for it.  Every 20th vector is a query."""
+    """Source and bucket caps interact in the order of distance: a fold.  Every 20th vector is a query."""
     h = vectors.nearest_in_blocks(_asked(spark, d), _vectors(spark, d), 120, 6).drop("rank").withColumn("doc_type", F.when(F.col("family") == "corpus", "pattern").otherwise("standard")).withColumn("cites", F.array(F.concat(F.lit("D"), "source"))).withColumn("source", F.concat_ws("/", "source", F.col("id") % 4))
     return vectors.balanced(h, 9).select("qid", "id", "bucket", "rank")
 
