@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.store import dropped, stored
+
 PREFIX = r"^(?:[ \t]*>)+"
 #: Lines that announce a quote.
 ANNOUNCES = r"(?i)^\s*(on .* wrote|am .* schrieb.*|le .* a écrit|el .* escribió)\s*:\s*$"
@@ -68,16 +70,56 @@ def linked(messages: DataFrame) -> DataFrame:
     return m.join(best, "key", "left")
 
 
+def reply_order(nodes: DataFrame) -> DataFrame:
+    """(c, n, position) of messages (c, n, up): the preorder of each conversation's reply tree, replies to one message by ``n``.
+
+    ``n`` counts a conversation's messages from 0, and ``up`` is the number of the
+    message replied to, null for 0.  Where every message replies to the one before,
+    the position is ``n``.  Other trees are walked as a list of entries and exits,
+    ranked by pointer doubling: in each round every element jumps over what it knows
+    already, so a conversation of m messages takes log2(2 m) joins and is never
+    gathered in one task.
+    """
+    branched = nodes.where("up != n - 1").select("c").distinct()
+    t = stored(nodes.join(branched, "c"), "tree")
+    chain = nodes.join(branched, "c", "left_anti").select("c", "n", F.col("n").alias("position"))
+    first = t.where("up IS NOT NULL").groupBy("c", F.col("up").alias("n")).agg(F.min("n").alias("child"))
+    sibling = F.lead("n").over(Window.partitionBy("c", "up").orderBy("n"))
+    v = t.withColumn("sibling", F.when(F.col("up").isNotNull(), sibling)).join(first, ["c", "n"], "left")
+    enter, leave = 2 * F.col("n"), 2 * F.col("n") + 1
+    steps = F.array(
+        F.struct(enter.alias("a"), F.coalesce(2 * F.col("child"), leave).alias("b"), F.lit(1).cast("long").alias("w")),
+        F.struct(leave.alias("a"), F.coalesce(2 * F.col("sibling"), 2 * F.col("up") + 1).alias("b"), F.lit(0).cast("long").alias("w")),
+    )
+    e = stored(v.select("c", F.explode(steps).alias("x")).select("c", "x.a", "x.b", "x.w"), "tour")
+    while e.where("b IS NOT NULL").limit(1).count():
+        on = e.select("c", F.col("a").alias("b"), F.col("b").alias("_b"), F.col("w").alias("_w"))
+        going = e.where("b IS NOT NULL").join(on, ["c", "b"]).select("c", "a", F.col("_b").alias("b"), (F.col("w") + F.col("_w")).alias("w"))
+        nxt = stored(going.unionByName(e.where("b IS NULL")), "tour")
+        dropped(e)
+        e = nxt
+    size = t.groupBy("c").agg(F.count("*").alias("m"))
+    walked = e.where("a % 2 = 0").join(size, "c").select("c", (F.col("a") / 2).cast("long").alias("n"), (F.col("m") - F.col("w")).alias("position"))
+    return chain.unionByName(walked)
+
+
 def conversations_of(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, position, turn, role, parent_turn, n_quoted, n_linked and ``own``, its text without quotes.
 
-    ``position`` counts from 0 in reply order: a message stands after the one it
-    replies to.  A null text has no quotes and stays null.  A message of quotes
-    only has an empty ``own``.  Repeated rows each keep their row; equal turns of
-    one conversation stand by role, then text.  Null conv_ids form one conversation.
+    ``position`` counts from 0 in reply order: a message stands behind the one it
+    replies to and that one's earlier replies with all theirs.  A null text has no
+    quotes and stays null.  A message of quotes only has an empty ``own``.  Repeated
+    rows each keep their row; equal turns of one conversation stand by role, then
+    text, and a reply to a turn is one to its first message.  Null conv_ids form one
+    conversation.
     """
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "key")
-    out = linked(messages).withColumn("position", F.row_number().over(w) - 1).withColumn("_before", F.lag("turn").over(w))
+    out = linked(messages).withColumn("n", (F.row_number().over(w) - 1).cast("long")).withColumn("_before", F.lag("turn").over(w)).withColumn("c", F.xxhash64("conv_id"))
+    out = stored(out, "numbered")
+    of_turn = out.groupBy("c", F.col("turn").alias("quoted_turn")).agg(F.min("n").alias("_up"))
+    nodes = out.select("c", "n", "quoted_turn").join(of_turn, ["c", "quoted_turn"], "left")
+    nodes = nodes.select("c", "n", F.coalesce("_up", F.when(F.col("n") > 0, F.col("n") - 1)).alias("up"))
+    out = out.join(reply_order(stored(nodes, "replies")), ["c", "n"])
     return out.select(
         "conv_id", F.col("position").cast("long").alias("position"), "turn", "role", F.coalesce("quoted_turn", "_before").alias("parent_turn"),
         F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), own_text(F.col("text")).alias("own"),
@@ -115,7 +157,7 @@ def quoted_conversations(spark, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY conv_id, turn, role, text) AS rid FROM conversations),
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY conv_id, turn, role, text) AS rid FROM conversations),
 l AS (SELECT rid, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM m),
 v AS (SELECT *, len(regexp_extract_all(regexp_extract(line, '^(?:[ \t]*>)+'), '>')) AS level, substr(line, length(regexp_extract(line, '^(?:[ \t]*>)+')) + 1) AS body FROM l),
 i AS (SELECT *, sum(nw) OVER (PARTITION BY rid ORDER BY pos) AS island FROM (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY rid ORDER BY pos) THEN 1 ELSE 0 END AS nw FROM v)),
@@ -127,11 +169,13 @@ s AS (SELECT rid, level, from_turn, sum(weight) AS weight, count(*) AS n FROM q
 b AS (SELECT rid, sum(n)::BIGINT AS n_quoted, coalesce(sum(n) FILTER (from_turn IS NOT NULL), 0)::BIGINT AS n_linked FROM s GROUP BY 1),
 t AS (SELECT rid, from_turn AS quoted_turn FROM s WHERE from_turn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rid ORDER BY level, weight DESC, from_turn DESC) = 1),
 w AS (SELECT rid, string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT (regexp_matches(line, '(?i)^\s*(on .* wrote|am .* schrieb.*|le .* a écrit|el .* escribió)\s*:\s*$') AND coalesce(nx, 0) > 0)) AS own
-      FROM (SELECT *, lead(level) OVER (PARTITION BY rid ORDER BY pos) AS nx FROM v) GROUP BY rid)
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, rid) - 1 AS position, turn, role,
-  coalesce(quoted_turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, rid)) AS parent_turn,
+      FROM (SELECT *, lead(level) OVER (PARTITION BY rid ORDER BY pos) AS nx FROM v) GROUP BY rid),
+z AS (SELECT m.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, rid) - 1 AS n, quoted_turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, rid) AS before FROM m LEFT JOIN t USING (rid)),
+up AS (SELECT z.rid, z.conv_id, z.n, coalesce((SELECT min(y.n) FROM z y WHERE y.conv_id IS NOT DISTINCT FROM z.conv_id AND y.turn = z.quoted_turn), CASE WHEN n > 0 THEN n - 1 END) AS up FROM z),
+p AS (SELECT rid, conv_id, n, [n] AS path FROM up WHERE up IS NULL UNION ALL SELECT up.rid, up.conv_id, up.n, list_append(p.path, up.n) FROM up JOIN p ON up.conv_id IS NOT DISTINCT FROM p.conv_id AND up.up = p.n)
+SELECT z.conv_id, row_number() OVER (PARTITION BY z.conv_id ORDER BY path) - 1 AS position, turn, role, coalesce(quoted_turn, before) AS parent_turn,
   coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked,
   sha256(coalesce(CASE WHEN text LIKE '%>%' THEN regexp_replace(coalesce(own, ''), '^\n+|\n+\z', '', 'g') ELSE text END, '')) AS own_sha256
-FROM m LEFT JOIN b USING (rid) LEFT JOIN t USING (rid) LEFT JOIN w USING (rid)
+FROM z JOIN p USING (rid) LEFT JOIN b USING (rid) LEFT JOIN w USING (rid)
 """
 QUOTED_SQL = OP7_SQL.replace("FROM conversations", f"FROM (SELECT {', '.join(_QUOTING)} FROM (SELECT {', '.join(_QUOTED)} FROM conversations))")

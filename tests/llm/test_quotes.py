@@ -9,6 +9,19 @@ def quoted(text, level=1):
     return "\n".join(("> " * level).strip() + " " + x for x in text.split("\n"))
 
 
+def preorder(parents):
+    """(conversation, turn) to place, where a reply stands behind what it answers and that one's earlier replies."""
+    out = {}
+    for c in {k[0] for k in parents}:
+        stack, at = [0], 0
+        while stack:
+            v = stack.pop()
+            out[c, v] = at
+            at += 1
+            stack += sorted((t for (k, t), up in parents.items() if k == c and up == v), reverse=True)
+    return out
+
+
 def test_round_trip_of_nested_quotes(spark):
     """Conversations written as mails that quote their parents come back as they were."""
     rng = random.Random(1)
@@ -29,9 +42,10 @@ def test_round_trip_of_nested_quotes(spark):
             rows.append((c, t, "user", body + mine))
     got = quotes.conversations_of(spark.createDataFrame(rows, MESSAGES).repartition(3)).collect()
     assert len(got) == len(rows)
+    order = preorder({k: parent.get(k) for k in own})
     for r in got:
         key = (r["conv_id"], r["turn"])
-        assert r["own"] == own[key] and r["parent_turn"] == parent.get(key) and r["position"] == r["turn"]
+        assert r["own"] == own[key] and r["parent_turn"] == parent.get(key) and r["position"] == order[key]
         assert r["n_linked"] == r["n_quoted"]
 
 
@@ -61,3 +75,13 @@ def test_quoted_conversations_link_to_the_quoted_turns(spark):
     assert len(quoted) > len(rows) / 5 and all(r["n_linked"] == r["n_quoted"] for r in quoted)
     assert any(r["parent_turn"] < r["turn"] - 1 for r in quoted)
     assert sum((r["conv_id"], r["turn"], r["role"], r["own_sha256"]) in plain for r in rows) >= 0.95 * len(rows)  # the quotes are gone again
+
+
+def test_replies_stand_behind_what_they_answer(spark):
+    import random
+
+    rng = random.Random(5)
+    nodes = [(c, n, None if n == 0 else n - 1 if c == 0 or rng.random() < 0.3 else rng.randrange(n)) for c in range(12) for n in range(1 + c * 7)]
+    got = {(r["c"], r["n"]): r["position"] for r in quotes.reply_order(spark.createDataFrame(nodes, "c long, n long, up long")).collect()}
+    want = preorder({(c, n): up for c, n, up in nodes})
+    assert got == want
