@@ -47,12 +47,14 @@ def own_text(text):
     return F.when(text.contains(">"), F.regexp_replace(F.array_join(keep, "\n"), r"^\n+|\n+\z", "")).otherwise(text)
 
 
-def linked(messages: DataFrame) -> DataFrame:
-    """Per row of ``messages`` (conv_id, turn, role, text): the columns of the result of :func:`conversations_of`, unordered.
+def keyed(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text; ``key``, a hash of all four, and ``c``, one of conv_id."""
+    m = messages.select("conv_id", "turn", "role", "text")
+    return m.withColumn("key", F.xxhash64("conv_id", "turn", "role", "text")).withColumn("c", F.xxhash64("conv_id"))
 
-    ``parent_turn`` is null for a conversation's first turn without a link.
-    """
-    m = messages.select("conv_id", "turn", "role", "text").withColumn("key", F.xxhash64("conv_id", "turn", "role", "text"))
+
+def links(m: DataFrame) -> DataFrame:
+    """(key, c, quoted_turn, n_quoted, n_linked) of the messages of :func:`keyed` that quote; ``quoted_turn`` is null where no quote has a source."""
     asks = m.where(F.col("text").contains(">"))
     lines = passages(m.join(asks.select("conv_id").distinct(), "conv_id", "left_semi").dropDuplicates(["key"]))
     whole = lines.groupBy("key", "conv_id", "turn", "level", "island").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"]), " ").alias("body"))
@@ -67,7 +69,7 @@ def linked(messages: DataFrame) -> DataFrame:
         F.max(F.when(F.col("from_turn").isNotNull(), F.struct(-F.col("level"), F.col("weight"), F.col("from_turn")))).alias("best"),
         F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("from_turn").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"),
     ).select("key", F.col("best.from_turn").alias("quoted_turn"), "n_quoted", "n_linked")
-    return m.join(best, "key", "left")
+    return best.join(asks.select("key", "c").distinct(), "key")
 
 
 def reply_order(nodes: DataFrame) -> DataFrame:
@@ -113,15 +115,20 @@ def conversations_of(messages: DataFrame) -> DataFrame:
     text, and a reply to a turn is one to its first message.  Null conv_ids form one
     conversation.
     """
+    m = keyed(messages)
+    found = stored(links(m), "links")
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "key")
-    out = linked(messages).withColumn("n", (F.row_number().over(w) - 1).cast("long")).withColumn("_before", F.lag("turn").over(w)).withColumn("c", F.xxhash64("conv_id"))
-    out = stored(out, "numbered")
-    of_turn = out.groupBy("c", F.col("turn").alias("quoted_turn")).agg(F.min("n").alias("_up"))
-    nodes = out.select("c", "n", "quoted_turn").join(of_turn, ["c", "quoted_turn"], "left")
-    nodes = nodes.select("c", "n", F.coalesce("_up", F.when(F.col("n") > 0, F.col("n") - 1)).alias("up"))
-    out = out.join(reply_order(stored(nodes, "replies")), ["c", "n"])
+    number = (F.row_number().over(w) - 1).cast("long")
+    # Only conversations with a linked quote can leave the order of turns; their texts don't travel.
+    asked = found.where("quoted_turn IS NOT NULL").select("c").distinct()
+    slim = m.join(asked, "c", "left_semi").select("conv_id", "c", "turn", "role", "key").withColumn("n", number).join(found.select("key", "quoted_turn"), "key", "left")
+    slim = stored(slim.select("c", "n", "turn", "quoted_turn"), "numbered")
+    of_turn = slim.groupBy("c", F.col("turn").alias("quoted_turn")).agg(F.min("n").alias("_up"))
+    nodes = slim.join(of_turn, ["c", "quoted_turn"], "left").select("c", "n", F.coalesce("_up", F.when(F.col("n") > 0, F.col("n") - 1)).alias("up"))
+    places = reply_order(stored(nodes, "replies"))
+    out = m.withColumn("n", number).withColumn("_before", F.lag("turn").over(w)).join(found.drop("c"), "key", "left").join(places, ["c", "n"], "left")
     return out.select(
-        "conv_id", F.col("position").cast("long").alias("position"), "turn", "role", F.coalesce("quoted_turn", "_before").alias("parent_turn"),
+        "conv_id", F.coalesce("position", "n").cast("long").alias("position"), "turn", "role", F.coalesce("quoted_turn", "_before").alias("parent_turn"),
         F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), own_text(F.col("text")).alias("own"),
     )
 
