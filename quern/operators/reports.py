@@ -107,9 +107,8 @@ def digest_problems(documents: DataFrame, digests: DataFrame, known: DataFrame)
     """
     d = documents.select("doc", F.octet_length("text").alias("bytes_in"), text.cites("text").alias("own"))
     g = digests.select("doc", F.octet_length(text.trim_space("text")).alias("bytes_out"), text.cites("text").alias("said"))
-    both = d.join(g, "doc", "left").withColumn("new", F.array_except(F.coalesce("said", F.array().cast("array<string>")), "own"))
-    lost = both.select("doc", F.explode("new").alias("cite")).join(known.select("cite").distinct(), "cite", "left_anti").groupBy("doc").agg(F.count("*").alias("unresolved"))
-    both = both.join(lost, "doc", "left").withColumn("unresolved", F.coalesce("unresolved", F.lit(0))).withColumn("bytes_out", F.coalesce("bytes_out", F.lit(0)))
+    both = d.join(g, "doc", "left").select("doc", "bytes_in", F.coalesce("bytes_out", F.lit(0)).alias("bytes_out"), F.explode_outer(F.array_except(F.coalesce("said", F.array().cast("array<string>")), "own")).alias("cite"))
+    both = both.join(known.select("cite", F.lit(True).alias("is_known")).distinct(), "cite", "left").groupBy("doc", "bytes_in", "bytes_out").agg(F.count_if(F.col("cite").isNotNull() & F.col("is_known").isNull()).alias("unresolved"))
     ok = (F.col("bytes_in") <= MOST_BYTES) & (F.col("bytes_out") >= LEAST_BYTES) & (F.col("unresolved") == 0)
     return both.select("doc", "bytes_in", "bytes_out", "unresolved", ok.alias("accepted"))
 
