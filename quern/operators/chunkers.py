@@ -48,7 +48,14 @@ class Section:
 def split_sections(body: str, level: int, keep_preamble: bool = False) -> tuple[str, list[Section]]:
     """(title, sections) at headings of one level outside fences; text before the first heading goes unless it is kept."""
     mark, title, out, fenced = "#" * level + " ", "", [], False
-    current = Section("", "") if keep_preamble else None
+    name, held = "", [] if keep_preamble else None
+
+    def close():
+        if held is not None:
+            body = "".join(held)
+            if name or body.strip(BLANK):
+                out.append(Section(name, name, body))
+
     for line in scan_lines(body):
         bare = line.strip(BLANK)
         if bare.startswith("```"):
@@ -57,15 +64,12 @@ def split_sections(body: str, level: int, keep_preamble: bool = False) -> tuple[
             title = bare[2:].strip(BLANK)
             continue
         elif not fenced and bare.startswith(mark):
-            if current and (current.heading or current.body.strip(BLANK)):
-                out.append(current)
-            name = bare[len(mark) :].strip(BLANK)
-            current = Section(name, name)
+            close()
+            name, held = bare[len(mark) :].strip(BLANK), []
             continue
-        if current:
-            current.body += line + "\n"
-    if current and (current.heading or current.body.strip(BLANK)):
-        out.append(current)
+        if held is not None:
+            held.append(line + "\n")
+    close()
     return title, out
 
 
