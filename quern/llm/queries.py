@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontam, langid, linededup, mixing, pii, quality, quotes, rules, simhash, urls
+from quern.llm import decontam, langid, linededup, mixing, pii, quality, quotes, rules, shards, simhash, trie, urls
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op8_quality_rules": rules.op8_quality_rules,
         "op9_simhash": simhash.op9_simhash,
         "op10_pii": pii.op10_pii,
+        "op11_prefix_trie": trie.op11_prefix_trie,
+        "op12_sharding": shards.op12_sharding,
     }
 
 
@@ -29,4 +31,6 @@ def oracle_sql() -> dict:
         "op7_chat_quotes": quotes.OP7_SQL,
         "quoted_conversations": quotes.QUOTED_SQL,
         "op8_quality_rules": rules.OP8_SQL,
+        "op11_prefix_trie": trie.OP11_SQL,
+        "op12_sharding": shards.OP12_SQL,
     }

@@ -21,8 +21,9 @@ def test_query(spark, db, tmp_path, name):
     df = queries.queries()[name](spark, DATA)
     df.write.parquet(str(tmp_path / "out"))
     rows = f"'{tmp_path}/out/*.parquet'"
-    want = "conversations" if name.startswith("op7") or name == "quoted_conversations" else "pages" if name.startswith("op1_") else "documents"
-    assert db.execute(f"SELECT (SELECT count(*) FROM {rows}) = (SELECT count(*) FROM {want})").fetchall()[0][0]
+    if name != "op11_prefix_trie":  # has a row per node
+        want = "conversations" if name.startswith("op7") or name == "quoted_conversations" else "pages" if name.startswith("op1_") else "documents"
+        assert db.execute(f"SELECT (SELECT count(*) FROM {rows}) = (SELECT count(*) FROM {want})").fetchall()[0][0]
     if name in queries.oracle_sql():
         cols = ", ".join(sorted(df.columns))
         sql = f"SELECT {cols} FROM ({queries.oracle_sql()[name]})"
