@@ -63,9 +63,15 @@ def script_table() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def letter_table() -> np.ndarray:
+    """Which code points are letters; marks alone make no word."""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+
+
 @dataclass
 class Words:
-    """The words of some texts: text number, start, end (code points in the text), script."""
+    """The words of some texts, runs of letters and marks with a letter in them: text number, start, end (code points in the text), script."""
 
     text: np.ndarray
     start: np.ndarray
@@ -87,8 +93,17 @@ def words_of(texts: list[str]) -> Words:
     begin = np.cumsum(lens) - lens
     script = script_table()[codes]
     letter = script > 0
+    true = np.flatnonzero(letter_table()[codes])
     edge = np.diff(letter.astype(np.int8), prepend=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    nearest = np.searchsorted(true, start)  # each run's first letter
+    bare = np.r_[true, len(codes)][nearest] >= end
+    if bare.any():
+        inside = np.zeros(len(codes) + 1, np.int8)
+        inside[start[bare]], inside[end[bare]] = 1, -1
+        letter &= np.cumsum(inside[:-1]) == 0
+        edge = np.diff(letter.astype(np.int8), prepend=0)
+        start, end, nearest = start[~bare], end[~bare], nearest[~bare]
     c = np.where(letter, codes, 0).astype(np.uint64)
     b = np.r_[np.zeros(1, np.uint64), c[:-1]]
     a = np.r_[np.zeros(2, np.uint64), c[:-2]]
@@ -100,7 +115,7 @@ def words_of(texts: list[str]) -> Words:
     size = end - start + 1
     first = np.cumsum(size) - size
     text = np.searchsorted(begin, start, side="right") - 1
-    return Words(text, start - begin[text], end - begin[text], script[start], grams, first)
+    return Words(text, start - begin[text], end - begin[text], script[true[nearest]], grams, first)
 
 
 @dataclass

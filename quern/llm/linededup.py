@@ -338,11 +338,12 @@ def _verified(similarity: float, sets_of=line_sets, rows: int = 2000):
     return verify
 
 
-def similar(banded: DataFrame, texts: DataFrame, similarity: float, label: str, sets_of=line_sets, rows: int = 2000, most: int = MOST) -> DataFrame:
+def similar(banded: DataFrame, texts: DataFrame, similarity: float, label: str, sets_of=line_sets, rows: int = 2000, most: int = MOST, most_bytes: int | None = None) -> DataFrame:
     """Links (u, v) between the hashes ``h`` of ``banded`` (key, h) that share a key and whose ``texts`` (h, norm) are at ``similarity`` or more.
 
     Not every linked pair is listed, but every two linked texts are joined by a chain of listed ones.
-    A group of more than ``2 * most`` members is split, see :func:`split_group_links`.
+    A group of more than ``2 * most`` members, or of more than twice ``most_bytes`` of text, is split, see
+    :func:`split_group_links`.
     """
     shared = banded.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "lead long, grp long, h long")
     shared = stored(shared.groupBy("lead", "h").agg(F.collect_set("grp").alias("grps")), label)  # a line has at most BANDS groups
@@ -355,17 +356,25 @@ def similar(banded: DataFrame, texts: DataFrame, similarity: float, label: str,
         return groups.join(found, "h").select("lead", "h", "grps", "norm").repartition("lead").sortWithinPartitions("lead", "h").mapInArrow(run, "u long, v long")
 
     members = shared.select("lead", "h", F.explode("grps").alias("grp"))
-    large = members.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > 2 * most)
-    large = stored(large, f"{label}_large")
+    if most_bytes is None:
+        large = members.groupBy("grp").agg(F.count("*").alias("n"), F.lit(1.0).alias("weight"))
+    else:  # members of long texts count as several
+        found = stored(found, f"{label}_texts")
+        weight = F.greatest(F.lit(1.0), F.avg("bytes") * most / most_bytes)
+        large = members.join(found.select("h", F.octet_length("norm").alias("bytes")), "h").groupBy("grp").agg(F.ceil(F.count("*") * weight).alias("n"), weight.alias("weight"))
+    large = stored(large.where(F.col("n") > 2 * most), f"{label}_large")
     if not large.limit(1).count():
         return verified(shared)
-    found = stored(found, f"{label}_texts")  # read several times from here on
+    if most_bytes is None:
+        found = stored(found, f"{label}_texts")  # read several times from here on
     small = members.join(large, "grp", "left_anti").groupBy("lead", "h").agg(F.collect_set("grp").alias("grps"))
-    return verified(small).unionByName(split_group_links(members.join(large, "grp").select("grp", "h", "n"), verified, most, label))
+    return verified(small).unionByName(split_group_links(members.join(large, "grp").select("grp", "h", "n", "weight"), verified, most, label))
 
 
 def split_group_links(members: DataFrame, verified, most: int, label: str) -> DataFrame:
-    """Links of large groups (grp, h, n), in tasks of at most about ``2 * most`` members.
+    """Links of large groups (grp, h, n, weight), in tasks of at most about ``2 * most`` members.
+
+    Each member counts ``weight`` times, ``n`` in all: so groups of long texts get more slices.
 
     First every slice of a group meets the same ``CENTRES`` members; near copies
     mostly fall into one component by that.  Then all members outside a group's
@@ -387,7 +396,7 @@ def split_group_links(members: DataFrame, verified, most: int, label: str) -> Da
     m = stored(m.join(roots, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h")).drop("node"), f"{label}_rooted")
     largest = m.groupBy("grp", "root").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     rest = m.join(largest, "grp").where("root != main")
-    width = rest.groupBy("grp").agg(F.ceil(F.count("*") / most).alias("others"))
+    width = rest.groupBy("grp").agg(F.ceil(F.count("*") * F.max("weight") / most).alias("others"))
     rest = rest.join(width, "grp").withColumn("other", F.pmod(F.xxhash64("h", F.lit(8)), F.col("others")))
     against = m.join(width, "grp").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
     every = rest.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))

@@ -25,8 +25,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Texts that a Python worker takes at once; they are much longer than lines.
 ROWS = 250
-#: Members of a group of texts that one task takes at once.
-MOST = 1000
+#: Members of a group of texts, and bytes of their texts, that one task takes at once; their sets of hashes take a few times the bytes.
+MOST, MOST_BYTES = 1000, 12 << 20
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -54,9 +54,9 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(h, linededup.BANDS))], names=["key", "h"])
 
 
-def similar_texts(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def similar_texts(texts: DataFrame, similarity: float = SIMILARITY, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Links (u, v) between the hashes ``h`` of texts (h, text) at ``similarity`` or more."""
-    return linededup.similar(texts.mapInArrow(_banded, "key long, h long"), texts.select("h", F.col("text").alias("norm")), similarity, "doc_buckets", _sets, ROWS, MOST)
+    return linededup.similar(texts.mapInArrow(_banded, "key long, h long"), texts.select("h", F.col("text").alias("norm")), similarity, "doc_buckets", _sets, ROWS, MOST, most_bytes)
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = simhash.RADIUS) -> DataFrame:

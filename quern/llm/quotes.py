@@ -112,16 +112,16 @@ def conversations_of(messages: DataFrame) -> DataFrame:
     replies to and that one's earlier replies with all theirs.  A null text has no
     quotes and stays null.  A message of quotes only has an empty ``own``.  Repeated
     rows each keep their row; equal turns of one conversation stand by role, then
-    text, and a reply to a turn is one to its first message.  Null conv_ids form one
-    conversation.
+    text, nulls last, and a reply to a turn is one to its first message.  Null
+    conv_ids form one conversation.
     """
     m = keyed(messages)
     found = stored(links(m), "links")
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "key")
+    w = Window.partitionBy("conv_id").orderBy(*[F.col(c).asc_nulls_last() for c in ("turn", "role", "text")])
     number = (F.row_number().over(w) - 1).cast("long")
-    # Only conversations with a linked quote can leave the order of turns; their texts don't travel.
+    # Only conversations with a linked quote can leave the order of turns; their texts are needed for ties alone.
     asked = found.where("quoted_turn IS NOT NULL").select("c").distinct()
-    slim = m.join(asked, "c", "left_semi").select("conv_id", "c", "turn", "role", "key").withColumn("n", number).join(found.select("key", "quoted_turn"), "key", "left")
+    slim = m.join(asked, "c", "left_semi").withColumn("n", number).select("c", "n", "turn", "key").join(found.select("key", "quoted_turn"), "key", "left")
     slim = stored(slim.select("c", "n", "turn", "quoted_turn"), "numbered")
     of_turn = slim.groupBy("c", F.col("turn").alias("quoted_turn")).agg(F.min("n").alias("_up"))
     nodes = slim.join(of_turn, ["c", "quoted_turn"], "left").select("c", "n", F.coalesce("_up", F.when(F.col("n") > 0, F.col("n") - 1)).alias("up"))

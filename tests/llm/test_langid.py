@@ -61,12 +61,15 @@ def slow_label(text, model):
     low, k, words = langid.lowered(text), len(model.langs), []
     for m in re.finditer(r"\S+", "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in low)):
         word, score, a, b = m[0], np.zeros(k), 0, 0
+        letters = [c for c in word if unicodedata.category(c)[0] == "L"]
+        if not letters:
+            continue
         for c in [*map(ord, word), 0]:
             h = ((a * 0x9E3779B97F4A7C15 + b) * 0xC2B2AE3D27D4EB4F + c) % 2**64
             h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
             score += model.scores[h >> (64 - langid.TABLE_BITS)]
             a, b = (b, c) if b else (0, c)
-        allowed = model.allowed[langid.script_table()[ord(word[0])]]
+        allowed = model.allowed[langid.script_table()[ord(letters[0])]]
         words.append((m.start(), m.end(), np.where(allowed, score, score.min() + langid.BARRED) if allowed.any() else np.zeros(k), allowed.any()))
     if not words:
         return "und", 0.0
@@ -88,6 +91,18 @@ def test_labels_equal_those_of_a_plain_version(spark):
         assert lang == want[0] and abs(score - want[1]) < 0.02  # a word that both sides of a change score alike may go to either
 
 
+@pytest.mark.parametrize("text", ["☺️", "\U0001f600 ️", "\u0301\u0300", "12 \u20e3 + 3", "\u0e31", "... — 7", "\u200d"])
+def test_without_a_letter_there_is_no_language(model, text):
+    assert langid.label_texts([text], model)[0] == ("und", 0.0, []) and slow_label(text, model) == ("und", 0.0)
+    with_words = langid.label_texts([f"{text} {EN} {text} {EN}"], model)[0]
+    assert with_words[0] == "en" and with_words[1] == 1.0
+
+
+def test_a_word_that_opens_with_a_mark_has_its_letters_script(model):
+    got = langid.label_texts(["\u0301" + RU], model)[0]
+    assert got[0] == "ru" and got[1] == 1.0 and got[2][0][0] == 0
+
+
 def test_scripts_bar_languages(model):
     ok = model.allowed
     cyr = [i for i, (n, _) in enumerate(langid.SCRIPTS, 1) if n == "cyrillic"][0]

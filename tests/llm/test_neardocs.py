@@ -32,3 +32,29 @@ def test_near_copies_at_the_threshold_go(spark):
 
 def test_shingles_of_short_texts():
     assert [len(neardocs.shingle_set(t)) for t in (None, " ", "a", "a b c d", "a b c d e f")] == [0, 0, 1, 1, 2]
+
+
+def test_groups_of_long_texts_are_split_by_bytes(spark, monkeypatch):
+    """One group of near copies of long texts: tasks hold a bounded number of bytes, and the group stays whole."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(9000)}" for _ in range(1500)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for k in rng.sample(range(len(words)), 5):
+            words[k] = f"v{i}x{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"u{rng.randrange(9000)}" for _ in range(200))) for i in range(30)]
+    texts = spark.createDataFrame(rows, "h long, text string")
+    split, seen = neardocs.linededup.split_group_links, []
+
+    def watched(members, verified, most, label):
+        seen.append(members.agg({"weight": "max", "n": "max"}).first())
+        return split(members, verified, most, label)
+
+    monkeypatch.setattr(neardocs.linededup, "split_group_links", watched)
+    size = len(rows[0][1])
+    links = neardocs.similar_texts(texts, most_bytes=20 * size)
+    roots = {r["node"]: r["root"] for r in neardocs.components(links).collect()}
+    assert seen and seen[0]["max(weight)"] > 20 and seen[0]["max(n)"] > 2 * neardocs.MOST
+    assert {roots.get(i, i) for i in range(300)} == {0} and not any(i >= 1000 for i in roots)

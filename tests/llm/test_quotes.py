@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+import duckdb
 
 from quern.llm import quotes
 
@@ -85,3 +88,25 @@ def test_replies_stand_behind_what_they_answer(spark):
     got = {(r["c"], r["n"]): r["position"] for r in quotes.reply_order(spark.createDataFrame(nodes, "c long, n long, up long")).collect()}
     want = preorder({(c, n): up for c, n, up in nodes})
     assert got == want
+
+
+def test_repeated_turns_as_in_the_sql(spark):
+    """Several messages of one turn, of one role or several, equal ones among them, with quotes of them: the SQL's rows."""
+    rng = random.Random(11)
+    texts = ["eee", "ddd", "aaa", "bbb", "ccc", "words of some length here", "other words of some length"]
+    rows = [(1, 0, "u", t) for t in texts[:5]]
+    for c in range(2, 14):
+        for t in sorted(rng.choices(range(4), k=9)):
+            said = rng.choice(texts)
+            rows.append((c, t, rng.choice(("a", "u")), f"> {rng.choice(texts)}\n{said}" if rng.random() < 0.5 else said))
+    rows += [(20, 3, "u", None), (20, None, "u", "x"), (20, 3, None, "y"), (20, 3, "u", "z"), (20, 3, "u", "z")]
+    rng.shuffle(rows)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    cols = ["conv_id", "position", "turn", "role", "parent_turn", "n_quoted", "n_linked", "own_sha256"]
+    want = Counter(db.execute(f"SELECT {', '.join(cols)} FROM ({quotes.OP7_SQL})").fetchall())
+    out = quotes.conversations_of(spark.createDataFrame(rows, MESSAGES).repartition(4))
+    own = quotes.F.sha2(quotes.F.coalesce("own", quotes.F.lit("")), 256).alias("own_sha256")
+    assert Counter(tuple(r) for r in out.select(*cols[:-1], own).collect()) == want
+    assert [r["own"] for r in out.where("conv_id = 1").orderBy("position").collect()] == sorted(texts[:5])
