@@ -99,8 +99,17 @@ CITE_PATTERNS = (
 COMMIT_CITE_PATTERNS = (r"D[0-9]{1,4}", r"AP[0-9]{1,4}", r"[A-Z]{2,4}-[A-Z]?[0-9]+[a-z]?", r"CI[0-9]{1,4}", r"PC[0-9]{1,4}")
 
 
+#: Every id begins with up to four capitals and a digit, or a hyphen and a digit or capital.  A candidate reaches to the
+#: end of its run of word characters and hyphens, so it holds every id that begins in it, with what decides its ends.
+CANDIDATE = r"(?=[A-Z])(?<![A-Za-z0-9_])[A-Z]{1,4}(?:[0-9]|-[A-Z0-9])[A-Za-z0-9_-]*"
+
+
 def _found(c, patterns) -> Column:
-    return F.flatten(F.array(*[F.regexp_extract_all(col(c), F.lit(f"{LEFT}({p}){RIGHT}"), 1) for p in patterns]))
+    """The ids of a text, pattern by pattern.  The text is read once for candidates; the patterns see only these."""
+    ids_of = lambda x: F.flatten(F.array(*[F.regexp_extract_all(x, F.lit(f"{LEFT}({p}){RIGHT}"), 1) for p in patterns]))
+    candidates = F.regexp_extract_all(col(c), F.lit(CANDIDATE), 0)
+    # An array of one element binds the joined candidates to a name: evaluated once for all patterns.
+    return F.flatten(F.transform(F.array(F.array_join(candidates, " ")), lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(ids_of(x))))
 
 
 def cites(c) -> Column:

@@ -16,15 +16,12 @@ CHALLENGE = (
     "struct<challenge:struct<request:string,verdict:string,proceed:string,confirms:array<struct<claim:string,cites:array<string>>>,contradicts:array<struct<claim:string,cites:array<string>>>,"
     "clarify:array<string>,applicable_rules:struct<standards:array<string>,patterns:array<string>,anti_patterns_to_avoid:array<string>,decisions_to_honor:array<string>>>>"
 )
+#: The knowledge base's folder, which a cited path may name or not.
+HOME = "knowledge-base"
 RULE_LISTS = ("standards", "patterns", "anti_patterns_to_avoid", "decisions_to_honor")
 ASSESSMENT = "struct<assessments:array<struct<claim_id:string,verdict:string,evidence:string,cites:array<string>>>,verdict:string,proceed:string>"
 
 
-def _finding(df: DataFrame, test: Column, severity: str, code: str, location, value="") -> DataFrame:
-    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.where(F.coalesce(test, F.lit(False))).select("case_id", F.lit(severity).alias("severity"), F.lit(code).alias("code"), as_col(location).alias("location"), F.coalesce(as_col(value).cast("string"), F.lit("")).alias("value"))
-
-
 FINDING = "struct<severity:string,code:string,location:string,value:string,cite:string>"
 
 
@@ -62,17 +59,47 @@ def _claims_of(side: str):
     return entries
 
 
-def _unresolved(entries: DataFrame, known: DataFrame) -> DataFrame:
-    """Entries (case_id, e) as findings; those of a cite stay only if ``known`` (cite) lacks it.  Others get keys of their own, so no key is hot."""
+#: What a cited path looks like: folders, and a name with an extension.
+PATH = r"\A[a-zA-Z][a-zA-Z0-9_ ./+-]*\.[a-zA-Z0-9_]+\z"
+
+
+def canonical_path(path, home: str = HOME) -> Column:
+    """A path of the knowledge base with or without its folder's name, or one of a repository, in one form."""
+    return F.regexp_replace(text.col(path), rf"\A{home}/", "")
+
+
+def resolving_cites(cites: DataFrame, known: DataFrame, files: DataFrame | None = None, prefixes: tuple[str, ...] = (), home: str = HOME) -> DataFrame:
+    """The distinct ``cite`` of ``cites`` that name a term of ``known`` (cite) or a path of ``files`` (path).
+
+    An anchor (``#D1``, ``#L3-L9``) is cut off first; a term may also hold one
+    itself.  A path counts only if its first folder is ``home`` or one of
+    ``prefixes``.  Each distinct cite is looked up once, by at most three keys.
+    """
+    c = cites.select("cite").distinct()
+    whole = text.trim_space("cite")
+    base = F.regexp_extract(whole, r"\A[^#]*", 0)
+    path = F.when(base.contains("/") & base.rlike(PATH) & F.substring_index(base, "/", 1).isin(home, *prefixes), F.concat(F.lit("path:"), canonical_path(base, home)))
+    keys = F.array_distinct(F.array_compact(F.array(F.concat(F.lit("term:"), whole), F.concat(F.lit("term:"), base), path)))
+    asked = c.where(whole != "").select("cite", F.explode(keys).alias("key"))
+    have = known.select(F.concat(F.lit("term:"), "cite").alias("key"))
+    if files is not None:
+        have = have.unionByName(files.select(F.concat(F.lit("path:"), canonical_path("path", home)).alias("key")))
+    return asked.join(have, "key", "left_semi").select("cite").distinct()
+
+
+def _unresolved(entries: DataFrame, known: DataFrame, files: DataFrame | None = None, prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """Entries (case_id, e) as findings; those of a cite stay only if it doesn't resolve.  Others get keys of their own, so no key is hot."""
+    good = resolving_cites(entries.where("e.cite IS NOT NULL").select("e.cite"), known, files, prefixes)
     key = F.coalesce("e.cite", F.concat(F.lit("\0"), F.xxhash64("case_id", "e.code", "e.location").cast("string")))
-    e = entries.withColumn("_cite", key).join(known.select(F.col("cite").alias("_cite")).distinct(), "_cite", "left_anti")
+    e = entries.withColumn("_cite", key).join(good.select(F.col("cite").alias("_cite")), "_cite", "left_anti")
     return e.select("case_id", "e.severity", "e.code", "e.location", "e.value")
 
 
-def challenge_violations(outputs: DataFrame, known: DataFrame) -> DataFrame:
+def challenge_violations(outputs: DataFrame, known: DataFrame, files: DataFrame | None = None, prefixes: tuple[str, ...] = ()) -> DataFrame:
     """(case_id, severity, code, location, value): all findings on model outputs (case_id, raw).
 
-    ``known``: cite, the terms and paths that resolve.  An output that is no JSON
+    Cites resolve by the terms ``known`` (cite) and the paths ``files`` (path), see
+    :func:`resolving_cites`.  An output that is no JSON
     object gives one blocker.  Each output is parsed once; its findings form one array.
     """
     p = outputs.withColumn("j", F.from_json("raw", CHALLENGE)).select("case_id", "raw", F.col("j.challenge").alias("c"))
@@ -97,24 +124,34 @@ def challenge_violations(outputs: DataFrame, known: DataFrame) -> DataFrame:
         ((verdict == "OUT_OF_SCOPE") & (n_of("c.contradicts") > 0), _entry("WARNING", "out_of_scope_with_contradicts", "contradicts")),
         (verdict.isin("VALID_WITH_CAVEATS", "INVALID", "NEEDS_CLARIFICATION") & nothing, _entry("WARNING", "empty_assessment", "challenge")),
     ))
-    return _unresolved(p.select("case_id", F.explode(F.concat(*[x.cast(f"array<{FINDING}>") for x in found])).alias("e")), known)
-
-
-def assessment_violations(outputs: DataFrame, claims: DataFrame, known: DataFrame) -> DataFrame:
-    """Findings on assessments (case_id, raw) of ``claims`` (case_id, claim_id): unknown, missing, repeated, unsupported, unresolved."""
-    p = outputs.withColumn("j", F.from_json("raw", ASSESSMENT))
-    good = p.where("j.assessments IS NOT NULL")
-    out = _finding(p, F.col("j.assessments").isNull(), "BLOCKER", "output_not_parseable_json", "(root)", F.substring("raw", 1, 80))
-    a = good.select("case_id", F.posexplode("j.assessments").alias("i", "a")).select("case_id", "i", "a.*")
-    at = F.concat(F.lit("assessments["), F.col("i").cast("string"), F.lit("]"))
-    c = claims.select("case_id", "claim_id").distinct().withColumn("real", F.lit(True))
-    both = good.select("case_id").join(c, "case_id").join(a.select("case_id", "claim_id", "i"), ["case_id", "claim_id"], "left")
-    out = out.unionByName(_finding(both, F.col("i").isNull(), "BLOCKER", "claim_not_assessed", F.concat(F.lit("claims."), "claim_id"), F.col("claim_id")))
-    unknown = a.join(c, ["case_id", "claim_id"], "left_anti")
-    out = out.unionByName(_finding(unknown, F.lit(True), "BLOCKER", "unknown_claim", at, F.col("claim_id")))
-    out = out.unionByName(_finding(a, F.col("cites").isNull() | (F.size("cites") == 0), "BLOCKER", "assessment_unsupported", at))
-    cites = a.select("case_id", "i", F.posexplode("cites").alias("k", "cite")).join(known.select("cite").distinct(), "cite", "left_anti")
-    return out.unionByName(_finding(cites, F.lit(True), "BLOCKER", "cite_unresolved", F.concat(F.lit("assessments["), F.col("i").cast("string"), F.lit("].cites["), F.col("k").cast("string"), F.lit("]")), F.col("cite")))
+    return _unresolved(p.select("case_id", F.explode(F.concat(*[x.cast(f"array<{FINDING}>") for x in found])).alias("e")), known, files, prefixes)
+
+
+def assessment_violations(outputs: DataFrame, claims: DataFrame, known: DataFrame, files: DataFrame | None = None, prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """Findings on assessments (case_id, raw) of ``claims`` (case_id, claim_id): unknown, missing, unsupported, unresolved.
+
+    Each output is parsed once and meets its case's claims as one array; its findings form another.
+    """
+    c = claims.groupBy("case_id").agg(F.array_sort(F.collect_set("claim_id")).alias("claims"))
+    p = outputs.select("case_id", "raw", F.from_json("raw", ASSESSMENT)["assessments"].alias("a")).join(c, "case_id", "left")
+    p = p.withColumn("claims", _list(F.col("claims"))).withColumn("assessed", F.transform("a", lambda x: x["claim_id"]))
+    place = lambda i: F.concat(F.lit("assessments["), i.cast("string"), F.lit("]"))
+
+    def of_assessment(x: Column, i: Column) -> Column:
+        own = _some(
+            (~F.coalesce(F.array_contains("claims", x["claim_id"]), F.lit(False)), _entry("BLOCKER", "unknown_claim", place(i), x["claim_id"])),
+            (F.size(_list(x["cites"])) == 0, _entry("BLOCKER", "assessment_unsupported", place(i))),
+        )
+        each = F.transform(_list(x["cites"]), lambda y, k: _entry("BLOCKER", "cite_unresolved", F.concat(place(i), F.lit(".cites["), k.cast("string"), F.lit("]")), y, F.coalesce(y, F.lit(""))))
+        return F.concat(own, each)
+
+    missing = F.transform(F.array_except("claims", _list(F.col("assessed"))), lambda x: _entry("BLOCKER", "claim_not_assessed", F.concat(F.lit("claims."), x), x))
+    found = [
+        _some((F.col("a").isNull(), _entry("BLOCKER", "output_not_parseable_json", "(root)", F.substring("raw", 1, 80)))),
+        F.when(F.col("a").isNotNull(), missing).otherwise(F.array()),
+        F.flatten(F.transform(_list(F.col("a")), of_assessment)),
+    ]
+    return _unresolved(p.select("case_id", F.explode(F.concat(*[x.cast(f"array<{FINDING}>") for x in found])).alias("e")), known, files, prefixes)
 
 
 def in_order(violations: DataFrame) -> DataFrame:

@@ -6,24 +6,15 @@ taken in double.  Every ranking ends in a unique key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from decimal import ROUND_HALF_UP, Decimal
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import dims
+from quern.operators import pivots
 
 #: Queries (rows) up to which a query table is broadcast to the scan; beyond, scopes are joined by shuffle.
 BROADCAST_QUERIES = 10_000
 OVER_FETCH = (3, 15, 30)
-#: Rows of a block of vectors or queries; a task holds the distances between two blocks.
-BLOCK = 1024
-BLOCK_PARTS = ("ids", "cells", "dims", "flat")
-#: Hits (16 bytes each) that a task holds before it hands them on.
-HELD = 2_000_000
 
 
 def _c(c) -> Column:
@@ -77,7 +68,7 @@ def scored(queries: DataFrame, vectors: DataFrame, digits: int | None = None) ->
 def scoped_families(queries: DataFrame, vectors: DataFrame, per_family: int, always=("corpus", "failure_modes"), code_scopes=dims.CODE_SCOPES, digits: int | None = None) -> DataFrame:
     """Per query, the nearest ``per_family`` of each (scope, family) in its scopes; families outside ``always`` only in ``code_scopes``.
 
-    Whole-number ids go block by block; others, for a few queries, row by row.
+    Whole-number ids go by pruned blocks; others, for a few queries, row by row.
     """
     allowed = F.col("family").isin(*always) | F.col("scope").isin(*code_scopes)
     if "string" in (queries.schema["qid"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()):
@@ -92,100 +83,17 @@ def nearest(hits: DataFrame, n: int) -> DataFrame:
     return top_k(hits, ["qid"], [F.col("distance"), F.col("id")], n, "rank") if n > 0 else hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, cell, embedding) to rows of up to ``BLOCK`` vectors: ids, cells, dimensions, and the values padded to the longest, by rising id."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(at, BLOCK)
-            ids, cells, rows = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_pylist()
-            order = np.argsort(ids, kind="stable")
-            dims_ = np.array([len(rows[i] or ()) for i in order], np.int32)
-            flat = np.zeros((len(order), max(1, dims_.max())), np.float32)
-            for r, i in enumerate(order):
-                flat[r, : dims_[r]] = rows[i] or ()
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids[order].astype(np.int64), cells[order].astype(np.int64), dims_, flat)], names=list(BLOCK_PARTS))
-
-
-def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
-    """Half up by the shortest decimal, as Spark's round."""
-    scaled = x * 10.0**digits
-    out = np.floor(scaled + 0.5) / 10.0**digits
-    for i in zip(*np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6), strict=True):
-        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
-    return out
-
-
-def _block_distances(q: np.ndarray, v: np.ndarray, q_dims: np.ndarray, v_dims: np.ndarray) -> np.ndarray:
-    """1 - :func:`cosine` of all pairs, summed in the order of the SQL fold."""
-    sums, nq, nv = np.zeros((len(q), len(v))), np.zeros(len(q)), np.zeros(len(v))
-    q, v = q.astype(np.float64).T.copy(), v.astype(np.float64).T.copy()
-    for x in q:
-        nq += x * x
-    for y in v:
-        nv += y * y
-    for x, y in zip(q, v, strict=False):
-        sums += x[:, None] * y
-    long = np.sqrt(nq)[:, None] * np.sqrt(nv)
-    some = (q_dims[:, None] == v_dims) & (nq > 0)[:, None] & (nv > 0)
-    return 1 - np.where(some, sums / np.where(some, long, 1), 0.0)
-
-
-def _block_nearest(n: int, digits: int | None, mode: str):
-    """``mode``: "all"; "each", the nearest of every cell of the vectors; "unlike", the nearest of another cell than the query's."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bytes, int], tuple[np.ndarray, np.ndarray]] = {}  # the nearest so far of each block of queries and cell
-
-        def handed_on():
-            for (q_ids, _), (dist, near) in held.items():
-                qids, some = np.repeat(np.frombuffer(q_ids, np.int64), near.shape[1]), np.isfinite(dist.ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(qids[some]), pa.array(near.ravel()[some]), pa.array(dist.ravel()[some])], names=["qid", "id", "distance"])
-            held.clear()
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                (ids, cells, dims_), (qids, q_cells, q_dims) = ([np.frombuffer(r[s + k], t) for k, t in zip(BLOCK_PARTS, (np.int64, np.int64, np.int32), strict=False)] for s in ("", "q_"))
-                all_dist = _block_distances(np.frombuffer(r["q_flat"], np.float32).reshape(len(qids), -1), np.frombuffer(r["flat"], np.float32).reshape(len(ids), -1), q_dims, dims_)
-                all_dist = all_dist if digits is None else _rounded(all_dist, digits)
-                if mode == "unlike":
-                    all_dist[q_cells[:, None] == cells] = np.inf
-                for cell in np.unique(cells).tolist() if mode == "each" else [0]:
-                    here = cells == cell if mode == "each" else slice(None)
-                    dist, key = all_dist[:, here], (r["q_ids"], cell)
-                    best = np.argsort(dist, axis=1, kind="stable")[:, :n]  # ids rise inside a block
-                    dist, near = np.take_along_axis(dist, best, 1), ids[here][best]
-                    if key in held:
-                        dist, near = (np.concatenate(x, axis=1) for x in zip(held[key], (dist, near), strict=True))
-                        best = np.lexsort((near, dist), axis=1)[:, :n]
-                        dist, near = np.take_along_axis(dist, best, 1), np.take_along_axis(near, best, 1)
-                    held[key] = dist, near
-                if sum(x.size for x, _ in held.values()) > HELD:
-                    yield from handed_on()
-        yield from handed_on()
-
-    return search
-
-
 def _near(queries: DataFrame, vectors: DataFrame, n: int, digits: int | None, mode: str, q_cell=None, v_cell=None, columns=("family", "scope", "source", "doc")) -> DataFrame:
-    """Candidates (qid, id, ``columns``, distance): the ``n`` nearest that each task found, so all that can be among the nearest."""
-    kind = ", ".join(f"{c} binary" for c in BLOCK_PARTS)
-    none = F.lit(0).cast("long")
-    blocks = lambda df, key, cell: df.select(F.col(key).cast("long").alias("id"), (none if cell is None else cell).alias("cell"), "embedding").mapInArrow(_blocks, kind)
-    q = blocks(queries, "qid", q_cell).select(*[F.col(c).alias(f"q_{c}") for c in BLOCK_PARTS])
-    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    v = blocks(vectors, "id", v_cell).repartition(parts)
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    near = v.crossJoin(F.broadcast(q) if few else q).mapInArrow(_block_nearest(n, digits, mode), "qid long, id long, distance double")
+    """(qid, id, ``columns``, distance) of the nearest by :func:`pivots.nearest`: columns are fetched for them alone."""
+    none = F.lit(0)
+    q = queries.select("qid", (none if q_cell is None else q_cell).alias("cell"), "embedding")
+    v = vectors.select("id", (none if v_cell is None else v_cell).alias("cell"), "embedding")
+    near = pivots.nearest(q, v, n, digits, mode)
     return near.join(vectors.select("id", *columns), "id").select("qid", "id", *columns, "distance")
 
 
 def nearest_in_blocks(queries: DataFrame, vectors: DataFrame, n: int, digits: int | None = None) -> DataFrame:
-    """``nearest(scored(queries, vectors, digits), n)`` for queries of all scopes, whole-number ids and n > 0.
-
-    Blocks of queries meet blocks of vectors, and only the ``n`` nearest of each
-    query leave a task (more often beyond ``HELD`` of them), so the pairs themselves are never rows.
-    """
+    """``nearest(scored(queries, vectors, digits), n)`` for queries of all scopes, whole-number ids and n > 0, by pruned blocks."""
     return top_k(_near(queries, vectors, n, digits, "all"), ["qid"], [F.col("distance"), F.col("id")], n)
 
 
@@ -214,6 +122,7 @@ def filtered_after(hits: DataFrame, wanted: Column, n: int) -> DataFrame:
     return top_k(nearest(hits, over_fetch(n)).drop("rank").where(wanted), ["qid"], [F.col("distance"), F.col("id")], n)
 
 
+# Document types that hold rules.
 RULE_DOC_TYPES = ("anti_pattern", "pattern", "standard", "decision")
 
 

@@ -30,13 +30,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from quern import queries_more  # noqa: F401  registers its own
+    from quern import queries_extra, queries_more  # noqa: F401  they register their own
 
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    from quern import queries_more  # noqa: F401
+    from quern import queries_extra, queries_more  # noqa: F401
 
     return dict(_SQL)
 
