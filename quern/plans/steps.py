@@ -117,22 +117,32 @@ def split(steps: DataFrame, most: int = MAX_STEPS) -> DataFrame:
 
 
 def levels(steps: DataFrame) -> DataFrame:
-    """(plan_id, step_id, level): the longest dependency chain before each step; steps on or behind a cycle stay out.
+    """(plan_id, step_id, level, position): the longest dependency chain before each step, and its place, from 0, in the order of running.
+
+    ``steps``: plan_id, step_id, depends_on, and step_pos, without which steps stand by their ids.  Of the steps that are ready
+    the one runs first that became ready first, those of one moment by
+    ``step_pos``; so steps run level by level, inside a level by the place of the
+    dependency that ran last.  Steps on or behind a cycle stay out.
 
     A plan has at most ``MAX_STEPS`` steps (a longer one is an error: :func:`split` it
-    first), so each one is folded in one SQL expression: one round per step hands
-    every step its dependencies' levels.
+    first), so each one is folded in one SQL expression: a round a level hands its
+    steps their dependencies' places.
     """
     steps = steps.join(steps.groupBy("plan_id").agg(F.count("*").alias("_n")), "plan_id")
     too_long = F.raise_error(F.concat(F.lit("a plan has more steps than "), F.lit(str(MAX_STEPS)), F.lit(": "), F.col("plan_id").cast("string")))
     steps = steps.withColumn("plan_id", F.when(F.col("_n") > MAX_STEPS, too_long.cast(steps.schema["plan_id"].dataType)).otherwise(F.col("plan_id")))
-    s = steps.groupBy("plan_id").agg(F.collect_list(F.struct("step_id", F.array_distinct("depends_on").alias("deps"))).alias("steps"))
-    known = "map<string,int>"
+    pos = F.col("step_pos").cast("long") if "step_pos" in steps.columns else F.lit(0).cast("long")
+    one = F.struct(pos.alias("pos"), "step_id", F.array_distinct("depends_on").alias("deps"))
+    s = steps.groupBy("plan_id").agg(F.array_sort(F.collect_list(one)).alias("steps"))
+    known = "map<string,struct<level:int,position:int>>"
     ready = lambda acc, x: ~F.map_contains_key(acc, x["step_id"]) & F.forall(x["deps"], lambda d: F.map_contains_key(acc, d))
-    level = lambda acc, x: F.coalesce(F.array_max(F.transform(x["deps"], lambda d: F.element_at(acc, d))) + 1, F.lit(0))
-    add = lambda acc: F.map_concat(acc, F.map_from_entries(F.transform(F.filter(F.col("steps"), lambda x: ready(acc, x)), lambda x: F.struct(x["step_id"], level(acc, x)))))
-    folded = F.aggregate(F.sequence(F.lit(1), F.size("steps")), F.create_map().cast(known), lambda acc, i: add(acc).cast(known))
-    return s.select("plan_id", F.explode(folded).alias("step_id", "level"))
+    last = lambda acc, x: F.coalesce(F.array_max(F.transform(x["deps"], lambda d: F.element_at(acc, d)["position"])), F.lit(-1))
+    # Those ready now, by their last dependency's place, then their own in the plan.
+    found = lambda acc: F.array_sort(F.transform(F.filter(F.col("steps"), lambda x: ready(acc, x)), lambda x: F.struct(last(acc, x).alias("last"), x["pos"].alias("pos"), x["step_id"].alias("step_id"))))
+    placed = lambda acc, i: F.transform(found(acc), lambda x, k: F.struct(x["step_id"], F.struct((i - 1).cast("int").alias("level"), (F.size(acc) + k).cast("int").alias("position"))))
+    add = lambda acc, i: F.map_concat(acc, F.map_from_entries(placed(acc, i))).cast(known)
+    folded = F.aggregate(F.sequence(F.lit(1), F.size("steps")), F.create_map().cast(known), add)
+    return s.select("plan_id", F.explode(folded).alias("step_id", "x")).select("plan_id", "step_id", "x.level", "x.position")
 
 
 def aggregate(results: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions import dims, text
 from quern.operators import chunkers, datasets, evalx, graph, ledger, sync, vectors
 from quern.plans import steps
+from quern.shared import new_folder
 from quern.streaming import ledgers
 
 FLAGSHIP = "code_windows"
@@ -597,8 +598,9 @@ def plan_split(spark, d):
 
 @query("""
 WITH RECURSIVE s AS (SELECT l_orderkey AS plan, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))::INT AS step FROM lineitem), e AS (SELECT plan, step, step // 2 AS dep FROM s WHERE step // 2 >= 1 UNION SELECT plan, step, step - 2 FROM s WHERE step - 2 >= 1),
-r AS (SELECT plan, step, 0 AS level FROM s WHERE step = 1 OR NOT EXISTS (SELECT 1 FROM e WHERE e.plan = s.plan AND e.step = s.step) UNION ALL SELECT e.plan, e.step, r.level + 1 FROM e JOIN r ON r.plan = e.plan AND r.step = e.dep)
-SELECT plan, step, max(level)::INT AS level FROM r GROUP BY plan, step
+r AS (SELECT plan, step, 0 AS level, [step] AS path FROM s WHERE step = 1 OR NOT EXISTS (SELECT 1 FROM e WHERE e.plan = s.plan AND e.step = s.step) UNION ALL SELECT e.plan, e.step, r.level + 1, list_append(r.path, e.step) FROM e JOIN r ON r.plan = e.plan AND r.step = e.dep),
+l AS (SELECT plan, step, max(level)::INT AS level, arg_max(path, {'l': level, 'p': path}) AS path FROM r GROUP BY plan, step)
+SELECT plan, step, level, (row_number() OVER (PARTITION BY plan ORDER BY level, path) - 1)::INT AS position FROM l
 """)
 def topo_levels(spark, d):
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
@@ -606,8 +608,8 @@ def topo_levels(spark, d):
     n = F.col("n")
     name = lambda c: c.cast("int").cast("string")
     deps = F.array_distinct(F.array_compact(F.array(F.when(F.floor(n / 2) >= 1, name(F.floor(n / 2))), F.when(n - 2 >= 1, name(n - 2)))))
-    s = li.select(F.col("l_orderkey").cast("string").alias("plan_id"), name(n).alias("step_id"), deps.alias("depends_on"))
-    return steps.levels(s).select(F.col("plan_id").cast("long").alias("plan"), F.col("step_id").cast("int").alias("step"), "level")
+    s = li.select(F.col("l_orderkey").cast("string").alias("plan_id"), n.alias("step_pos"), name(n).alias("step_id"), deps.alias("depends_on"))
+    return steps.levels(s).select(F.col("plan_id").cast("long").alias("plan"), F.col("step_id").cast("int").alias("step"), "level", "position")
 
 
 @query("""
@@ -625,14 +627,8 @@ def token_economy(spark, d):
 # ---------------------------------------------------------------- streams
 
 
-def _streamed(spark, d, name: str, transform, mode: str, schema: str) -> DataFrame:
-    import uuid
-
-    view = f"quern_{name}_{uuid.uuid4().hex}"
-    src = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/event[s].parquet")
-    q = transform(src).writeStream.format("memory").queryName(view).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(view)
+def _events(spark, d) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/event[s].parquet")
 
 
 _SLOG = "SELECT CASE event_id % 3 WHEN 0 THEN 'hit' WHEN 1 THEN 'miss' ELSE 'store' END AS event, user_id AS creation FROM events"
@@ -642,16 +638,19 @@ _SLOG = "SELECT CASE event_id % 3 WHEN 0 THEN 'hit' WHEN 1 THEN 'miss' ELSE 'sto
 def stream_event_counts(spark, d):
     """An append-only cache log as a stream, counted until it is drained."""
     m = F.col("event_id") % 3
-    log = lambda s: s.select(F.when(m == 0, "hit").when(m == 1, "miss").otherwise("store").alias("event"), F.col("user_id").cast("long").alias("cache_creation_tokens"))
-    return _streamed(spark, d, "counts", lambda s: ledgers.cache_counts(log(s)), "complete", "")
+    log = _events(spark, d).select(F.when(m == 0, "hit").when(m == 1, "miss").otherwise("store").alias("event"), F.col("user_id").cast("long").alias("cache_creation_tokens"))
+    at = new_folder(spark, "counts")
+    ledgers.run_to_end(ledgers.into_table(ledgers.cache_counts(log), f"{at}/table", f"{at}/mark", "complete"), spark)
+    return ledgers.last_batch(spark, f"{at}/table")
 
 
 @query(f"WITH {_EFF.replace(', f AS', ', g AS (SELECT turn_id, r.* FROM e), f AS')} SELECT turn_id, phase, label, reaction, line_no, label = 'retracted' AS removed FROM g")
 def stream_effective(spark, d):
-    """Each turn's standing reaction after a stream of reactions: the last update of every turn."""
-    m = F.col("event_id")
-    rows = lambda s: s.select(
-        F.when(F.col("user_id") % 9 == 0, "none").otherwise(F.concat(F.lit("t"), F.col("user_id").cast("string"))).alias("turn_id"), F.when(m % 10 == 0, "retro").otherwise("live").alias("phase"),
-        F.when(m % 7 == 0, "retracted").when(m % 7 == 1, "wrong").when(m % 7 == 2, "confirmed").otherwise("").alias("label"), F.when(m % 3 == 0, "accept").when(m % 3 == 1, "reject").otherwise("partial").alias("reaction"), m.cast("long").alias("line_no"),
-    )
-    return _streamed(spark, d, "effective", lambda s: ledgers.effective_updates(rows(s)), "update", "")
+    """Each turn's standing reaction after a stream of reactions in several batches: live lines first, corrections in a later run."""
+    at = new_folder(spark, "effective")
+    rows = _reactions(spark, d).select("turn_id", "phase", "label", "reaction", "line_no")
+    for phase in ("live", "retro"):
+        rows.where(F.col("phase") == phase).repartition(4).write.mode("append").json(f"{at}/log")
+        log = ledgers.read_log(spark, f"{at}/log", ledgers.REACTIONS, per_trigger=2)
+        ledgers.run_to_end(ledgers.into_table(ledgers.effective_updates(log), f"{at}/table", f"{at}/mark", "update"), spark)
+    return ledgers.latest(spark, f"{at}/table", "turn_id")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quern.functions import ids, text
 from quern.operators import chunkers, context, datasets, evalx, graph, ledger, promotion, reports, symbols, sync, terms, vectors
 from quern.plans import generate, index, steps
-from quern.queries import _streamed, query, table
+from quern.queries import query, table
+from quern.shared import new_folder
 from quern.sources import tables
 from quern.streaming import ledgers
 
@@ -587,18 +588,10 @@ def triplet_accuracy(spark, d):
 # ---------------------------------------------------------------- files and streams
 
 
-def _scratch(spark, name: str) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
-    return f"{base.rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'universal' ELSE o_orderstatus END AS scope, o_orderpriority AS body FROM orders")
 def json_by_scope(spark, d):
     """Rows written as JSON lines by scope and read again."""
-    at = _scratch(spark, "json")
+    at = new_folder(spark, "json")
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.col("o_orderstatus")).alias("scope"), F.col("o_orderpriority").alias("body"))
     tables.write_json_by_scope(o, at, ["id"])
     return tables.read_json(spark, at, "id long, body string, scope string").select("id", "scope", "body")
@@ -607,7 +600,7 @@ def json_by_scope(spark, d):
 @query("SELECT o_orderkey AS id, o_orderstatus AS scope FROM orders")
 def generations(spark, d):
     """Two generations of a table: the second one is current, and cleaning removes the first."""
-    at = _scratch(spark, "generations")
+    at = new_folder(spark, "generations")
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("scope"), F.lit("corpus").alias("family"))
     tables.write_generation(spark, at, o.where("id % 2 = 0"), o.select("id").limit(1), "1")
     tables.write_generation(spark, at, o, o.select("id").limit(1), "2")
@@ -619,12 +612,12 @@ def generations(spark, d):
 @query("SELECT event_id AS id, event_type FROM events")
 def stream_appends(spark, d):
     """Rows appended twice by their key: the second run adds nothing."""
-    at = _scratch(spark, "appends")
+    at = new_folder(spark, "appends")
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     for run in (1, 2):
         rows = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").select(F.col("event_id").alias("id"), "event_type")
         ledgers.append_new(rows, f"{at}/table", "id", f"{at}/run{run}").start().awaitTermination()
-    return spark.read.parquet(f"{at}/table")
+    return ledgers.appended(spark, f"{at}/table")
 
 
 @query("SELECT doc_id::VARCHAR AS id, strlen(text) > 0 AS some, 64 AS dims FROM documents")
@@ -653,7 +646,7 @@ def cache_by_key(spark, d):
 @query(f"WITH f AS (SELECT *, {_JAVA_SRC} AS source FROM part) SELECT source, 1 AS line, 'com.p' || p_partkey AS text, 'core-api' AS repo FROM f UNION ALL SELECT source, 3, 'C' || p_partkey, 'core-api' FROM f")
 def item_files(spark, d):
     """Symbols written by repository and kind, and read again."""
-    at = _scratch(spark, "items")
+    at = new_folder(spark, "items")
     tables.write_items(_java(spark, d), at)
     return tables.read_items(spark, at, kind="symbol").select("source", "line", "text", "repo")
 
@@ -661,7 +654,7 @@ def item_files(spark, d):
 @query("SELECT event_id + 1 AS line_no, event_type FROM events WHERE event_id % 10 <> 3")
 def ledger_lines(spark, d):
     """A ledger file with blank lines in it, read with line numbers."""
-    at = _scratch(spark, "ledger")
+    at = new_folder(spark, "ledger")
     e = table(spark, d, "events").orderBy("event_id")
     e.select(F.when(F.col("event_id") % 10 == 3, "").otherwise(F.to_json(F.struct("event_id", "event_type"))).alias("value")).coalesce(1).write.text(at)
     log = tables.json_log(spark, at, "event_id long, event_type string").where("NOT bad")

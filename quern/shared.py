@@ -27,10 +27,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
 
 
-def table_at(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at ``path``; None where none was written yet."""
+def table_at(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """The Parquet table at ``path``, with its own schema if none is given; None where none was written yet."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
