@@ -106,7 +106,7 @@ def prompt_check(spark, a) -> int:
     at = tables.current(spark, a.out)
     chunks = spark.read.parquet(f"{at}/chunks")
     files = spark.read.parquet(f"{at}/sources").select("path", F.col("sha").alias("indexed_sha"))
-    live = tree.read_tree(spark, a.root).select("path", F.col("sha").alias("live_sha"))
+    live = tree.read_tree(spark, a.root, content="false").select("path", F.col("sha").alias("live_sha"))
     found = graph.resolved(graph.document_cites(docs), graph.first_sources(chunks), live.join(files, "path", "left"))
     bad = found.where("status = 'unresolved'").orderBy("doc", "line")
     show(bad.select("doc", "line", "cite"))

@@ -296,10 +296,6 @@ def fold(f: Callable[[list[str]], list[str]]):
     return run
 
 
-def file_sha1(raw: bytes) -> str:
-    return hashlib.sha1(raw).hexdigest()
-
-
 HEADING_AT_START = re.compile(r"(#{1,6}) ")
 
 

@@ -229,11 +229,6 @@ def suite_set_verdict(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(F.max_by("verdict", rank).alias("verdict"))
 
 
-def claim_stats(assessments: DataFrame) -> DataFrame:
-    """(verdict, n) over assessments, for claim statistics."""
-    return assessments.groupBy("verdict").count().withColumnRenamed("count", "n")
-
-
 def bucket_score(expected: DataFrame, surfaced: DataFrame) -> DataFrame:
     """(case_id, bucket, found, missing): expected cites against surfaced ones."""
     e = expected.groupBy("case_id", "bucket").agg(F.array_sort(F.collect_set("cite")).alias("e"))

@@ -8,6 +8,7 @@ from quern.functions import text
 from quern.operators import evalx, segments, vectors
 from quern.queries import _DIFF, _FAM, _HITS, _NEW, _asked, _pair, _vectors, query, table
 from quern.shared import new_folder
+from quern.sources import tree
 
 # ---------------------------------------------------------------- cites that name files
 
@@ -116,3 +117,18 @@ def commit_message_cites(spark, d):
     s = lambda c: c.cast("string")
     message = F.concat(F.lit("Fix D"), s(n % 7), F.lit(" and SB-"), s(n), F.lit(", see CI"), s(n % 5), F.lit("; D"), s(n % 7), F.lit(" again\n"), F.coalesce("text", F.lit("")))
     return table(spark, d, "documents").select("doc_id", F.array_join(text.commit_cites(message), ",").alias("cites"))
+
+
+# ---------------------------------------------------------------- trees
+
+
+@query("SELECT CASE WHEN doc_id % 4 = 0 THEN 'a' WHEN doc_id % 4 = 1 THEN 'b' ELSE 'c' END AS folder, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents WHERE doc_id % 4 < 2 GROUP BY ALL")
+def tree_bytes(spark, d):
+    """Documents written as files in three folders, and the sizes of two of them read as a tree by path, without contents."""
+    at = new_folder(spark, "tree")
+    n = F.col("doc_id") % 4
+    docs = table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value"), F.when(n == 0, "a").when(n == 1, "b").otherwise("c").alias("folder"))
+    docs.write.partitionBy("folder").text(f"{at}/x")
+    t = tree.read_tree(spark, at.removeprefix("file:"), exts=".txt", content="false")
+    t = t.where(F.col("path").startswith("x/folder=a/") | F.col("path").startswith("x/folder=b/"))
+    return t.groupBy(F.regexp_extract("path", "folder=([a-z])/", 1).alias("folder")).agg(F.sum("length").alias("bytes"))

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 def session(master: str = "local[*]", partitions: int | None = None, **conf) -> SparkSession:
     """UTC, adaptive plans, Arrow; ``partitions`` sets the shuffle partitions (a cluster's default: leave to AQE)."""
-    b = SparkSession.builder.master(master).appName("quern").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true").config("spark.sql.execution.arrow.pyspark.enabled", "true").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    b = SparkSession.builder.master(master).appName("quern").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true").config("spark.sql.execution.arrow.pyspark.enabled", "true").config("spark.sql.python.filterPushdown.enabled", "true").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", partitions)
     for k, v in conf.items():

@@ -3,8 +3,13 @@
 Options: ``root``; ``exts`` (comma-joined, with dots; empty for all); ``skip``
 (folder names to prune); ``ref`` (read a git ref instead of files);
 ``tracked`` (only files that git tracks); ``max_bytes``; ``slices`` (read
-partitions).  Rows: path, sha, length, content.  The walk lists paths on the
+partitions); ``content`` (``false``: rows without it, and no file is opened whose
+hash git knows).  Rows: path, sha, length, content.  The walk lists paths on the
 driver; contents are read in the tasks.
+
+Where ``spark.sql.python.filterPushdown.enabled`` is set when :func:`read_tree` is called, filters on ``path``
+(equal, in, prefix, suffix) and on ``length`` keep files from being opened; a
+prefix keeps folders from being walked.
 """
 
 from __future__ import annotations
@@ -12,13 +17,16 @@ from __future__ import annotations
 import hashlib
 import os
 import subprocess
+import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import datasource as ds
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SKIP = (".git", "node_modules", "target", "dist", "build", ".idea", ".vscode", "v1", ".worktrees", "short-term")
-CODE_SKIP = (*SKIP, "vendor", "coverage")
 SCHEMA = "path string, sha string, length long, content binary"
+BARE = "path string, sha string, length long"
 HEAD, MAX_FILE = 4096, 2 << 20
 
 
@@ -32,8 +40,46 @@ def checked_ref(ref: str) -> str:
     return ref
 
 
-def git(root: str, *args: str) -> bytes:
-    return subprocess.run(["git", "-C", root, *args], check=True, capture_output=True).stdout
+def git(root: str, *args: str, given: str | None = None) -> bytes:
+    return subprocess.run(["git", "-C", root, *args], check=True, capture_output=True, input=None if given is None else given.encode()).stdout
+
+
+def git_lines(root: str, *args: str, given: str) -> Iterator[bytes]:
+    """The output's lines one by one."""
+    with tempfile.TemporaryFile() as asked:
+        asked.write(given.encode())
+        asked.seek(0)
+        with subprocess.Popen(["git", "-C", root, *args], stdin=asked, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as p:
+            yield from p.stdout
+    if p.returncode:
+        raise subprocess.CalledProcessError(p.returncode, args)
+
+
+class Blobs:
+    """Contents of blobs by hash, all through one git process."""
+
+    def __init__(self, root: str):
+        self.root, self.process = root, None
+
+    def __enter__(self):
+        self.process = subprocess.Popen(["git", "-C", self.root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        return self
+
+    def __exit__(self, *_):
+        self.process.stdin.close()
+        self.process.stdout.close()
+        self.process.wait()
+
+    def read(self, sha: str) -> bytes | None:
+        """The blob's content; None where ``sha`` names no blob, as for a submodule."""
+        self.process.stdin.write(sha.encode() + b"\n")
+        self.process.stdin.flush()
+        head = self.process.stdout.readline().split()
+        if len(head) < 3:
+            return None
+        raw = self.process.stdout.read(int(head[2]))
+        self.process.stdout.read(1)
+        return raw if head[1] == b"blob" else None
 
 
 def tracked_shas(root: str) -> dict[str, str]:
@@ -45,16 +91,21 @@ def tracked_shas(root: str) -> dict[str, str]:
     return {(p := line.partition("\t"))[2]: p[0].split()[1] for line in out.split("\0") if line}
 
 
-def ref_shas(root: str, ref: str) -> dict[str, str]:
-    out = git(root, "ls-tree", "-r", "-z", checked_ref(ref)).decode("utf-8", "surrogateescape")
-    return {(p := line.partition("\t"))[2]: p[0].split()[2] for line in out.split("\0") if line}
+def ref_shas(root: str, ref: str) -> dict[str, tuple[str, int]]:
+    """Path to hash and length of the blobs of a ref."""
+    out = git(root, "ls-tree", "-r", "-l", "-z", checked_ref(ref)).decode("utf-8", "surrogateescape")
+    rows = ((line.partition("\t")[2], line.partition("\t")[0].split()) for line in out.split("\0") if line)
+    return {name: (x[2], int(x[3])) for name, x in rows if x[1] == "blob"}
 
 
-def walk(root: str, skip: tuple[str, ...]) -> list[str]:
+def walk(root: str, skip: tuple[str, ...], prefix: str = "") -> list[str]:
+    """Paths below ``root`` that start with ``prefix``; only folders that can hold one are read."""
     out = []
     for folder, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in skip)
-        out += [os.path.relpath(os.path.join(folder, n), root).replace(os.sep, "/") for n in sorted(names)]
+        at = os.path.relpath(folder, root).replace(os.sep, "/")
+        at = "" if at == "." else at + "/"
+        dirs[:] = sorted(d for d in dirs if d not in skip and (prefix.startswith(f"{at}{d}/") or f"{at}{d}/".startswith(prefix)))
+        out += [at + n for n in names if (at + n).startswith(prefix)]
     return sorted(out)
 
 
@@ -63,6 +114,22 @@ class Slice(InputPartition):
     files: list
 
 
+#: Filters that a file's path decides, and those that its length decides.
+ON_PATH = {
+    ds.EqualTo: lambda f, x: x == f.value,
+    ds.In: lambda f, x: x in f.value,
+    ds.StringStartsWith: lambda f, x: x.startswith(f.value),
+    ds.StringEndsWith: lambda f, x: x.endswith(f.value),
+}
+ON_LENGTH = {
+    ds.EqualTo: lambda f, x: x == f.value,
+    ds.LessThan: lambda f, x: x < f.value,
+    ds.LessThanOrEqual: lambda f, x: x <= f.value,
+    ds.GreaterThan: lambda f, x: x > f.value,
+    ds.GreaterThanOrEqual: lambda f, x: x >= f.value,
+}
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, options):
         self.root = real_root(options["root"])
@@ -70,35 +137,70 @@ class TreeReader(DataSourceReader):
         self.exts = tuple(x.strip().lower() for x in options.get("exts", "").split(",") if x.strip())
         self.skip = tuple(x for x in options.get("skip", ",".join(SKIP)).split(",") if x)
         self.tracked = options.get("tracked", "false").lower() == "true"
+        self.content = options.get("content", "true").lower() == "true"
         self.most = int(options.get("max_bytes", "0"))
         self.slices = int(options.get("slices", "8"))
+        self.on_path: list = []
+        self.on_length: list = []
+
+    def wanted(self, name: str) -> bool:
+        return (not self.exts or os.path.splitext(name)[1].lower() in self.exts) and all(ON_PATH[type(f)](f, name) for f in self.on_path)
+
+    def fits(self, length: int) -> bool:
+        return not (self.most and length > self.most) and all(ON_LENGTH[type(f)](f, length) for f in self.on_length)
 
     def partitions(self):
+        prefix = max((f.value for f in self.on_path if isinstance(f, (ds.StringStartsWith, ds.EqualTo))), key=len, default="")
         if self.ref:
-            shas = ref_shas(self.root, self.ref)
-            names = [n for n in sorted(shas) if not set(n.split("/")[:-1]) & set(self.skip)]
+            found = ref_shas(self.root, self.ref)
+            files = [(n, sha, size) for n, (sha, size) in sorted(found.items()) if not set(n.split("/")[:-1]) & set(self.skip)]
         else:
             shas = tracked_shas(self.root)
-            names = sorted(shas) if self.tracked else walk(self.root, self.skip)
-        files = [(n, shas.get(n)) for n in names if not self.exts or os.path.splitext(n)[1].lower() in self.exts]
+            files = [(n, shas.get(n), None) for n in (sorted(shas) if self.tracked else walk(self.root, self.skip, prefix))]
+        files = [f for f in files if self.wanted(f[0]) and (f[2] is None or self.fits(f[2]))]
         return [Slice(files[i :: self.slices]) for i in range(min(self.slices, len(files)))] or [Slice([])]
 
+    def row(self, name: str, sha: str, length: int, raw: bytes | None):
+        return (name, sha, length, raw) if self.content else (name, sha, length)
+
     def read(self, partition):
-        for name, sha in partition.files:
-            if self.ref:
-                raw = git(self.root, "cat-file", "blob", sha)
-            else:
+        if self.ref and not self.content:
+            for name, sha, size in partition.files:
+                yield self.row(name, sha, size, None)
+        elif self.ref:
+            with Blobs(self.root) as blobs:
+                for name, sha, size in partition.files:
+                    yield self.row(name, sha, size, blobs.read(sha))
+        else:
+            for name, sha, _ in partition.files:
                 full = os.path.join(self.root, name)
                 try:
-                    if self.most and os.path.getsize(full) > self.most:
+                    size = os.path.getsize(full)
+                    if not self.fits(size):
+                        continue
+                    if sha and not self.content:
+                        yield self.row(name, sha, size, None)
                         continue
                     with open(full, "rb") as f:
                         raw = f.read()
                 except OSError:
                     continue
-            if self.most and len(raw) > self.most:
-                continue
-            yield name, sha or hashlib.sha1(raw).hexdigest(), len(raw), raw
+                if self.fits(len(raw)):
+                    yield self.row(name, sha or hashlib.sha1(raw).hexdigest(), len(raw), raw)
+
+
+class PushingReader(TreeReader):
+    """A reader that takes filters; Spark refuses it where pushdown is off."""
+
+    def pushFilters(self, filters):  # noqa: N802  the name that Spark calls
+        """Takes the filters on path and length that it knows; all others stay with Spark."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("path",) and type(f) in ON_PATH:
+                self.on_path.append(f)
+            elif getattr(f, "attribute", None) == ("length",) and type(f) in ON_LENGTH:
+                self.on_length.append(f)
+            else:
+                yield f
 
 
 class TreeSource(DataSource):
@@ -107,16 +209,16 @@ class TreeSource(DataSource):
         return "tree"
 
     def schema(self):
-        return SCHEMA
+        return SCHEMA if self.options.get("content", "true").lower() == "true" else BARE
 
     def reader(self, schema):
-        return TreeReader(self.options)
+        return PushingReader(self.options) if self.options.get("pushdown", "false") == "true" else TreeReader(self.options)
 
 
 def read_tree(spark, root: str, **options):
     """The files below ``root`` as a DataFrame, registered source and all."""
     spark.dataSource.register(TreeSource)
-    reader = spark.read.format("tree").option("root", root)
+    reader = spark.read.format("tree").option("root", root).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     for k, v in options.items():
         reader = reader.option(k, str(v))
     return reader.load()
