@@ -79,13 +79,57 @@ def test_recall_and_precision_on_held_out_text():
     assert wrong <= 0.02 * len(rows), wrong
 
 
+#: Forms that the training table doesn't hold, by kind; {d} and so on as there.
+NEW = {
+    "phone": ["({d4}) {d7}", "0{d3} {d3} {d4}", "{d3} {d3}-{d4}", "({d3}) {d7}", "0{d3}-{d3}-{d4}", "0{d2}-{d4}-{d4}", "0{d4}/{d6}"],
+    "email": ["{w}.{w} AT {w} dot com", "{w} at {w} dot {w} dot org", "{w}_{d2} (AT) {w} (DOT) net", "{w}[AT]{w}.io", "{w}-{w} at {w} dot de"],
+    "secret": ["github_pat_11{m9}0{m5}_{m20}", "sk_live_4e{m22}", "aws_secret_access_key: {m5}3{m9}/{m6}/{m14}", "pw: {m4}b4{m4}&3{m4}", "ghp_{m16}7{m18}", "SLACK_TOKEN=xoxb-{d11}-{m10}5{m12}", "passphrase = {m5}!{m4}7{m6}", '"client_secret": "{m4}~{m9}4{m12}"', "Bearer {m6}.{m12}8{m9}.{m14}", "npm_{m10}6{m24}"],
+    None: ["978 3 16 148410 0", "order 4{d3}-{d3}-{d4}", "ISBN-13 978-0-306-40615-7", "account no. {d4} {d4} {d4}", "invoice 20{d2}-{d3}-{d4}", "id {d4}-{d4}-{d4}", "rev {h40}", "uuid {h8}-{h4}-{h4}-{h4}-{h12}", "looked at the dot com years", "{w} at 12 dot 30", "https://{w}.org/{w}/{d6}/{w}-{w}-{w}-{d2}", "{w}_{w}_{w}_{w}_{d6}.csv", "at {w} or dot {w}", "between {d4} and {d4}-{d4}"],
+}
+
+
+def found_in_new_forms(n=40, seed=21):
+    """(kind, form) to the share of texts whose span is found whole, and of those in which anything else is."""
+    rng, crf, out = random.Random(seed), pii.trained(), {}
+    words = "an or two it was then so very much as we know from it long ago".split()
+    for kind, forms in NEW.items():
+        for form in forms:
+            right = other = 0
+            for _ in range(n):
+                before, body = " ".join(rng.choices(words, k=rng.randint(0, 6))), pii.filled(form, rng)
+                text = (before + " " + body).lstrip() + " " + " ".join(rng.choices(words, k=3))
+                at = len((before + " ").lstrip())
+                value = re.search(r"\S+$", body)[0].strip("\"'") if kind == "secret" else body
+                value = re.split(r"[=:](?=[^=:]{8,}$)", value)[-1] if kind == "secret" and "=" in value[:-1] else value
+                want = None if kind is None else (at + body.rindex(value), at + body.rindex(value) + len(value), pii.KINDS.index(kind))
+                base, every = pii.find_spans([text], crf)[0]
+                right += want in every
+                other += any(x != want for x in set(every) - set(base))
+            out[kind, form] = right / n, other / n
+    return out
+
+
+def test_new_forms():
+    """Recall of each form that wasn't trained on, and what is wrongly found in look-alikes."""
+    got = found_in_new_forms()
+    for kind, least in (("phone", 0.9), ("email", 0.75), ("secret", 0.9)):
+        some = {k: v[0] for k, v in got.items() if k[0] == kind}
+        assert sum(some.values()) / len(some) >= least and min(some.values()) >= 0.6, some
+    alike = [v[1] for k, v in got.items() if k[0] is None]
+    assert sum(alike) / len(alike) <= 0.05, {k: v for k, v in got.items() if k[0] is None and v[1]}
+
+
 def test_spans_of_documents():
-    """Every planted access token of the tables is found, and next to nothing else is added to the patterns."""
+    """Every planted access token of the tables is found, and next to nothing else is added to the patterns.
+
+    Two card numbers side by side are one match of the card pattern, which fails; the CRF adds each.
+    """
     texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
     token = re.compile(r'(?i)token = "([0-9a-f]{40})"')
     want = {(i, m.start(1), m.end(1)) for i, t in enumerate(texts) for m in token.finditer(t or "")}
     got = {(i, s, e) for i, (base, every) in enumerate(pii.find_spans(texts, pii.trained())) for s, e, _ in set(every) - set(base)}
-    assert len(want) > 10 and len(want & got) >= 0.97 * len(want) and len(got - want) <= 2
+    cards = {x for x in got - want if re.fullmatch("[0-9]{16}", texts[x[0]][x[1] : x[2]]) and pii.luhn(texts[x[0]][x[1] : x[2]])}
+    assert len(want) > 10 and len(want & got) >= 0.97 * len(want) and len(got - want - cards) <= 2
 
 
 def test_decoding_is_exact():
