@@ -2,25 +2,33 @@
 
 A model is any callable from a list of prompts to a list of answers (or one that
 raises).  It runs inside Arrow batches on the executors; how many calls run at
-once is the number of partitions times cores.  Nothing here retries across
-batches: rows that failed come out with their failure, and a rerun picks up
-those that have no answer yet.
+once is the number of partitions.  Nothing here retries across batches: rows that
+failed come out with their failure, and a rerun picks up those that have no
+answer yet.  :func:`generate` writes wave by wave, so that what is lost with an
+executor or a driver is at most a wave.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.shared import table_at
+
+log = logging.getLogger(__name__)
 
 Model = Callable[[list[str]], list[str]]
 BATCH = 100
-FAILURES = ("call", "parse", "empty", "identical", "length", "ids")
+FAILURES = ("call", "parse", "empty", "identical", "length")
+LEDGERS = "anchor_id string, anchor string, positive string, attempts int, failure string, failed boolean"
+#: Anchors of a wave, and calls at once.
+WAVE, CALLS = 10_000, 8
 
 
 def stub(prompts: list[str]) -> list[str]:
@@ -118,6 +126,42 @@ def paraphrases(triples: DataFrame, model: Model, done: DataFrame | None = None,
     return triples.select(F.col("anchor_id").cast("string").alias("anchor_id"), "anchor").mapInPandas(run, "anchor_id string, anchor string, positive string, attempts int, failure string")
 
 
+def generate(spark: SparkSession, triples: DataFrame, model: Model, root: str, wave: int = WAVE, calls: int = CALLS, tries: int = 2) -> int:
+    """Ask for the positives of ``triples`` (anchor_id, anchor) that have none below ``root``; how many were asked for.
+
+    Answers and failures go to two ledgers below ``root`` (partitions ``failed``),
+    which each wave appends to before the next begins.  A rerun asks for what has
+    no answer, so also for what failed.  ``wave`` anchors are one job, of which at
+    most ``calls`` tasks call the model, each one call at a time.  Repeated anchors
+    are asked for once.
+    """
+    done = table_at(spark, root, LEDGERS)  # as it stands now: later waves don't show
+    todo = triples.select(F.col("anchor_id").cast("string").alias("anchor_id"), "anchor").where("anchor_id IS NOT NULL").dropDuplicates(["anchor_id"])
+    if done is not None:
+        todo = todo.join(done.where("NOT failed").select("anchor_id"), "anchor_id", "left_anti")
+    n = todo.count()
+    waves = -(-n // wave)
+    for i in range(waves):
+        part = todo.where(F.pmod(F.xxhash64("anchor_id"), F.lit(waves)) == i)
+        out = paraphrases(part.repartition(calls), model, tries=tries).withColumn("failed", F.col("failure").isNotNull())
+        out.write.partitionBy("failed").mode("append").parquet(root)
+        log.info("%s: wave %d of %d written", root, i + 1, waves)
+    return n
+
+
+def ledgers(spark: SparkSession, root: str) -> DataFrame:
+    """The answers and failures below ``root``, told apart by ``failed``."""
+    return spark.read.schema(LEDGERS).parquet(root)
+
+
+def failures_by_kind(pairs: DataFrame) -> DataFrame:
+    """(kind, n): how many anchors that have no answer yet failed in which way, for every kind; an anchor counts once for each."""
+    kinds = pairs.sparkSession.createDataFrame([(k,) for k in FAILURES], "kind string")
+    answered = pairs.where("failure IS NULL").select("anchor_id")
+    open_ = pairs.where("failure IS NOT NULL").join(answered, "anchor_id", "left_anti").select("anchor_id", F.col("failure").alias("kind")).distinct()
+    return F.broadcast(kinds).join(open_.groupBy("kind").agg(F.count("*").alias("c")), "kind", "left").select("kind", F.coalesce("c", F.lit(0)).alias("n"))
+
+
 def generation_stats(pairs: DataFrame) -> DataFrame:
     """One row: answers, failures, mean length ratio, and how many anchors with artifact ids kept one."""
     ok = F.col("failure").isNull()

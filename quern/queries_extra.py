@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.operators import evalx, segments, vectors
+from quern.plans import generate
 from quern.queries import _DIFF, _FAM, _HITS, _NEW, _asked, _pair, _vectors, query, table
 from quern.shared import new_folder
 from quern.sources import tree
@@ -132,3 +135,37 @@ def tree_bytes(spark, d):
     t = tree.read_tree(spark, at.removeprefix("file:"), exts=".txt", content="false")
     t = t.where(F.col("path").startswith("x/folder=a/") | F.col("path").startswith("x/folder=b/"))
     return t.groupBy(F.regexp_extract("path", "folder=([a-z])/", 1).alias("folder")).agg(F.sum("length").alias("bytes"))
+
+
+# ---------------------------------------------------------------- generation in waves
+
+
+def _shaky(prompts: list[str]) -> list[str]:
+    """A stand-in whose calls fail for every third anchor, and whose answers for every seventh are no JSON."""
+    n = int(prompts[0].rsplit(" ", 1)[1])
+    if n % 3 == 0:
+        raise RuntimeError("no answer")
+    return ["no json" if n % 7 == 0 else json.dumps({"answer": prompts[0].upper()})]
+
+
+def _steady(prompts: list[str]) -> list[str]:
+    return [json.dumps({"answer": "again " + prompts[0]})]
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_name || ' ' || p_partkey AS anchor, CASE WHEN p_partkey % 3 = 0 THEN 'call' WHEN p_partkey % 7 = 0 THEN 'parse' END AS failure FROM part)
+SELECT k::VARCHAR AS anchor_id, CASE WHEN failure IS NULL THEN upper(anchor) ELSE 'again ' || anchor END AS positive, NULL AS failure FROM p UNION ALL SELECT k::VARCHAR, NULL, failure FROM p WHERE failure IS NOT NULL
+""")
+def generated_in_waves(spark, d):
+    """Two runs into the same ledgers: the second asks only for what failed in the first."""
+    at = new_folder(spark, "generated")
+    anchors = table(spark, d, "part").selectExpr("CAST(p_partkey AS STRING) AS anchor_id", "concat(p_name, ' ', p_partkey) AS anchor")
+    for model in (_shaky, _steady):
+        generate.generate(spark, anchors, model, at, wave=10_000, calls=4)
+    return generate.ledgers(spark, at).select("anchor_id", "positive", "failure")
+
+
+@query("SELECT kind, (SELECT count(*) FROM part WHERE CASE kind WHEN 'call' THEN p_partkey % 3 = 0 WHEN 'parse' THEN p_partkey % 3 <> 0 AND p_partkey % 7 = 0 ELSE false END) AS n FROM (VALUES ('call'), ('parse'), ('empty'), ('identical'), ('length')) t(kind)")
+def failure_kinds(spark, d):
+    anchors = table(spark, d, "part").selectExpr("CAST(p_partkey AS STRING) AS anchor_id", "concat(p_name, ' ', p_partkey) AS anchor")
+    return generate.failures_by_kind(generate.paraphrases(anchors, _shaky))

@@ -1,4 +1,7 @@
 import json
+import os
+
+import pytest
 
 from quern.plans import generate
 
@@ -38,3 +41,45 @@ def test_paraphrases(spark):
     assert got == {"boom": "call", "np": "parse", "same": "identical", "e": "empty", "x D1": None, "w D2": None, "long": "length"}
     s = generate.generation_stats(out).first()
     assert (s["answers"], s["failures"], s["with_ids"], s["ids_kept"]) == (2, 5, 2, 1)
+
+
+def test_waves_resume(spark, tmp_path):
+    """A run that breaks off in its second wave keeps the first; the next run asks only for what has no answer."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def model_of(name, fails):
+        def model(p):
+            (asked / f"{name}-{p[0]}").touch()
+            if p[0] in fails:
+                raise RuntimeError
+            return [json.dumps({"answer": p[0] + " again"})]
+
+        return model
+
+    rows = [(f"k{i}", f"text {i}") for i in range(40)] + [("k1", "text 1"), (None, "x")]
+    t = spark.createDataFrame(rows, "anchor_id string, anchor string")
+    root = str(tmp_path / "ledgers")
+    wrote, real = [], generate.paraphrases
+
+    def breaks(*args, **kw):
+        if len(wrote) == 2:
+            raise OSError("the driver is lost")
+        wrote.append(1)
+        return real(*args, **kw)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(generate, "paraphrases", breaks)
+        with pytest.raises(OSError):
+            generate.generate(spark, t, model_of("a", {"text 3", "text 4"}), root, wave=10, calls=2)
+    first = generate.ledgers(spark, root)
+    answered = {r.anchor for r in first.where("NOT failed").collect()}
+    assert 0 < len(answered) < 38
+    n = generate.generate(spark, t, model_of("b", set()), root, wave=10, calls=2)
+    assert n == 40 - len(answered)
+    assert {f[2:] for f in os.listdir(asked) if f.startswith("b-")} == {f"text {i}" for i in range(40)} - answered
+    every = generate.ledgers(spark, root)
+    assert every.where("NOT failed").count() == 40 and every.where("NOT failed").select("anchor_id").distinct().count() == 40
+    assert {r.kind: r.n for r in generate.failures_by_kind(first).collect()}["call"] == first.where("failed").count()
+    assert {r.n for r in generate.failures_by_kind(every).collect()} == {0}
+    assert generate.generate(spark, t, model_of("c", set()), root) == 0 and not [f for f in os.listdir(asked) if f.startswith("c-")]
