@@ -620,10 +620,23 @@ def stream_appends(spark, d):
     return ledgers.appended(spark, f"{at}/table")
 
 
-@query("SELECT doc_id::VARCHAR AS id, strlen(text) > 0 AS some, 64 AS dims FROM documents")
+@query("""
+WITH p AS (SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) > 3500 THEN regexp_extract_all(text, '(?s).{1,875}') ELSE [coalesce(text, '')] END AS p FROM documents),
+u AS (SELECT doc_id, len(p) AS n, unnest(p) AS part, generate_subscripts(p, 1) AS k FROM p)
+SELECT doc_id::VARCHAR || CASE WHEN n > 1 THEN '#' || k ELSE '' END AS id, sha1(part) AS part_sha, 64 AS dims, regexp_matches(part, '[^\\x20\\x09-\\x0D]') AS some FROM u
+""")
 def embedded(spark, d):
+    """Whole documents, long ones in pieces that the embedder takes; a vector is zero only where there is no word."""
     c = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("universal").alias("scope"), F.lit("s").alias("source"), F.coalesce("text", F.lit("")).alias("body"))
-    return index.vectors(c, "corpus").select("id", (F.octet_length("doc") > 0).alias("some"), F.size("embedding").alias("dims"))
+    v = index.vectors(c, "corpus", _OneSign())
+    return v.select("id", F.sha1("doc").alias("part_sha"), F.size("embedding").alias("dims"), F.exists("embedding", lambda x: x > 0).alias("some"))
+
+
+class _OneSign(index.HashEmbedder):
+    """Words only add, so that none cancel out."""
+
+    def place(self, word: str) -> tuple[int, float]:
+        return super().place(word)[0], 1.0
 
 
 @query("SELECT 'decisions/d' || p_partkey || '.yaml' AS source, 'D' || p_partkey AS artifact_id, p_name AS title, 'HIGH' AS severity FROM part WHERE p_partkey % 4 <> 0")
