@@ -1,8 +1,9 @@
 """Chunks kept in segments by source: a sync writes only the segments that a change touches.
 
-``root`` holds two tables, both partitioned by ``bucket``, a hash of the source's
-path: ``chunks`` and ``sources`` (path, sha, scope, n_chunks), the high-water
-mark.  A sync compares the sources as they are with those of the mark, makes
+``root`` holds three tables, all partitioned by ``bucket``, a hash of the source's
+path: ``chunks``; ``tallies`` (scope, sources, chunks), so that a status counts
+nothing anew; and ``sources`` (path, sha, scope, n_chunks), the high-water mark.
+A sync compares the sources as they are with those of the mark, makes
 chunks of what is new or changed, and overwrites the touched partitions with what
 stays of them and what is new.  Partitions of ``sources`` are written last.
 
@@ -108,9 +109,18 @@ def sync_segments(spark: SparkSession, root: str, sources: DataFrame, chunks_of:
             _overwrite(rows, at, touched)
             written = spark.read.schema(rows.schema).parquet(at).where(here)
             counts = written.groupBy(F.col("source").alias("path")).agg(F.count("*").alias("n_chunks"))
-            marks = now.where(here).join(counts, "path", "left")
-            _overwrite(marks.select("path", "sha", "scope", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), "bucket"), mark_at, touched)
+            marks = now.where(here).join(counts, "path", "left").select("path", "sha", "scope", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), "bucket")
+            _overwrite(marks.groupBy("bucket", "scope").agg(F.count("*").alias("sources"), F.sum("n_chunks").alias("chunks")).select("scope", "sources", "chunks", "bucket"), f"{root}/tallies", touched)
+            _overwrite(marks, mark_at, touched)
     finally:
         changes.unpersist()
     log.info("%s: %d added, %d changed, %d removed; wrote %d of %d partitions, %d of them left over", root, out.added, out.changed, out.removed, len(touched), buckets, len(torn))
     return out
+
+
+def tallies(spark: SparkSession, root: str) -> DataFrame:
+    """(scope, sources, chunks) of the tables below ``root``, from their partitions' tallies."""
+    t = table_at(spark, f"{root}/tallies", "scope string, sources long, chunks long, bucket int")
+    if t is None:
+        t = spark.createDataFrame([], "scope string, sources long, chunks long")
+    return t.groupBy("scope").agg(F.sum("sources").alias("sources"), F.sum("chunks").alias("chunks"))

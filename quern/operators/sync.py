@@ -31,8 +31,12 @@ def summary(changes: DataFrame) -> DataFrame:
     return changes.sparkSession.createDataFrame([("added",), ("changed",), ("removed",)], "change string").join(changes.groupBy("change").count(), "change", "left").select("change", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
 
 
-def guard(old: DataFrame | None, new: DataFrame, old_version: str | None, version: str = BUILDER_VERSION, memory_prefix: str = "memory/") -> None:
-    """Refuse without a manifest, on another builder version, with no tree sources, or when all memory sources vanish."""
+def guard(old: DataFrame | None, new: DataFrame, old_version: str | None, version: str = BUILDER_VERSION, memory_prefix: str = "memory/", folders: tuple[str, ...] = ()) -> None:
+    """Refuse without a manifest, on another builder version, with no tree sources, or when all memory sources vanish.
+
+    Refuse also when one of ``folders``, the first parts of paths, vanishes as a
+    whole: a checkout that isn't there must not delete its chunks.
+    """
     if old is None:
         raise SyncRefused("no manifest: build and index first")
     if old_version != version:
@@ -44,6 +48,16 @@ def guard(old: DataFrame | None, new: DataFrame, old_version: str | None, versio
         raise SyncRefused("the walk found no sources of the tree")
     if was["memory"] and not now["memory"]:
         raise SyncRefused("all memory sources are gone")
+    if gone := vanished(old, new, folders):
+        raise SyncRefused(f"all sources are gone of: {', '.join(gone)}")
+
+
+def vanished(old: DataFrame, new: DataFrame, folders: tuple[str, ...]) -> list[str]:
+    """Which of ``folders`` have sources in ``old`` and none in ``new``."""
+    if not folders:
+        return []
+    first = lambda df: df.select(F.substring_index("path", "/", 1).alias("folder")).where(F.col("folder").isin(*folders)).distinct()
+    return sorted(r["folder"] for r in first(old).join(first(new), "folder", "left_anti").collect())
 
 
 def affected(chunks: DataFrame, changes: DataFrame) -> DataFrame:
@@ -99,21 +113,21 @@ class Outcome:
         return not (self.added or self.changed or self.removed)
 
 
-def sync(spark, root: str, chunks: DataFrame, version: str = BUILDER_VERSION) -> Outcome:
+def sync(spark, root: str, chunks: DataFrame, version: str = BUILDER_VERSION, folders: tuple[str, ...] = (), dry_run: bool = False) -> Outcome:
     """Bring the tables below ``root`` (chunks, sources, version) to ``chunks``; sources are written last, as the commit mark.
 
-    Nothing is written if nothing changed.  New generations are written beside
+    Nothing is written if nothing changed, or for a ``dry_run``.  ``folders``: see :func:`guard`.  New generations are written beside
     the old ones, so an interrupted run leaves the old tables readable.
     """
     from quern.sources import tables
 
     new_sources = source_rows(chunks)
     at = tables.current(spark, root)
-    guard(None if at is None else spark.read.parquet(f"{at}/sources"), new_sources, None if at is None else tables.version(spark, root), version)
+    guard(None if at is None else spark.read.parquet(f"{at}/sources"), new_sources, None if at is None else tables.version(spark, root), version, folders=folders)
     changes = diff(spark.read.parquet(f"{at}/sources"), new_sources).persist()
     counts = {r["change"]: r["n"] for r in summary(changes).collect()}
     out = Outcome(counts["added"], counts["changed"], counts["removed"])
-    if not out.no_op:
+    if not out.no_op and not dry_run:
         merged = upsert(spark.read.parquet(f"{at}/chunks"), affected(chunks, changes), changes)
         tables.write_generation(spark, root, merged, new_sources, version)
     changes.unpersist()

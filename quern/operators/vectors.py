@@ -200,7 +200,7 @@ def tag_negatives(sentences: DataFrame) -> DataFrame:
     ``sentences``: pos (unique), id, scope, semantic_role, tags.  First among the
     same scope (a null or empty scope has none), else among all.  Ties go to the
     least id.  Rows with equal (scope, role, tags) are one class whose least id
-    stands for it (two, so that a row never picks itself), so pairs are between
+    stands for it, so pairs are between
     classes, not rows: their number follows the tag vocabulary.
     """
     s = sentences.withColumn("_k", F.array_sort("tags"))
@@ -239,8 +239,14 @@ def dense_negatives(vectors: DataFrame, queries: DataFrame, digits: int = 6) ->
     return near.select("qid", "q_label", F.col("id").alias("negative_id"), "n_label", F.round(1 - F.col("distance"), digits).alias("score"))
 
 
-def mining_summary(triples: DataFrame) -> DataFrame:
-    """(axis, value, n): triples by scope and by role, how many are relaxed."""
+def mining_summary(triples: DataFrame, anchors: DataFrame | None = None, shown: int = 10) -> DataFrame:
+    """(axis, value, n): triples by scope and by role, how many are relaxed; with ``anchors`` also how many of them have none,
+    and, as axis ``relaxed_id``, the first ``shown`` relaxed anchor ids to look at."""
     by = lambda axis, c: triples.groupBy(F.col(c).alias("value")).count().select(F.lit(axis).alias("axis"), F.coalesce("value", F.lit("")).alias("value"), F.col("count").alias("n"))
     total = triples.agg(F.count_if("relaxed").alias("n")).select(F.lit("relaxed").alias("axis"), F.lit("").alias("value"), "n")
-    return by("scope", "scope").unionByName(by("role", "anchor_role")).unionByName(total)
+    out = by("scope", "scope").unionByName(by("role", "anchor_role")).unionByName(total)
+    if anchors is None:
+        return out
+    dropped = anchors.join(triples.select(F.col("anchor_id").alias("id")), "id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("dropped").alias("axis"), F.lit("").alias("value"), "n")
+    ids = triples.where("relaxed").select(F.lit("relaxed_id").alias("axis"), F.col("anchor_id").cast("string").alias("value"), F.lit(1).cast("long").alias("n")).orderBy("value").limit(shown)
+    return out.unionByName(dropped).unionByName(ids)

@@ -91,6 +91,17 @@ def segment_sync(spark, d):
     return spark.read.parquet(f"{at}/chunks").select("source", F.when(F.col("sha") != "", F.col("sha")).alias("sha"), "scope", n.alias("n_changes"))
 
 
+@query(f"SELECT coalesce(scope, 'none') AS scope, count(*) AS sources, count(*) FILTER (path % 3 <> 0) AS chunks FROM ({_NEW}) GROUP BY ALL")
+def segment_tallies(spark, d):
+    """Sources and chunks by scope after three syncs, the last one back to the second's state, from stored tallies; every third source has no chunk."""
+    at = new_folder(spark, "tallies")
+    old, new = (s.select(F.col("path").cast("string").alias("path"), F.coalesce("sha", F.lit("")).alias("sha"), F.coalesce("scope", F.lit("none")).alias("scope")) for s in _pair(spark, d))
+    chunks_of = lambda s: s.where("CAST(path AS LONG) % 3 <> 0").select(F.col("path").alias("source"), F.col("sha").alias("chunk_id"))
+    for state in (new, old, new):
+        segments.sync_segments(spark, at, state, chunks_of, 16)
+    return segments.tallies(spark, at)
+
+
 # ---------------------------------------------------------------- search with a filter behind it
 
 
@@ -105,6 +116,17 @@ def filtered_topk(spark, d):
     return vectors.filtered_after(hits, F.col("family") == "corpus", n).select("qid", "id", "rank")
 
 
+@query("""
+WITH t AS (SELECT p_partkey AS id, lpad(p_partkey::VARCHAR, 9, '0') AS anchor_id, p_brand AS scope, (p_size % 3)::VARCHAR AS role, p_partkey % 4 = 0 AS relaxed FROM part), k AS (SELECT * FROM t WHERE id % 5 <> 0)
+SELECT 'scope' AS axis, scope AS value, count(*) AS n FROM k GROUP BY scope UNION ALL SELECT 'role', role, count(*) FROM k GROUP BY role UNION ALL SELECT 'relaxed', '', count(*) FILTER (relaxed) FROM k
+UNION ALL SELECT 'dropped', '', (SELECT count(*) FROM t) - (SELECT count(*) FROM k) UNION ALL SELECT 'relaxed_id', anchor_id, 1 FROM (SELECT anchor_id FROM k WHERE relaxed ORDER BY anchor_id LIMIT 10)
+""")
+def mining_report(spark, d):
+    """What mining gave: a fifth of the anchors have no negative, and ten of the relaxed ones are shown (a report's limit)."""
+    p = table(spark, d, "part").select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("anchor_id"), F.col("p_brand").alias("scope"), (F.col("p_size") % 3).cast("string").alias("anchor_role"), (F.col("p_partkey") % 4 == 0).alias("relaxed"), "p_partkey")
+    return vectors.mining_summary(p.where("p_partkey % 5 <> 0"), p.select(F.col("anchor_id").alias("id")))
+
+
 # ---------------------------------------------------------------- cites of commit messages
 
 

@@ -1,7 +1,9 @@
-"""Bodies of any length are embedded whole."""
+"""Bodies of any length are embedded whole; a sync that would lose a folder is refused."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from quern.operators import sync
 from quern.plans import index
 
 
@@ -34,3 +36,19 @@ def test_remembered_words_are_bounded():
 def test_null_body_is_embedded_as_empty(spark):
     v = index.vectors(spark.createDataFrame([("c", "u", "s", None)], "chunk_id string, scope string, source string, body string"), "corpus").select(F.size("embedding")).collect()
     assert [r[0] for r in v] == [64]
+
+
+def test_a_folder_that_vanishes_is_refused(spark, tmp_path):
+    c = "source string, source_sha string, scope string, doc_type string, chunk_id string, family string"
+    rows = [("core/a.py", "1", "backend", "code", "c1", "code"), ("core/b.py", "1", "backend", "code", "c2", "code"), ("web/a.ts", "1", "webapp", "code", "c3", "code")]
+    from quern.sources import tables
+
+    root, chunks = str(tmp_path / "root"), spark.createDataFrame(rows, c)
+    tables.write_generation(spark, root, chunks, sync.source_rows(chunks), sync.BUILDER_VERSION)
+    now = spark.createDataFrame(rows[:2], c)
+    with pytest.raises(sync.SyncRefused, match="web"):
+        sync.sync(spark, root, now, folders=("core", "web", "never"))
+    assert sync.sync(spark, root, spark.createDataFrame(rows[1:], c), folders=("core", "web"), dry_run=True).removed == 1
+    assert spark.read.parquet(f"{tables.current(spark, root)}/chunks").count() == 3
+    assert sync.sync(spark, root, now).removed == 1
+    assert spark.read.parquet(f"{tables.current(spark, root)}/chunks").count() == 2

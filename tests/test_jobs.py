@@ -80,6 +80,20 @@ def test_growing_input_touches_only_its_partitions(spark, tmp_path):
         assert changed == set(done.buckets)
 
 
+def test_tallies_follow_the_changes(spark, tmp_path):
+    docs, out = str(tmp_path / "docs"), str(tmp_path / "out")
+    for rows in (rows_of(30), rows_of(35)[3:], [(1, "", "en"), (2, "words", "fr")], rows_of(30)):
+        save(spark, docs, rows)
+        chunk_sync.run(spark, docs, out, buckets=8)
+        want = {}
+        for i, t, lang in rows:
+            n = sum(c[0] == f"docs/{i}.txt" for c in plain_chunks(rows))
+            s, c = want.get(lang or "universal", (0, 0))
+            want[lang or "universal"] = s + 1, c + n
+        assert {r.scope: (r.sources, r.chunks) for r in segments.tallies(spark, out).collect()} == want
+    assert segments.tallies(spark, str(tmp_path / "nothing")).count() == 0
+
+
 def test_partition_that_loses_all_its_rows(spark, tmp_path):
     docs, out = str(tmp_path / "docs"), str(tmp_path / "out")
     save(spark, docs, rows_of(6))
@@ -92,9 +106,9 @@ def test_partition_that_loses_all_its_rows(spark, tmp_path):
 
 
 @pytest.mark.parametrize("first_run", [True, False])
-@pytest.mark.parametrize("fails_at", [0, 1])
+@pytest.mark.parametrize("fails_at", [0, 1, 2])
 def test_interrupted_run(spark, tmp_path, monkeypatch, first_run, fails_at):
-    """The run breaks off before the chunks or before the mark are written; the next one gives what a whole run gives."""
+    """The run breaks off before the chunks, the tallies or the mark are written; the next one gives what a whole run gives."""
     docs, out = str(tmp_path / "docs"), str(tmp_path / "out")
     if not first_run:
         save(spark, docs, rows_of(20))
@@ -116,7 +130,7 @@ def test_interrupted_run(spark, tmp_path, monkeypatch, first_run, fails_at):
     rows = [r for r in rows if r[0] != 7]
     save(spark, docs, rows)
     done = chunk_sync.run(spark, docs, out, buckets=8)
-    assert (done.repaired > 0) == (fails_at == 1)
+    assert (done.repaired > 0) == (fails_at > 0)
     assert stored_chunks(spark, out) == plain_chunks(rows)
     assert chunk_sync.run(spark, docs, out, buckets=8).no_op
 
