@@ -82,17 +82,23 @@ def sync_segments(spark: SparkSession, root: str, sources: DataFrame, chunks_of:
     over all syncs of one root.  Only partition numbers, at most ``buckets``, and
     counts come to the driver.
     """
+    # Sources are read several times, and behind them stand all texts: a path, a hash and a scope each are kept.
+    now = sources.where("path IS NOT NULL").select("path", "sha", "scope", bucket("path", buckets)).persist()
+    try:
+        return _synced(spark, root, now, chunks_of, buckets)
+    finally:
+        now.unpersist()
+
+
+def _synced(spark: SparkSession, root: str, now: DataFrame, chunks_of: Callable[[DataFrame], DataFrame], buckets: int) -> Result:
     at, mark_at = f"{root}/chunks", f"{root}/sources"
     stored, mark = table_at(spark, at), table_at(spark, mark_at)
-    now = sources.where("path IS NOT NULL").select("path", "sha", "scope", bucket("path", buckets))
     if mark is None:
         changes = now.select("path", F.lit("added").alias("change"), "bucket")
         torn: list[int] = [] if stored is None else [r["bucket"] for r in stored.select("bucket").distinct().collect()]
-        mark = spark.createDataFrame([], "path string, sha string, scope string, n_chunks long, bucket int")
     else:
-        changes = sync.diff(mark, now).select("path", "change", bucket("path", buckets))
+        changes = sync.diff(mark, now).select("path", "change", bucket("path", buckets)).persist()
         torn = [r["bucket"] for r in _torn(stored, mark).collect()]
-    changes = changes.persist()
     try:
         per_bucket = changes.groupBy("bucket").pivot("change", ["added", "changed", "removed"]).count().na.fill(0).collect()
         count = lambda kind: sum(r[kind] for r in per_bucket)
