@@ -166,8 +166,8 @@ AT_INSIDE = re.compile(r"(?i)[a-z0-9._%+-]+[\[(]at[\])][a-z0-9-]+(?:\.[a-z0-9-]+
 ANNOUNCING = re.compile(r"(?i)[\"']?(?:[a-z0-9]+[_-])*(?:token|key|apikey|secret|password|passwd|passphrase|pass|pwd|pw|credentials?|bearer)[\"']?(?P<sign>[:=]*)(?P<value>.*)", re.S)
 SIGN = re.compile(r"[:=]+>?")
 #: Words that announce a number which isn't personal, ends of addresses, and the beginnings of issued keys.
-REFERS = re.compile(r"(?i)(?:order|invoice|account|acct|ref|case|ticket|isbn|issn|id|no|nr|number|po|serial|sku|iban|commit|sha1|digest|hash|rev)[.:#]*")
-TLD = re.compile(r"(?i)(?:com|org|net|edu|gov|io|co|de|fr|es|it|uk|eu|info)[.,;:!?]*")
+REFERS = frozenset("order invoice account acct ref case ticket isbn issn id no nr number po serial sku iban commit sha1 digest hash rev".split())
+TLD = frozenset("com org net edu gov io co de fr es it uk eu info".split())
 ISSUED = re.compile(r"(?=[a-z_-]*[A-Z0-9_-]*[A-Za-z]*[0-9])(?=[!-~]*[A-Z])(?:(?:[a-z]{2,8}[_-]){1,2}(?=[A-Za-z0-9_-]{16,})|(?:AKIA|ey)(?=[A-Za-z0-9]{12,}))")
 CLASSES = re.compile(r"[a-z]+|[A-Z]+|[0-9]+")
 HEX = re.compile(r"[0-9a-f]+(?:-[0-9a-f]+)*")
@@ -178,10 +178,11 @@ def coarse(word: str) -> str:
     low = word.lower()
     if low in ("at", "dot"):
         return low + "w"
-    if REFERS.fullmatch(word):
-        return "ref"
-    if TLD.fullmatch(word):
-        return "tld"
+    if len(low) <= 16:
+        if low.rstrip(".:#") in REFERS:
+            return "ref"
+        if low.rstrip(".,;:!?") in TLD:
+            return "tld"
     if word.isalpha() and (word.islower() or word.istitle()) and not ANNOUNCING.fullmatch(word):
         return "word"
     digits = sum("0" <= c <= "9" for c in word)
@@ -204,7 +205,7 @@ def own_features(word: str) -> tuple[str, ...]:
     letters = sum(c.isalpha() for c in core)
     return (
         "s=" + shape(core), "c=" + coarse(word), f"d={min(digits, 20)}", f"dots={min(core.count('.'), 4)}", f"sep={'-' in core}{'/' in core}{':' in core}{',' in core}",
-        f"runs={min(len(CLASSES.findall(core)), 15) // 3}", f"hex={bool(HEX.fullmatch(core))}{min(len(core), 40) // 8}", f"issued={bool(ISSUED.match(core))}", f"joined={bool(AT_INSIDE.fullmatch(core))}", f"first={core[:1] == '0'}{core[:2] == '(0'}",
+        f"runs={min(len(CLASSES.findall(core)), 15) // 3}", f"hex={bool(HEX.fullmatch(core))}{min(len(core), 40) // 8}", f"issued={digits > 0 and bool(ISSUED.match(core))}", f"joined={('(' in core or '[' in core) and bool(AT_INSIDE.fullmatch(core))}", f"first={core[:1] == '0'}{core[:2] == '(0'}",
         f"par={core[:1] in '(['}{core[-1:] in ')]'}", f"plus={core[:1] == '+'}", f"alpha={letters > 0}", f"end={word[-1:] in '.,;:'}", f"mixed={min(letters, 6) // 3}{min(digits, 6) // 3}{min(len(core), 40) // 8}", "b",
     )
 
@@ -322,7 +323,8 @@ def trained(rounds: int = 150, rate: float = 0.15, l2: float = 0.002) -> Crf:
 
 # ---------------------------------------------------------------- spans
 
-HINT = re.compile(r"[0-9@]|[\[(][aA][tT][\])]|(?<![A-Za-z])(?:dot|DOT|Dot)(?![A-Za-z])")
+HINT = re.compile(r"[0-9@]|[\[(][aA][tT][\])]")
+DOTS = tuple(re.compile(rf"{x}(?![A-Za-z])") for x in ("dot", "DOT", "Dot"))  # a pattern each: all begin with plain letters
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 OPEN, CLOSE = "\"'<", ".,;:!?\"'>#$%&*|"
 #: Words that are decoded together, padded; a longer line is decoded alone.
@@ -331,13 +333,19 @@ CELLS = 50_000
 
 def lines_with_hints(text: str) -> list[tuple[int, int]]:
     """(start, end) of the lines that hold a digit, an at sign or a spelled-out one, or a spelled-out dot."""
-    out, done = [], 0
-    while m := HINT.search(text, done):
-        end = text.find("\n", m.start())
-        end = len(text) if end < 0 else end
-        out.append((text.rfind("\n", done, m.start()) + 1 or done, end))
-        done = end + 1
-    return out
+    out = set()
+    for pattern in (HINT, *DOTS):
+        done = 0
+        while m := pattern.search(text, done):
+            at = m.start()
+            if pattern is not HINT and at and text[at - 1].isascii() and text[at - 1].isalpha():
+                done = m.end()
+                continue
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            out.add((text.rfind("\n", 0, at) + 1, end))
+            done = end + 1
+    return sorted(out)
 
 
 def plausible(kind: int, text: str) -> bool:

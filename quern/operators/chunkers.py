@@ -19,6 +19,7 @@ from quern.functions import dims, ids, text
 
 MAX_BYTES, MIN_BYTES = 1500, 200
 WINDOW_LINES, OVERLAP_LINES = 80, 20
+# The keys of a catalog entry's id and title, in order.
 ID_KEYS = ("id", "rule_id", "term", "AP", "D", "code")
 TITLE_KEYS = ("title", "name", "term", "definition")
 BLANK = " \t\n\f\r\v"
@@ -157,11 +158,16 @@ def markdown_chunks(files: DataFrame, keep_preamble: bool = False) -> DataFrame:
     return with_ids(files.select("source", "source_sha", "scope", "doc_type", "text").mapInPandas(split, CHUNK))
 
 
-def yaml_entries(raw: str) -> list[dict]:
-    """The entries of a catalog: a top-level list, or all lists of a top-level map.  Scalars stay strings."""
+def parsed_yaml(raw: str):
+    """A YAML text with all scalars as strings, by libyaml where it is there."""
     import yaml
 
-    top = yaml.load(raw, Loader=yaml.BaseLoader)
+    return yaml.load(raw, Loader=getattr(yaml, "CBaseLoader", yaml.BaseLoader))
+
+
+def yaml_entries(raw: str) -> list[dict]:
+    """The entries of a catalog: a top-level list, or all lists of a top-level map.  Scalars stay strings."""
+    top = parsed_yaml(raw)
     if isinstance(top, list):
         return top
     if isinstance(top, dict):
@@ -241,6 +247,7 @@ def code_windows(files: DataFrame, lines: int = WINDOW_LINES, overlap: int = OVE
     return d.withColumn("chunk_id", ids.chunk_id(source, "anchor", "body")).drop("part")
 
 
+# Inline marks of Markdown, and what stays of them.
 INLINE = (
     (rf"\A{text.SPACE}*[-*+]{text.SPACE}+", ""), (rf"\A{text.SPACE}*[0-9]+\.{text.SPACE}+", ""), (r"<[^>]+>", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"`[^`]+`", ""), (r"\*+([^*]+)\*+", "$1"),
 )

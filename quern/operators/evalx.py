@@ -59,7 +59,7 @@ def _claims_of(side: str):
     return entries
 
 
-#: What a cited path looks like: folders, and a name with an extension.
+# Fixed value: what a cited path looks like: folders, and a name with an extension.
 PATH = r"\A[a-zA-Z][a-zA-Z0-9_ ./+-]*\.[a-zA-Z0-9_]+\z"
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import dims, ids, text
+from quern.operators import chunkers
 
 S, W = text.SPACE, "[A-Za-z0-9_]"
 
@@ -117,7 +118,7 @@ def dictionary_terms(files: DataFrame, projects=None) -> DataFrame:
             rows = []
             for f in pdf.itertuples(index=False):
                 try:
-                    top = yaml.load(f.text or "", Loader=yaml.BaseLoader)
+                    top = chunkers.parsed_yaml(f.text or "")
                 except yaml.YAMLError:
                     continue
                 for i, e in enumerate(top if isinstance(top, list) else []):
