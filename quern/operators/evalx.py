@@ -68,6 +68,14 @@ def canonical_path(path, home: str = HOME) -> Column:
     return F.regexp_replace(text.col(path), rf"\A{home}/", "")
 
 
+def _forms(cite, prefixes: tuple[str, ...], home: str = HOME) -> tuple[Column, Column, Column]:
+    """What a cite may name: a term as it stands, a term before an anchor, a path in its canonical form; null where it can't."""
+    whole = text.trim_space(cite)
+    base = F.regexp_extract(whole, r"\A[^#]*", 0)
+    path = F.when(base.contains("/") & base.rlike(PATH) & F.substring_index(base, "/", 1).isin(home, *prefixes), canonical_path(base, home))
+    return F.nullif(whole, F.lit("")), F.when(whole != "", base), path
+
+
 def resolving_cites(cites: DataFrame, known: DataFrame, files: DataFrame | None = None, prefixes: tuple[str, ...] = (), home: str = HOME) -> DataFrame:
     """The distinct ``cite`` of ``cites`` that name a term of ``known`` (cite) or a path of ``files`` (path).
 
@@ -75,12 +83,9 @@ def resolving_cites(cites: DataFrame, known: DataFrame, files: DataFrame | None
     itself.  A path counts only if its first folder is ``home`` or one of
     ``prefixes``.  Each distinct cite is looked up once, by at most three keys.
     """
-    c = cites.select("cite").distinct()
-    whole = text.trim_space("cite")
-    base = F.regexp_extract(whole, r"\A[^#]*", 0)
-    path = F.when(base.contains("/") & base.rlike(PATH) & F.substring_index(base, "/", 1).isin(home, *prefixes), F.concat(F.lit("path:"), canonical_path(base, home)))
-    keys = F.array_distinct(F.array_compact(F.array(F.concat(F.lit("term:"), whole), F.concat(F.lit("term:"), base), path)))
-    asked = c.where(whole != "").select("cite", F.explode(keys).alias("key"))
+    whole, base, path = _forms("cite", prefixes, home)
+    keys = F.array_distinct(F.array_compact(F.array(F.concat(F.lit("term:"), whole), F.concat(F.lit("term:"), base), F.concat(F.lit("path:"), path))))
+    asked = cites.select("cite").distinct().select("cite", F.explode(keys).alias("key"))
     have = known.select(F.concat(F.lit("term:"), "cite").alias("key"))
     if files is not None:
         have = have.unionByName(files.select(F.concat(F.lit("path:"), canonical_path("path", home)).alias("key")))
@@ -88,11 +93,18 @@ def resolving_cites(cites: DataFrame, known: DataFrame, files: DataFrame | None
 
 
 def _unresolved(entries: DataFrame, known: DataFrame, files: DataFrame | None = None, prefixes: tuple[str, ...] = ()) -> DataFrame:
-    """Entries (case_id, e) as findings; those of a cite stay only if it doesn't resolve.  Others get keys of their own, so no key is hot."""
-    good = resolving_cites(entries.where("e.cite IS NOT NULL").select("e.cite"), known, files, prefixes)
-    key = F.coalesce("e.cite", F.concat(F.lit("\0"), F.xxhash64("case_id", "e.code", "e.location").cast("string")))
-    e = entries.withColumn("_cite", key).join(good.select(F.col("cite").alias("_cite")), "_cite", "left_anti")
-    return e.select("case_id", "e.severity", "e.code", "e.location", "e.value")
+    """Entries (case_id, e) as findings; those of a cite stay only if nothing resolves it.
+
+    The entries are computed once and sifted by each form of a cite.  What has no
+    such form gets a key of its own, so no key is hot.
+    """
+    own = F.concat(F.lit("\0"), F.xxhash64("case_id", "e.code", "e.location").cast("string"))
+    terms = known.select(F.col("cite").alias("_key"))
+    tables = [terms, terms, None if files is None else files.select(canonical_path("path").alias("_key"))]
+    for form, table in zip(_forms("e.cite", prefixes), tables, strict=True):
+        if table is not None:
+            entries = entries.join(table, F.coalesce(form, own) == F.col("_key"), "left_anti")
+    return entries.select("case_id", "e.severity", "e.code", "e.location", "e.value")
 
 
 def challenge_violations(outputs: DataFrame, known: DataFrame, files: DataFrame | None = None, prefixes: tuple[str, ...] = ()) -> DataFrame:
