@@ -171,10 +171,15 @@ def history_chunks(commits: DataFrame) -> DataFrame:
     return c.unionByName(s)
 
 
-def pending(commits: DataFrame, cursors: DataFrame) -> DataFrame:
-    """(repo, pending): commits newer than each repository's cursor (repo, sha); all of them where the cursor is unknown."""
-    at = commits.join(cursors, ["repo", "sha"]).select("repo", F.col("committed_at").alias("_at"))
-    return commits.join(at, "repo", "left").where("_at IS NULL OR committed_at > _at").groupBy("repo").agg(F.count("*").alias("pending"))
+def pending(commits: DataFrame, cursors: DataFrame, since=None) -> DataFrame:
+    """(repo, pending): commits newer than each repository's cursor (repo, sha).
+
+    Where the cursor is unknown, those newer than ``since``, or all of them.  A commit that is listed several
+    times is one cursor, at its latest time.
+    """
+    at = commits.join(cursors.select("repo", "sha").distinct(), ["repo", "sha"]).groupBy("repo").agg(F.max("committed_at").alias("_at"))
+    at = commits.join(at, "repo", "left").withColumn("_at", F.coalesce("_at", F.lit(since)))
+    return at.where("_at IS NULL OR committed_at > _at").groupBy("repo").agg(F.count("*").alias("pending"))
 
 
 # ---------------------------------------------------------------- packing

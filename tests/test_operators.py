@@ -310,3 +310,17 @@ def test_pending_commits(spark):
     c = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("r", "c", 3), ("q", "d", 1)], "repo string, sha string, committed_at int")
     cur = spark.createDataFrame([("r", "a"), ("q", "gone")], "repo string, sha string")
     assert {r["repo"]: r["pending"] for r in datasets.pending(c, cur).collect()} == {"r": 2, "q": 1}
+
+
+def test_pending_commits_of_repeated_and_early_rows(spark, tmp_path):
+    """Rows that a table repeats, keys at zero and below, and null keys count as in the query's SQL."""
+    import duckdb
+
+    from quern import queries
+
+    rows = [(k, n) for k, n in [(0, 1), (-3, 1), (4, 1), (5, 2), (5, 2), (5, 2), (7, 2), (-1, 4), (0, 4), (2, None), (0, None), (None, 2), (None, 3), (9, 3)]] * 2
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = sorted(map(tuple, queries.queries()["pending_commits"](spark, str(tmp_path)).collect()), key=str)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW customer AS FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == sorted(db.execute(queries.oracle_sql()["pending_commits"]).fetchall(), key=str)
