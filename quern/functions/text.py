@@ -26,7 +26,12 @@ def lines_of(text) -> Column:
 
 
 def trim_space(c) -> Column:
-    return F.regexp_replace(col(c), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col(c), F.lit(" \t\n\f\r"))
+
+
+def bound(c, use) -> Column:
+    """``use(c)``, with ``c`` evaluated once however often it is used: an array of one element binds it to a name."""
+    return F.transform(F.array(c), use)[0]
 
 
 def cap_utf8(c, n: int) -> Column:
@@ -108,8 +113,7 @@ def _found(c, patterns) -> Column:
     """The ids of a text, pattern by pattern.  The text is read once for candidates; the patterns see only these."""
     ids_of = lambda x: F.flatten(F.array(*[F.regexp_extract_all(x, F.lit(f"{LEFT}({p}){RIGHT}"), 1) for p in patterns]))
     candidates = F.regexp_extract_all(col(c), F.lit(CANDIDATE), 0)
-    # An array of one element binds the joined candidates to a name: evaluated once for all patterns.
-    return F.flatten(F.transform(F.array(F.array_join(candidates, " ")), lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(ids_of(x))))
+    return bound(F.array_join(candidates, " "), lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(ids_of(x)))
 
 
 def cites(c) -> Column:
@@ -126,16 +130,15 @@ def commit_cites(c) -> Column:
 
 
 def syntactic_form(c) -> Column:
-    t = trim_space(c)
-    low = F.lower(t)
     # Verbs that open an instruction.
     verbs = ("use", "run", "check", "verify", "ensure", "set", "add", "remove", "delete", "create", "configure", "install", "build", "test", "deploy")
-    return (
+    form = lambda t, low: (
         F.when(t == "", "affirmation").when(t.endswith("?"), "question").when(t.endswith("!"), "imperative")
         .when(low.startswith("if ") | low.contains(" unless ") | low.contains(" otherwise "), "conditional")
         .when(low.contains(" not ") | low.contains(" never ") | low.startswith("no ") | low.startswith("do not ") | low.startswith("don't "), "negation")
         .when(low.rlike(r"\A(?:" + "|".join(verbs) + ") "), "imperative").otherwise("affirmation")
     )
+    return bound(trim_space(c), lambda t: bound(F.lower(t), lambda low: form(t, low)))
 
 
 # Modalities from strongest to weakest, and their cues.
@@ -149,14 +152,18 @@ MODALITIES = (
 
 def modality(c) -> Column:
     """The strongest modality whose cue the text holds; empty if none does."""
-    up, low = F.upper(col(c)), F.lower(col(c))
-    out = F.when(low.startswith("if ") | low.contains(" unless "), "conditional").otherwise("")
-    for name, cues in reversed(MODALITIES):
-        test = up.contains(cues[0])
-        for cue in cues[1:]:
-            test = test | up.contains(cue)
-        out = F.when(test, name).otherwise(out)
-    return out
+    low = F.lower(col(c))
+
+    def of(up: Column) -> Column:
+        out = F.when(low.startswith("if ") | low.contains(" unless "), "conditional").otherwise("")
+        for name, cues in reversed(MODALITIES):
+            test = up.contains(cues[0])
+            for cue in cues[1:]:
+                test = test | up.contains(cue)
+            out = F.when(test, name).otherwise(out)
+        return out
+
+    return bound(F.upper(col(c)), of)
 
 
 # Path parts and their concern, in order.

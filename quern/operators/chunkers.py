@@ -253,12 +253,16 @@ INLINE = (
 )
 
 
+#: A line without any of these is left as it is by all patterns of ``INLINE``.
+INLINE_SIGN = rf"[<\[`*]|\A{text.SPACE}*(?:[-+]|[0-9])"
+
+
 def strip_inline(c) -> Column:
     """A Markdown line without bullets, tags, link targets, code spans and emphasis."""
     out = text.col(c)
     for pattern, to in INLINE:
         out = F.regexp_replace(out, "(?d)" + pattern, to)
-    return text.trim_space(out)
+    return text.trim_space(F.when(text.col(c).rlike(INLINE_SIGN), out).otherwise(text.col(c)))
 
 
 def split_sentences(c) -> Column:
@@ -271,21 +275,52 @@ def meaningful(c) -> Column:
     return (F.octet_length(c) >= 20) & c.contains(" ") & c.rlike("[A-Za-z]")
 
 
+def _between(lines, cuts) -> Column:
+    """The runs of ``lines`` before, between and after the positions ``cuts``: array of (at, ls), ``at`` from 0."""
+    n = F.size(cuts)
+    start = lambda k: F.when(k == 0, 0).otherwise(F.get(cuts, k - 1) + 1)
+    end = lambda k: F.coalesce(F.get(cuts, k), F.size(lines))
+    return F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(start(k).alias("at"), F.slice(lines, start(k) + 1, end(k) - start(k)).alias("ls")))
+
+
+def _places(lines, test: Callable[[Column], Column]) -> Column:
+    """The positions from 0 of the lines that meet ``test``."""
+    return F.array_compact(F.transform(lines, lambda x, i: F.when(test(x), i)))
+
+
+def sentence_lists(docs: DataFrame, key: str = "source", dealt: bool = False) -> DataFrame:
+    """(key, found): the sentences of each row of ``docs`` (key, text) in order, as an array of (line, pos, text).
+
+    Every row is a document of its own and is read in place: runs of lines outside fences, in them paragraphs, in
+    these sentences.  Rows are dealt out by key first, unless they are ``dealt`` already: a file of few row groups would
+    give few tasks.
+    """
+    fence = lambda x: text.trim_space(x).startswith("```")
+    skip = lambda x: text.bound(text.trim_space(x), lambda b: (b == "") | b.rlike(r"\A(?:#|>|\||---|===|<!--)"))
+    d = docs.where(F.octet_length("text") > 0).select(key, "text")
+    d = d if dealt else d.repartition(F.xxhash64(key))
+    d = d.select(key, text.lines_of("text").alias("ls"), F.contains("text", F.lit("```")).alias("fenced"))
+    d = d.withColumn("fences", F.when(F.col("fenced"), _places(F.col("ls"), fence)).otherwise(F.array().cast("array<int>")))
+    # Fences open and close by turns, so every other run is outside; an open one reaches to the end.
+    d = d.select(key, F.filter(_between(F.col("ls"), F.col("fences")), lambda r, i: i % 2 == 0).alias("runs"))
+    inner = lambda r, p: F.struct((r["at"] + p["at"]).alias("at"), p["ls"].alias("ls"))
+    cut = lambda r: text.bound(_places(r["ls"], skip), lambda c: F.transform(_between(r["ls"], c), lambda p: inner(r, p)))
+    d = d.select(key, F.filter(F.flatten(F.transform("runs", cut)), lambda p: F.size(p["ls"]) > 0).alias("paras"))
+    d = d.select(key, F.transform("paras", lambda p: F.struct(p["at"].alias("at"), F.transform(p["ls"], strip_inline).alias("ls"))).alias("paras"))
+    some = lambda p: F.filter(p["ls"], lambda x: x != "")
+    first = lambda p: p["at"] + F.get(_places(p["ls"], lambda x: x != ""), F.lit(0)) + 1
+    d = d.select(key, F.transform("paras", lambda p: F.struct(first(p).alias("line"), F.transform(split_sentences(F.array_join(some(p), " ")), text.trim_space).alias("ss"))).alias("paras"))
+    placed = lambda p: F.filter(F.transform(p["ss"], lambda x, i: F.struct(p["line"].alias("line"), i.alias("pos"), x.alias("text"))), lambda s: meaningful(s["text"]))
+    return d.select(key, F.flatten(F.transform("paras", placed)).alias("found"))
+
+
 def sentences(docs: DataFrame, key: str = "source") -> DataFrame:
     """(key, line, pos, text): sentences of Markdown ``docs`` (key, text), with the line where their paragraph begins.
 
     Fenced code, headings, quotes, tables, rules and comments break paragraphs and are left out.
     """
-    d = docs.select(key, F.posexplode(text.lines_of("text")).alias("i", "raw"))
-    w = Window.partitionBy(key).orderBy("i")
-    bare = text.trim_space("raw")
-    d = d.withColumn("fence", bare.startswith("```")).withColumn("code", F.col("fence") | (F.sum(F.col("fence").cast("int")).over(w) % 2 == 1))
-    skip = (bare == "") | bare.rlike(r"\A(?:#|>|\||---|===|<!--)")
-    d = d.withColumn("cut", F.col("fence") | (~F.col("code") & skip)).withColumn("para", F.sum(F.col("cut").cast("int")).over(w))
-    d = d.where(~F.col("code") & ~F.col("cut")).withColumn("clean", strip_inline("raw")).where("clean != ''")
-    p = d.groupBy(key, "para").agg((F.min("i") + 1).alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "clean"))), lambda x: x["clean"]), " ").alias("t"))
-    s = p.select(key, "line", F.posexplode(split_sentences("t")).alias("pos", "text")).withColumn("text", text.trim_space("text"))
-    return s.where(meaningful("text"))
+    # The outer form, as for the inner one the planner adds a filter by size, which it computes all lists for once more.
+    return sentence_lists(docs, key).select(key, F.inline_outer("found")).where("text IS NOT NULL")
 
 
 # ---------------------------------------------------------------- folds over arrays, for DataFrame callers

@@ -324,3 +324,12 @@ def test_pending_commits_of_repeated_and_early_rows(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW customer AS FROM '{tmp_path}/customer.parquet/*.parquet'")
     assert got == sorted(db.execute(queries.oracle_sql()["pending_commits"]).fetchall(), key=str)
+
+
+def test_sentences_are_found_once_and_in_place(spark):
+    """Fences, open ones too, and breaks are told apart without sorting lines, and no list is computed twice."""
+    md = "One is a whole sentence here. Two is another one here.\n  ```\nnot this line of code, is it.\n```x\n\n\n- *Three* is a `bullet` [point](url) here.\n \t\nand goes on in the next line here.\r\n# A heading that is left out.\n```\nthe open fence hides this sentence.\n"
+    df = chunkers.sentences(spark.createDataFrame([("d", md), ("e", ""), ("f", None), ("g", "```\n")], "source string, text string"))
+    assert sorted(tuple(r) for r in df.collect()) == [("d", 1, 0, "One is a whole sentence here."), ("d", 1, 1, "Two is another one here."), ("d", 7, 0, "Three is a  point here."), ("d", 9, 0, "and goes on in the next line here.")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("```") <= 2
