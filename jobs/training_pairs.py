@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.settings import command_line
@@ -40,17 +40,14 @@ def split_of(doc_id, eval_percent: int):
 def pairs_of(documents: DataFrame, eval_percent: int, banned: tuple[str, ...]) -> DataFrame:
     """The pairs of ``documents`` (doc_id, text, lang)."""
     # A document's number of texts is bounded by what the table repeats of its id; each is cut on its own.
-    d = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("und")).alias("lang"))
+    d = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("und")).alias("lang")).repartition("doc_id")
     d = d.withColumn("text", text.strip_lines("text", (text.line_with(*banned),)) if banned else F.col("text"))
     d = d.select(F.struct("doc_id", F.md5("text").alias("version"), "lang").alias("key"), "text")
-    s = chunkers.sentences(d.dropDuplicates(["key"]), "key")
-    w = Window.partitionBy("key").orderBy("line", "pos")
-    s = s.withColumn("positive", F.lead("text").over(w)).where("positive IS NOT NULL AND positive != text")
-    s = s.select("key.doc_id", "key.version", "key.lang", F.col("line").cast("int").alias("line"), F.col("pos").cast("int").alias("pos"), F.col("text").alias("anchor"), "positive")
-    place = F.struct("doc_id", "line", "pos", "version", "lang")
-    # The least place of every anchor: combined before the shuffle, and joined by place, so no sentence is a hot key.
-    first = s.groupBy(F.xxhash64("anchor").alias("h1"), F.md5("anchor").alias("h2")).agg(F.min(place).alias("place")).select("place.*")
-    s = s.join(first, ["doc_id", "line", "pos", "version", "lang"], "left_semi")
+    pair = lambda s, i: F.struct(s["line"].cast("int").alias("line"), s["pos"].cast("int").alias("pos"), s["text"].alias("anchor"), F.get("found", i + 1)["text"].alias("positive"))
+    s = chunkers.sentence_lists(d, "key", dealt=True).select("key", F.inline_outer(F.transform("found", pair))).where("positive IS NOT NULL AND positive != anchor")
+    # The least place of every anchor: combined before the shuffle, so no sentence is a hot key.  A text that comes again gives the same places.
+    place = F.struct("key.doc_id", "line", "pos", "key.version", "key.lang", "anchor", "positive")
+    s = s.groupBy(F.xxhash64("anchor").alias("h1"), F.md5("anchor").alias("h2")).agg(F.min(place).alias("place")).select("place.*")
     pair_id = F.concat(F.lit("PAIR-"), F.substring(F.sha1(F.concat("anchor", F.lit("\0"), "positive")), 1, 12))
     return s.select(pair_id.alias("id"), "doc_id", "line", "pos", "anchor", "positive", text.syntactic_form("anchor").alias("form"), text.modality("anchor").alias("modality"), split_of(F.col("doc_id"), eval_percent).alias("split"), "lang")
 

@@ -177,6 +177,13 @@ def test_pairs(spark, tmp_path):
     assert report.agg({"pairs": "sum"}).first()[0] == 4
 
 
+def test_pairs_read_documents_once(spark):
+    """Sentences are made once a run: no join of the pairs with themselves."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plan = training_pairs.pairs_of(docs, 10, ())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 1
+
+
 def test_pairs_of_given_documents(spark, tmp_path):
     """No anchor twice, none in both splits, about the share that is asked for."""
     out = str(tmp_path / "out")
