@@ -8,7 +8,7 @@ least the gap between the query's angle to the pivot and the ring.
 
 A search has two rounds.  First a query visits its nearest blocks that hold enough
 vectors, which bounds the distance of its k-th nearest.  Then it visits all blocks
-that the bound doesn't rule out.  Vectors and visiting queries meet in one shuffle
+that the bound doesn't rule out, and takes from them what isn't beyond it.  Vectors and visiting queries meet in one shuffle
 by block, sorted: a task holds one block's vectors, of bounded number, while its
 queries stream by.  Vectors or queries without a direction, or of another length
 than the pivots, are never ruled out.
@@ -27,12 +27,17 @@ from pyspark.sql import functions as F
 
 #: Vectors that the pivots are chosen from; the most pivots; rings of one; vectors of one block.
 SAMPLE, MOST_PIVOTS, RINGS, BLOCK = 8192, 1024, 64, 4096
-#: Vectors that a query's first visits hold at least, for each one asked for.
-FIRST = 4
+#: Vectors that a query's first visits hold at least, for each one asked for; and of all vectors one in so many.  The bound
+#: then lets about ``n * SHARE`` hits of a query through, however many blocks it visits.
+FIRST, SHARE = 4, 16
 #: Queries of a block that are compared at once.
 QUERIES = 256
+#: Pairs of a query and a block that are looked at at once.
+PAIRS = 1 << 18
+#: Bytes of vectors and visits that a task is given, about.
+TASK = 64 << 20
 FILED = "id long, cell long, g long, at int, embedding array<float>"
-VISIT = "g long, at int, salt int, id long, cell long, embedding array<float>"
+VISIT = "g long, at int, salt int, id long, cell long, embedding array<float>, most double"
 HIT = "qid long, g long, id long, distance double"
 AT = ["g", "at", "salt"]
 
@@ -167,38 +172,45 @@ def _visits(known: dict, need: int | None, digits: int | None) -> Callable:
     groups = [np.flatnonzero(ix.g == x) for x in np.unique(ix.g)]
     slack = 1e-6 if digits is None else 10.0**-digits
 
+    of_group = [max(need or 0, -(-int(ix.n[of].sum()) // SHARE)) for of in groups]
+    step = max(1, PAIRS // max(1, len(ix.at)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gap, to_pivot = ix.gaps(*matrix(batch.column(2)))
-            bounds = batch.column(3).to_pylist()
-            rows, to = [], []
-            for i in range(batch.num_rows):
-                bound = {x["g"]: x["distance"] for x in bounds[i] or ()}
-                for of in groups:
-                    if need is not None:
-                        order = of[np.lexsort((to_pivot[i, of], gap[i, of]))]
-                        go = order[: int(np.searchsorted(np.cumsum(ix.n[order]), need)) + 1]
-                    else:
-                        tau = bound.get(int(ix.g[of[0]]))
-                        go = of if tau is None else of[gap[i, of] <= np.arccos(np.clip(1 - tau - slack, -1, 1)) + 1e-6]
-                    rows.append(np.full(len(go), i))
-                    to.append(go)
-            rows, to = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, to))
-            times = ix.parts[to]
-            salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            rows, to = np.repeat(rows, times), np.repeat(to, times)
-            for a in range(0, len(rows), 10_000):
-                r, t = pa.array(rows[a : a + 10_000]), to[a : a + 10_000]
-                cols = [pa.array(ix.g[t]), pa.array(ix.at[t].astype(np.int32)), pa.array(salt[a : a + 10_000].astype(np.int32)), *(batch.column(c).take(r) for c in range(3))]
-                yield pa.RecordBatch.from_arrays(cols, names=["g", "at", "salt", "id", "cell", "embedding"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                gap, to_pivot = ix.gaps(*matrix(batch.column(2)))
+                bounds = batch.column(3).to_pylist()
+                rows, to, most = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+                for i in range(batch.num_rows):
+                    bound = {x["g"]: x["distance"] for x in bounds[i] or ()}
+                    for of, enough in zip(groups, of_group, strict=True):
+                        tau = None if need is not None else bound.get(int(ix.g[of[0]]))
+                        if need is not None:
+                            order = of[np.lexsort((to_pivot[i, of], gap[i, of]))]
+                            go = order[: int(np.searchsorted(np.cumsum(ix.n[order]), enough)) + 1]
+                        else:
+                            go = of if tau is None else of[gap[i, of] <= np.arccos(np.clip(1 - tau - slack, -1, 1)) + 1e-6]
+                        rows.append(np.full(len(go), i))
+                        to.append(go)
+                        most.append(np.full(len(go), np.inf if tau is None else tau))
+                rows, to, most = np.concatenate(rows), np.concatenate(to), np.concatenate(most)
+                times = ix.parts[to]
+                salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                rows, to, most = np.repeat(rows, times), np.repeat(to, times), np.repeat(most, times)
+                for a in range(0, len(rows), 10_000):
+                    part = slice(a, a + 10_000)
+                    r, t = pa.array(rows[part]), to[part]
+                    cols = [pa.array(ix.g[t]), pa.array(ix.at[t].astype(np.int32)), pa.array(salt[part].astype(np.int32)), *(batch.column(c).take(r) for c in range(3)), pa.array(most[part])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["g", "at", "salt", "id", "cell", "embedding", "most"])
 
     return run
 
 
 def _meet(n: int, digits: int | None, unlike: bool) -> Callable:
-    """(g, at, salt, asks, id, cell, embedding) sorted by block, vectors before queries, to each query's ``n`` nearest of the block."""
+    """(g, at, salt, asks, id, cell, embedding, most) sorted by block, vectors before queries, to each query's ``n`` nearest of the block that aren't beyond ``most``."""
 
-    def hits(g, block, ids, cells, q):
+    def hits(g, block, ids, cells, q, most):
         v_ids, v_cells, v_rows, v_sizes = block
         d = distances(q[0], v_rows, q[1], v_sizes)
         d = d if digits is None else rounded(d, digits)
@@ -206,7 +218,7 @@ def _meet(n: int, digits: int | None, unlike: bool) -> Callable:
             d[cells[:, None] == v_cells] = np.inf
         best = np.argsort(d, axis=1, kind="stable")[:, :n]  # ids rise inside a block
         d, near, who = np.take_along_axis(d, best, 1).ravel(), v_ids[best].ravel(), np.repeat(ids, best.shape[1])
-        some = np.isfinite(d)
+        some = np.isfinite(d) & (d <= np.repeat(most, best.shape[1]))
         return pa.RecordBatch.from_arrays([pa.array(who[some]), pa.array(np.full(some.sum(), g)), pa.array(near[some]), pa.array(d[some])], names=["qid", "g", "id", "distance"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +244,10 @@ def _meet(n: int, digits: int | None, unlike: bool) -> Callable:
                     order = np.argsort(joined[0], kind="stable")
                     block = tuple(x[order] for x in joined)
                 if block is not None:
+                    most = batch.column(7).slice(a, b - a).to_numpy(zero_copy_only=False)
                     for c in range(0, b - a, QUERIES):
-                        yield hits(here[0], block, ids[c : c + QUERIES], cells[c : c + QUERIES], (rows[c : c + QUERIES], sizes[c : c + QUERIES]))
+                        part = slice(c, c + QUERIES)
+                        yield hits(here[0], block, ids[part], cells[part], (rows[part], sizes[part]), most[part])
 
     return run
 
@@ -244,7 +258,7 @@ def _ranked(hits: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def visits(ix: Index, queries: DataFrame, n: int, digits: int | None = None, mode: str = "all") -> DataFrame:
-    """Which blocks the queries (qid, cell, embedding) visit in the second round: (g, at, salt, id, cell, embedding)."""
+    """Which blocks the queries (qid, cell, embedding) visit in the second round, and how far: (g, at, salt, id, cell, embedding, most)."""
     known = {"pivots": ix.pivots, "g": ix.g, "at": ix.at, "n": ix.n, "parts": ix.parts}
     none = F.lit(None).cast("array<struct<g:long,distance:double>>").alias("bounds")
     q = queries.select(F.col("qid").cast("long").alias("qid"), F.col("cell").cast("long").alias("cell"), F.col("embedding").cast("array<float>").alias("embedding"))
@@ -254,9 +268,14 @@ def visits(ix: Index, queries: DataFrame, n: int, digits: int | None = None, mod
     return q.mapInArrow(_visits(known, None, digits), VISIT)
 
 
-def met(ix: Index, visiting: DataFrame, n: int, digits: int | None, mode: str) -> DataFrame:
-    side = lambda df, asks: df.select(*AT, F.lit(asks).alias("asks"), "id", "cell", "embedding")
-    rows = side(ix.filed, 0).unionByName(side(visiting, 1)).repartition(*AT).sortWithinPartitions(*AT, "asks")
+def met(ix: Index, visiting: DataFrame, n: int, digits: int | None, mode: str, queries: int = 0) -> DataFrame:
+    """The hits of the ``visiting`` queries, of which there are at most ``queries``."""
+    side = lambda df, asks, most: df.select(*AT, F.lit(asks).alias("asks"), "id", "cell", "embedding", most.alias("most"))
+    rows = side(ix.filed, 0, F.lit(None).cast("double")).unionByName(side(visiting, 1, F.col("most")))
+    # What a task sorts is bounded where the visits outgrow the input; one block's visits stay together.
+    tasks = -(-(int(ix.n.sum()) + queries * int(ix.parts.sum())) * (4 * ix.pivots.unit.shape[1] + 64) // TASK)
+    many = min(tasks, int(ix.parts.sum())) > ix.filed.sparkSession.sparkContext.defaultParallelism
+    rows = (rows.repartition(min(tasks, int(ix.parts.sum())), *AT) if many else rows.repartition(*AT)).sortWithinPartitions(*AT, "asks")
     return rows.mapInArrow(_meet(n, digits, mode == "unlike"), HIT)
 
 
@@ -271,4 +290,4 @@ def nearest(queries: DataFrame, vectors: DataFrame, n: int, digits: int | None =
     ix = index(vectors, mode == "each")
     if not len(ix.at):
         return vectors.sparkSession.createDataFrame([], HIT)
-    return _ranked(met(ix, visits(ix, queries, n, digits, mode), n, digits, mode), ["qid", "g"] if mode == "each" else ["qid"], n).drop("_r")
+    return _ranked(met(ix, visits(ix, queries, n, digits, mode), n, digits, mode, queries.count()), ["qid", "g"] if mode == "each" else ["qid"], n).drop("_r")

@@ -89,3 +89,24 @@ def test_split_blocks_stay_bounded(spark):
     ix = pivots.index(spark.createDataFrame(rows_of(range(len(v)), [0] * len(v), v), V))
     most = ix.filed.groupBy(*pivots.AT).count().agg(F.max("count")).first()[0]
     assert most < 1.5 * pivots.BLOCK and ix.filed.count() == len(v)
+
+
+def test_a_batch_of_queries_is_looked_at_in_slices():
+    """Queries times blocks are bounded in memory: 4000 queries to 8000 blocks would take a gigabyte in one piece."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    blocks, asked, dims = 8000, 4000, 4
+    r = np.random.default_rng(1)
+    unit = r.normal(size=(125, dims))
+    known = {"pivots": pivots.Pivots(unit / np.linalg.norm(unit, axis=1)[:, None]), "g": np.zeros(blocks, np.int64), "at": np.arange(blocks), "n": np.full(blocks, 10), "parts": np.ones(blocks, np.int64)}
+    rows = pa.array(r.normal(size=(asked, dims)).astype(np.float32).tolist(), pa.list_(pa.float32()))
+    bounds = pa.array([[{"g": 0, "distance": 0.0}]] * asked, pa.list_(pa.struct([("g", pa.int64()), ("distance", pa.float64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(asked)), pa.array([0] * asked), rows, bounds], names=["qid", "cell", "embedding", "bounds"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in pivots._visits(known, None, 6)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n >= asked and peak < 100_000_000
