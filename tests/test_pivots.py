@@ -110,3 +110,18 @@ def test_a_batch_of_queries_is_looked_at_in_slices():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n >= asked and peak < 100_000_000
+
+
+def test_hits_beyond_the_bound_stay_behind(spark):
+    """In the second round a query takes about ``SHARE`` times its ``n`` hits, not ``n`` of every block."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    v = r.normal(size=(20_000, 8))
+    vectors = spark.createDataFrame(rows_of(range(len(v)), [0] * len(v), v), V)
+    queries = vectors.where("id < 40").withColumnRenamed("id", "qid")
+    ix = pivots.index(vectors)
+    hits = pivots.met(ix, pivots.visits(ix, queries, 50, 6), 50, 6, "all", 40).count()
+    assert 40 * 50 <= hits < 40 * 50 * 2 * pivots.SHARE
+    of_blocks = pivots.met(ix, pivots.visits(ix, queries, 50, 6).withColumn("most", F.lit(float("inf"))), 50, 6, "all", 40).count()
+    assert hits < of_blocks
