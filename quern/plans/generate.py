@@ -133,7 +133,8 @@ def generate(spark: SparkSession, triples: DataFrame, model: Model, root: str, w
     which each wave appends to before the next begins.  A rerun asks for what has
     no answer, so also for what failed.  ``wave`` anchors are one job, of which at
     most ``calls`` tasks call the model, each one call at a time.  Repeated anchors
-    are asked for once.
+    are asked for once.  What is to be asked for is found once and dealt to waves
+    below ``root/_todo``, which each run overwrites, so a wave reads its own rows only.
     """
     done = table_at(spark, root, LEDGERS)  # as it stands now: later waves don't show
     todo = triples.select(F.col("anchor_id").cast("string").alias("anchor_id"), "anchor").where("anchor_id IS NOT NULL").dropDuplicates(["anchor_id"])
@@ -141,10 +142,14 @@ def generate(spark: SparkSession, triples: DataFrame, model: Model, root: str, w
         todo = todo.join(done.where("NOT failed").select("anchor_id"), "anchor_id", "left_anti")
     n = todo.count()
     waves = -(-n // wave)
+    if waves:
+        todo = todo.withColumn("wave", F.pmod(F.xxhash64("anchor_id"), F.lit(waves)).cast("int"))
+        todo.repartition("wave").write.partitionBy("wave").mode("overwrite").parquet(f"{root}/_todo")
     for i in range(waves):
-        part = todo.where(F.pmod(F.xxhash64("anchor_id"), F.lit(waves)) == i)
-        out = paraphrases(part.repartition(calls), model, tries=tries).withColumn("failed", F.col("failure").isNotNull())
-        out.write.partitionBy("failed").mode("append").parquet(root)
+        part = table_at(spark, f"{root}/_todo/wave={i}", "anchor_id string, anchor string")
+        if part is not None:  # no anchor may fall to a wave
+            out = paraphrases(part.repartition(calls), model, tries=tries).withColumn("failed", F.col("failure").isNotNull())
+            out.write.partitionBy("failed").mode("append").parquet(root)
         log.info("%s: wave %d of %d written", root, i + 1, waves)
     return n
 

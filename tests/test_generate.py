@@ -83,3 +83,20 @@ def test_waves_resume(spark, tmp_path):
     assert {r.kind: r.n for r in generate.failures_by_kind(first).collect()}["call"] == first.where("failed").count()
     assert {r.n for r in generate.failures_by_kind(every).collect()} == {0}
     assert generate.generate(spark, t, model_of("c", set()), root) == 0 and not [f for f in os.listdir(asked) if f.startswith("c-")]
+
+
+def test_waves_read_their_own_rows_only(spark, tmp_path, monkeypatch):
+    """What is to be asked for is found once a run; waves don't go back to the source, and empty ones write nothing."""
+    source, root = str(tmp_path / "source"), str(tmp_path / "root")
+    spark.createDataFrame([(str(i), f"anchor {i}") for i in range(40)], "anchor_id string, anchor string").write.parquet(source)
+    seen, real = [], generate.paraphrases
+
+    def watched(part, *args, **kwargs):
+        seen.extend(part.inputFiles())
+        return real(part, *args, **kwargs)
+
+    monkeypatch.setattr(generate, "paraphrases", watched)
+    assert generate.generate(spark, spark.read.parquet(source), generate.stub, root, wave=2, calls=2) == 40
+    assert seen and not [f for f in seen if f"{root}/_todo/wave=" not in f] and len(seen) == len(set(seen))
+    assert {(r["anchor_id"], r["failed"]) for r in generate.ledgers(spark, root).collect()} == {(str(i), False) for i in range(40)}
+    assert generate.generate(spark, spark.read.parquet(source), generate.stub, root, wave=2, calls=2) == 0
