@@ -18,6 +18,7 @@ doc_id form one document of several texts, each text once.
 
 from __future__ import annotations
 
+import gc
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,29 +41,43 @@ def split_of(doc_id, eval_percent: int):
 def pairs_of(documents: DataFrame, eval_percent: int, banned: tuple[str, ...]) -> DataFrame:
     """The pairs of ``documents`` (doc_id, text, lang)."""
     # A document's number of texts is bounded by what the table repeats of its id; each is cut on its own.
-    d = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("und")).alias("lang")).repartition("doc_id")
+    d = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("und")).alias("lang"))
     d = d.withColumn("text", text.strip_lines("text", (text.line_with(*banned),)) if banned else F.col("text"))
-    d = d.select(F.struct("doc_id", F.md5("text").alias("version"), "lang").alias("key"), "text")
+    d = d.select(F.struct("doc_id", "lang").alias("key"), "text")
     pair = lambda s, i: F.struct(s["line"].cast("int").alias("line"), s["pos"].cast("int").alias("pos"), s["text"].alias("anchor"), F.get("found", i + 1)["text"].alias("positive"))
     s = chunkers.sentence_lists(d, "key", dealt=True).select("key", F.inline_outer(F.transform("found", pair))).where("positive IS NOT NULL AND positive != anchor")
     # The least place of every anchor: combined before the shuffle, so no sentence is a hot key.  A text that comes again gives the same places.
-    place = F.struct("key.doc_id", "line", "pos", "key.version", "key.lang", "anchor", "positive")
-    s = s.groupBy(F.xxhash64("anchor").alias("h1"), F.md5("anchor").alias("h2")).agg(F.min(place).alias("place")).select("place.*")
+    # This is the only shuffle of the texts, and so most of the disk that a run takes: a pair's two sentences, its place, nothing else.
+    s = s.groupBy("anchor").agg(F.min(F.struct("key.doc_id", "line", "pos", "key.lang", "positive")).alias("place")).select("anchor", "place.*")
     pair_id = F.concat(F.lit("PAIR-"), F.substring(F.sha1(F.concat("anchor", F.lit("\0"), "positive")), 1, 12))
     return s.select(pair_id.alias("id"), "doc_id", "line", "pos", "anchor", "positive", text.syntactic_form("anchor").alias("form"), text.modality("anchor").alias("modality"), split_of(F.col("doc_id"), eval_percent).alias("split"), "lang")
 
 
+def spread(documents: DataFrame) -> DataFrame:
+    """``documents``, dealt out by id if a file of few row groups gives fewer tasks with rows than there are cores."""
+    tasks = documents.select(F.spark_partition_id().alias("task")).distinct().count()  # reads no column
+    return documents if tasks >= documents.sparkSession.sparkContext.defaultParallelism else documents.repartition("doc_id")
+
+
 def run(spark: SparkSession, documents: str, output: str, eval_percent: int = 10, banned: str = "") -> None:
     """Write the pairs of the documents at the path ``documents`` below ``output``."""
     log.info("reading documents at %s", documents)
-    pairs = pairs_of(spark.read.parquet(documents), eval_percent, tuple(x for x in banned.split("|") if x))
-    pairs.hint("rebalance", "split", "lang").write.partitionBy("split", "lang").mode("overwrite").json(f"{output}/pairs", compression="gzip")
+    pairs = pairs_of(spread(spark.read.parquet(documents)), eval_percent, tuple(x for x in banned.split("|") if x))
+    pairs.write.partitionBy("split", "lang").mode("overwrite").json(f"{output}/pairs", compression="gzip")
+    del pairs
+    let_go(spark)
     report = written(spark, output).groupBy("split", "lang", "form").agg(F.count("*").alias("pairs"), F.countDistinct("doc_id").alias("documents"))
     report.write.mode("overwrite").parquet(f"{output}/report")
     for r in spark.read.parquet(f"{output}/report").groupBy("split").agg(F.sum("pairs").alias("pairs")).orderBy("split").collect():
         log.info("wrote %d pairs of split %s below %s/pairs", r["pairs"], r["split"], output)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the shuffle files removed that no plan refers to any more: Spark's cleaner follows the JVM's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(spark: SparkSession, output: str) -> DataFrame:
     """The pairs below ``output`` as they stand."""
     return spark.read.schema(PAIRS).json(f"{output}/pairs")

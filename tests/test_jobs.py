@@ -184,6 +184,32 @@ def test_pairs_read_documents_once(spark):
     assert "Join" not in plan and plan.count("Relation [") == 1
 
 
+def test_pairs_shuffle_texts_once(spark):
+    """Texts pass one shuffle, and in it a pair's sentences stand once: no digests of them or of the whole text."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plan = training_pairs.pairs_of(docs, 10, ())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "md5(text" not in plan and "md5(anchor" not in plan and "xxhash64(anchor" not in plan
+
+
+def test_few_row_groups_are_dealt_out(spark):
+    """A table of one task is dealt out before it is cut; one of many tasks is read as it lies."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plans = [training_pairs.spread(x)._jdf.queryExecution().logical().toString() for x in (docs.coalesce(1), docs.repartition(8))]
+    assert "'RepartitionByExpression ['doc_id]" in plans[0] or "RepartitionByExpression [doc_id" in plans[0]
+    assert "RepartitionByExpression" not in plans[1]
+
+
+def test_texts_of_one_id(spark):
+    """Of texts that share an id, a sentence's pair is taken whole from one of them, the same one each time."""
+    a, b, c = (f"This is sentence number {x} of them." for x in ("one", "two", "three"))
+    rows = [(1, f"{a} {b}", "fr"), (1, f"{a} {c}", "en"), (1, f"{a} {b}", "fr"), (2, f"{a} {b}", "de")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        got = [(r["doc_id"], r["anchor"], r["positive"], r["lang"]) for r in training_pairs.pairs_of(df, 10, ()).collect()]
+        assert got == [(1, a, c, "en")]
+
+
 def test_pairs_of_given_documents(spark, tmp_path):
     """No anchor twice, none in both splits, about the share that is asked for."""
     out = str(tmp_path / "out")
